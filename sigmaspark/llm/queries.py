@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .quality import OP8_SQL, op8_quality_rules
+from .sharding import op6_shards
 from .simhash import op7_simhash
 from .token_counts import op10_token_counts
 from .token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op6_shards": op6_shards,
     "op7_simhash": op7_simhash,
+    "op8_quality_rules": op8_quality_rules,
     "op10_token_counts": op10_token_counts,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_quality_rules": OP8_SQL,
+}
