@@ -7,9 +7,11 @@ from .sharding import op6_shards
 from .simhash import op7_simhash
 from .token_counts import op10_token_counts
 from .token_files import op1_token_files
+from .warc_zip import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op4_warc": op4_warc,
     "op6_shards": op6_shards,
     "op7_simhash": op7_simhash,
     "op8_quality_rules": op8_quality_rules,
@@ -17,5 +19,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op4_warc": OP4_SQL,
     "op8_quality_rules": OP8_SQL,
 }
