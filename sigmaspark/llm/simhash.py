@@ -49,14 +49,14 @@ def _fingerprint(text: str | None, shingle: int, chunk: int = 200_000) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """doc_id, fp (long) for every row; ASCII lower case, white-space words, majority of XXH64 bits over all shingles."""
+    """doc_id, text_key (hash of the text), fp (long) for every row; ASCII lower case, white-space words, majority of XXH64 bits over all shingles."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_fingerprint(t, shingle) for t in batch.column("text").to_pylist()], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array([_fingerprint(t, shingle) for t in batch.column("text").to_pylist()], pa.int64())], ["doc_id", "text_key", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(make, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(make, "doc_id bigint, text_key bigint, fp bigint")
 
 
 # -- partitions and thresholds ------------------------------------------------------
@@ -214,7 +214,8 @@ def _components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id for every row: the smallest doc_id reachable through links of at most ``tau`` bits.
+    """doc_id, fp, component_id, root, text_key for every row. component_id: the smallest doc_id reachable through links of at most ``tau`` bits;
+    root: a fingerprint that names the component.
 
     ``tau`` is 0, 1 or 2. Null and empty texts have fingerprint zero and are linked like any
     other. Rows with a null id belong to their component; its id is null only if it has no
@@ -228,13 +229,27 @@ def near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = 5, id_col: str
     n, both = bit_statistics(nodes)
     links = _links(nodes.select("fp"), allocate(n, _agreement(n, both), tau), tau) if tau else None
     if links is None:
-        named = nodes.select("fp", F.col("low").alias("component_id"))
+        named = nodes.select("fp", F.col("fp").alias("root"), F.col("low").alias("component_id"))
     else:
         roots = _components(links)
         rooted = cut(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "roots")
         lows = cut(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
-        named = cut(rooted.join(lows, "root").select("fp", "component_id"), "named")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+        named = cut(rooted.join(lows, "root").select("fp", "root", "component_id"), "named")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "root", "text_key")
+
+
+def drop_near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component, all columns: that of the smallest id (nulls last), then the smallest text hash.
+
+    Repeated rows of the chosen one count as one.
+    """
+    keys = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("__id"), F.col("doc_id").isNull().alias("__no_id"), F.col("text_key").alias("__key")]
+    found = near_duplicates(docs, tau, shingle, id_col, text_col).select("root", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key").alias("x"))
+    chosen = cut(found.groupBy("root").agg(F.min("x").alias("x")).select("x.doc_id", "x.text_key").select(*keys), "chosen")
+    doc_id = F.col(id_col).cast("long")
+    keyed = docs.withColumn("__id", F.coalesce(doc_id, F.lit(0).cast("long"))).withColumn("__no_id", doc_id.isNull()).withColumn("__key", F.xxhash64(text_col))
+    names = ["__id", "__no_id", "__key"]
+    return keyed.join(chosen, names).dropDuplicates(names).select(*docs.columns)
 
 
 def hex16(c: Column) -> Column:
