@@ -104,7 +104,7 @@ def scan_licenses(docs: DataFrame, base: list[tuple[str, str]] = BASE_PHRASES, t
     length = F.col("high") - F.col("low") + K
     spans = spans.withColumn("covered", F.size("js")).withColumn("versioned", F.size(F.array_except("numbers", "js")) == 0)
     share = F.col("covered") / F.greatest(length, F.col("n_template"))
-    score = F.when(F.col("places") > 0, 1.0).when((F.col("covered") >= MIN_COVERED) & (share >= MIN_SCORE) & (length <= F.col("n_template") + SLACK), share)
+    score = F.when(F.col("places") > 0, 1.0).when(F.col("versioned") & (F.col("covered") >= MIN_COVERED) & (share >= MIN_SCORE) & (length <= F.col("n_template") + SLACK), share)
     scored = spans.withColumn("score", F.when(F.col("template") >= 0, score)).withColumn("found", F.col("score").isNotNull())
     based = F.col("exact") & (F.col("places") > 0)
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
