@@ -56,3 +56,14 @@ def drop_written(df: DataFrame) -> None:
 def lower_ascii(c: Column) -> Column:
     """Lower case of A-Z only."""
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 WINDOW = 12
 MASKS = [(0, 1, 2, 4, 5), (0, 1, 3, 5, 6)]
@@ -98,8 +98,9 @@ def _verified(masks: list[tuple[int, tuple[int, ...]]]) -> Column:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """The rows of ``docs`` without contamination, all columns; a row is known by its id and text."""
-    leaked = find_leaks(docs, benchmark, id_col, text_col, **names).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
-    return docs.join(leaked, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key")), "left_anti")
+    doc_id, key = fresh(docs, "__id", "__key")
+    leaked = find_leaks(docs, benchmark, id_col, text_col, **names).where("contaminated").select(F.col("doc_id").alias(doc_id), F.col("text_key").alias(key)).distinct()
+    return docs.join(leaked, F.col(id_col).cast("long").eqNullSafe(F.col(doc_id)) & (F.xxhash64(text_col) == F.col(key)), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

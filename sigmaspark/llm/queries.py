@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import OP5_SQL, op5_decontamination
 from .licenses import op9_licenses
 from .quality import OP8_SQL, op8_quality_rules
+from .sentencepieces import op3_sentencepiece
 from .sharding import op6_shards
 from .simhash import op7_simhash
 from .token_counts import op10_token_counts
@@ -15,6 +16,7 @@ from .warc_zip import OP4_SQL, op4_warc
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_toxicity": op2_toxicity,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op6_shards": op6_shards,

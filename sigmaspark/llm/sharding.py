@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 FIRST_BITS, STEP_BITS, TEXT_BITS, KEY_BITS = 12, 5, 32, 64
 
@@ -113,10 +113,11 @@ def write_shards(docs: DataFrame, path: str, n_shards: int, id_col: str = "doc_i
     """Write all columns of ``docs`` as Parquet, one folder per shard, in key order within its files."""
     placed = shard_documents(docs, n_shards, id_col=id_col, text_col=text_col, **limits).groupBy("doc_id", "key", "text_crc32").agg(F.min("shard").alias("shard"))
     text, doc_id = F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).cast("long")
-    keyed = docs.withColumn("__key", sort_key(text, doc_id)).withColumn("__crc", F.crc32(text))
-    names = placed.select(*[F.col(c).alias(f"__{c}_") for c in placed.columns])
-    out = keyed.join(names, (keyed["__key"] == names["__key_"]) & doc_id.eqNullSafe(names["__doc_id_"]) & (keyed["__crc"] == names["__text_crc32_"]))
-    out.select(*docs.columns, F.col("__shard_").alias("shard"), "__key").repartitionByRange("shard", "__key").sortWithinPartitions("shard", "__key").drop("__key").write.partitionBy("shard").parquet(path)
+    key, crc, own_id, own_key, own_crc, shard = fresh(docs, "__key", "__crc", "__id", "__own_key", "__own_crc", "shard")
+    keyed = docs.withColumn(key, sort_key(text, doc_id)).withColumn(crc, F.crc32(text))
+    names = placed.select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key), F.col("text_crc32").alias(own_crc), F.col("shard").alias(shard))
+    out = keyed.join(names, (F.col(key) == F.col(own_key)) & doc_id.eqNullSafe(F.col(own_id)) & (F.col(crc) == F.col(own_crc))).select(*docs.columns, shard, key)
+    out.repartitionByRange(shard, key).sortWithinPartitions(shard, key).drop(key).write.partitionBy(shard).parquet(path)
 
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

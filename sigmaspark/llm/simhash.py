@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 BITS = 64
 #: A bucket with more fingerprints is linked through one-bit variants instead of pairs (see ``_links``).
@@ -243,13 +243,14 @@ def drop_near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = 5, id_col
 
     Repeated rows of the chosen one count as one.
     """
-    keys = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("__id"), F.col("doc_id").isNull().alias("__no_id"), F.col("text_key").alias("__key")]
+    names = fresh(docs, "__id", "__no_id", "__key")
     found = near_duplicates(docs, tau, shingle, id_col, text_col).select("root", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key").alias("x"))
-    chosen = cut(found.groupBy("root").agg(F.min("x").alias("x")).select("x.doc_id", "x.text_key").select(*keys), "chosen")
+    best = found.groupBy("root").agg(F.min("x").alias("x")).select("x.doc_id", "x.text_key")
+    values = [F.coalesce("doc_id", F.lit(0).cast("long")), F.col("doc_id").isNull(), F.col("text_key")]
+    chosen = cut(best.select(*[v.alias(n) for v, n in zip(values, names, strict=True)]), "chosen")
     doc_id = F.col(id_col).cast("long")
-    keyed = docs.withColumn("__id", F.coalesce(doc_id, F.lit(0).cast("long"))).withColumn("__no_id", doc_id.isNull()).withColumn("__key", F.xxhash64(text_col))
-    names = ["__id", "__no_id", "__key"]
-    return keyed.join(chosen, names).dropDuplicates(names).select(*docs.columns)
+    own = [F.coalesce(doc_id, F.lit(0).cast("long")), doc_id.isNull(), F.xxhash64(text_col)]
+    return docs.withColumns(dict(zip(names, own, strict=True))).join(chosen, names).dropDuplicates(names).select(*docs.columns)
 
 
 def hex16(c: Column) -> Column:

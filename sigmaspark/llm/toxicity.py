@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 from .encoders import Remembered
 
 #: At most so many labelled rows, the smallest by a hash of their id, fit the classifier.
@@ -296,8 +296,9 @@ def restore_texts(docs: DataFrame, log_chances: np.ndarray, id_col: str = "doc_i
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` not predicted toxic, all columns; the model is trained here."""
     model = train(docs, labels, id_col, text_col)
-    toxic = score_toxicity(docs, model, id_col, text_col).where("predicted = 1").select(F.col("text_key").alias("__key")).distinct()
-    return docs.join(toxic, F.xxhash64(text_col) == F.col("__key"), "left_anti")
+    (key,) = fresh(docs, "__key")
+    toxic = score_toxicity(docs, model, id_col, text_col).where("predicted = 1").select(F.col("text_key").alias(key)).distinct()
+    return docs.join(toxic, F.xxhash64(text_col) == F.col(key), "left_anti")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
