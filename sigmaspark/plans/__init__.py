@@ -1,4 +1,6 @@
 """Queries of the radar operators over the driver's tables, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import measure, scenes  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

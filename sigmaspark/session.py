@@ -24,3 +24,8 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, f"{top.name}/{p.relative_to(top)}")
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares for checkpoints; a local one only where none is named."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sigmaspark-checkpoint-')}"
