@@ -126,9 +126,9 @@ def _label_cells(spark, d) -> DataFrame:
     return mechmap.label_cells(_cells(spark, d), scattering.fit_thresholds(_windows(spark, d)))
 
 
-@query("a06_block_mean_grid", "SELECT scene, cell_row, cell_col, valid, pixels, round(vv, 9) AS vv, round(vh, 9) AS vh FROM cells", "cells")
+@query("a06_block_mean_grid", "SELECT scene, cell_row, cell_col, valid, pixels, round(vv, 6) AS vv, round(vh, 6) AS vh FROM cells", "cells")
 def a06(spark, d):
-    return rounded(_cells(spark, d), 9)
+    return rounded(_cells(spark, d))
 
 
 @query("f11_cell_coverage_mask", "SELECT scene, cell_row, cell_col, valid / pixels >= 0.5 AS usable FROM cells", "cells")
@@ -244,7 +244,7 @@ def j08(spark, d):
     return rounded(lut.bilinear(fx.pixels(spark, d).select("scene", "r", "c"), _nodes(spark, d)))
 
 
-@query("j10_azimuth_block_join", """SELECT scene, r, c, round(coalesce(last(f ORDER BY b) , 1.0), 6) AS factor FROM (SELECT p.scene, p.r, p.c, b.b, b.f FROM pixels p LEFT JOIN (VALUES (0, 0, 49, 2.0), (1, 40, 69, 1.5), (2, 80, 89, 0.5)) AS b(b, lo, hi, f) ON p.c BETWEEN lo AND hi) GROUP BY scene, r, c""", "pixels")
+@query("j10_azimuth_block_join", """SELECT scene, r, c, round(coalesce(last(f ORDER BY b), 1.0), 6)::DOUBLE AS factor FROM (SELECT p.scene, p.r, p.c, b.b, b.f FROM pixels p LEFT JOIN (VALUES (0, 0, 49, 2.0::DOUBLE), (1, 40, 69, 1.5), (2, 80, 89, 0.5)) AS b(b, lo, hi, f) ON p.c BETWEEN lo AND hi) GROUP BY scene, r, c""", "pixels")
 def j10(spark, d):
     blocks = fx.pixels(spark, d).select("scene").distinct().select("scene", F.inline(F.expr("from_json('[{\"block\":0,\"first_sample\":0,\"last_sample\":49,\"factor\":2.0},{\"block\":1,\"first_sample\":40,\"last_sample\":69,\"factor\":1.5},{\"block\":2,\"first_sample\":80,\"last_sample\":89,\"factor\":0.5}]', 'array<struct<block:int,first_sample:int,last_sample:int,factor:double>>')")))
     return rounded(lut.block_factor(fx.pixels(spark, d).select("scene", "r", "c"), blocks))

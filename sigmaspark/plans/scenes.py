@@ -63,8 +63,8 @@ def f04(spark, d):
 @query("f06_acquisition_time_pin", """SELECT a.event_id AS wanted, b.event_id AS found FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'purchase' AND abs(epoch_us(b.ts) - epoch_us(a.ts)) <= 30000000""")
 def f06(spark, d):
     e = fx.read(spark, d, "events")
-    wanted = e.where("event_type = 'purchase'").select(F.col("event_id").alias("wanted"), "user_id", F.col("ts").alias("start"))
-    return catalog.pin_acquisition(wanted, e.select(F.col("event_id").alias("found"), "user_id", "ts"), "user_id").select("wanted", "found")
+    wanted = e.where("event_type = 'purchase'").select(F.col("event_id").alias("wanted"), "user_id", F.col("ts").cast("timestamp").alias("start"))
+    return catalog.pin_acquisition(wanted, e.select(F.col("event_id").alias("found"), "user_id", F.col("ts").cast("timestamp").alias("ts")), "user_id").select("wanted", "found")
 
 
 def _product_json(spark, d) -> DataFrame:
@@ -92,7 +92,7 @@ _CONTRACT = "product_type = 'IW_GRDH_1S' AND channels = 'VV&VH' AND start BETWEE
 
 
 def _range():
-    return F.lit("1994-01-01").cast("timestamp"), F.lit("1997-01-01").cast("timestamp")
+    return F.lit("1994-01-01T00:00:00Z").cast("timestamp"), F.lit("1997-01-01T00:00:00Z").cast("timestamp")
 
 
 @query("f01_catalogue_contract", f"SELECT id, online FROM products WHERE {_CONTRACT}", "products")
