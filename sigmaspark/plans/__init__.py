@@ -1,6 +1,6 @@
 """Queries of the radar operators over the driver's tables, with the SQL that gives the same rows."""
 
-from . import measure, scenes, text, vector  # noqa: F401
+from . import measure, scenes, store, text, vector, watch  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
