@@ -10,8 +10,9 @@ predict. Partitions are probed by equal keys, candidates are verified.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import comb
 
@@ -238,13 +239,108 @@ def near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = 5, id_col: str
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", "root", "text_key")
 
 
-def drop_near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` for each component, all columns: that of the smallest id (nulls last), then the smallest text hash.
+# -- a given similarity -------------------------------------------------------------
+#
+# Texts that share 0.8 of their five-word shingles differ in about ten of the 64 bits of a
+# fingerprint over those shingles, too many to probe for. They share far more of their
+# words: a fingerprint over the different words differs in a fifteenth of its bits. It is
+# made as wide as it takes for one of its partitions to be equal, and the shingles decide.
 
-    Repeated rows of the chosen one count as one.
+#: Share of equal bits at a similarity of 0.8, the recall aimed at there, and the size of a shingle sketch.
+EQUAL_BITS, RECALL, SKETCH = 0.933, 0.99, 256
+#: What an estimate from a full sketch may fall short by: two standard errors.
+ALLOWANCE = 0.05
+SMALL_BUCKET = 16
+
+
+def band_layout(n_texts: int) -> tuple[int, int]:
+    """Width and number of partitions: unrelated texts seldom meet, similar ones do with the recall aimed at."""
+    width = max(24, math.ceil(math.log2(max(n_texts, 2))) + 6)
+    return width, math.ceil(math.log(1 - RECALL) / math.log(1 - EQUAL_BITS**width))
+
+
+def _wide(text: str | None, shingle: int, width: int, bands: int) -> tuple[list[int], list[int]]:
+    """Partition keys of the word fingerprint, and the smallest hashes of the text's different shingles."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    digest = xxhash.xxh64_intdigest
+    joined = b" ".join(words)
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(joined)]])
+    n = max(1, len(words) - shingle + 1)
+    hashes = np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[min(shingle, max(1, len(words))) - 1 :].tolist(), strict=True)], np.uint64))
+    own = np.array([digest(w, 42) for w in set(words)] or [0], np.uint64)
+    longs = -(-width * bands // 64)
+    ones, spread = np.zeros(64 * longs, np.int64), _spread(longs)
+    for at in range(0, len(own), 20_000):  # bounded memory for long texts
+        h = (own[at : at + 20_000, None] + spread) * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        ones += np.unpackbits(np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int64)
+    bits = (2 * ones > len(own))[: width * bands].reshape(bands, width)
+    keys = bits @ (np.int64(1) << np.arange(width, dtype=np.int64))
+    return keys.tolist(), np.sort(hashes.view(np.int64))[:SKETCH].tolist()
+
+
+@lru_cache(maxsize=4)
+def _spread(longs: int) -> np.ndarray:
+    return np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_key, root for every row: root names the group of texts linked at the similarity (Jaccard, shingles).
+
+    Partitions of the word fingerprint are probed by equal keys. A text is compared with
+    the text of the smallest id in its bucket, and with that of the smallest id among those
+    that are equal in the next partition too; in small buckets, all are compared. A
+    comparison estimates the similarity from shingle sketches, which hold all shingles of
+    short texts; from longer ones, ``ALLOWANCE`` less is enough. Nulls, ties and empty tables as in ``near_duplicates``.
+    """
+    width, bands = band_layout(docs.count())
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sketches = zip(*[_wide(t, shingle, width, bands) for t in batch.column("text").to_pylist()], strict=True) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "text_key", "keys", "sketch"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    made = cut(rows.mapInArrow(make, "doc_id bigint, text_key bigint, keys array<bigint>, sketch array<bigint>"), "wide")
+    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
+    nodes = made.groupBy("text_key").agg(F.min(first).alias("first"), F.first("keys").alias("keys"))
+    entries = cut(nodes.select("first", F.posexplode("keys").alias("band", "key"), "keys").withColumn("next", F.try_element_at("keys", (F.col("band") + 1) % bands + 1)).drop("keys"), "entries")
+
+    sizes = entries.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("first").alias("least")).where("size > 1")
+    held = cut(entries.join(sizes, ["band", "key"]), "buckets")
+    stars = held.select(F.col("first.text_key").alias("a"), F.col("least.text_key").alias("b"))
+    finer = held.where(F.col("size") > SMALL_BUCKET).groupBy("band", "key", "next").agg(F.count("*").alias("m"), F.min("first").alias("nearest")).where("m > 1")
+    near = held.join(cut(finer, "finer"), ["band", "key", "next"]).select(F.col("first.text_key").alias("a"), F.col("nearest.text_key").alias("b"))
+    small = held.where(F.col("size") <= SMALL_BUCKET).groupBy("band", "key").agg(F.collect_list("first.text_key").alias("own"))
+    pairs = small.select("own", F.explode("own").alias("a")).select("a", F.explode("own").alias("b"))
+    met = stars.unionAll(near).unionAll(pairs).where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = cut(met, "met")
+
+    sketches = cut(made.join(met.select(F.col("a").alias("text_key")).unionAll(met.select("b")).distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.first("sketch").alias("sketch")), "sketches")
+    left = met.join(sketches.select(F.col("text_key").alias("a"), F.col("sketch").alias("x")), "a")
+    both = left.join(sketches.select(F.col("text_key").alias("b"), F.col("sketch").alias("y")), "b")
+    # the smallest hashes of both together, and how many of those both have
+    pool = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
+    shared = F.size(F.array_intersect(pool, F.array_intersect("x", "y"))) / F.size(pool)
+    links = both.where(shared >= similarity - F.when(F.size(pool) >= SKETCH, ALLOWANCE).otherwise(0.0)).select("a", "b")
+    roots = _components(links)
+    return made.select("doc_id", "text_key").join(roots, F.col("text_key") == F.col("node"), "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float | None = 0.8, tau: int = 2, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each group, all columns: that of the smallest id (nulls last), then the smallest text hash.
+
+    Groups are those of ``similar_texts``, or with ``similarity`` None those of
+    ``near_duplicates``. Repeated rows of the chosen one count as one.
     """
     names = fresh(docs, "__id", "__no_id", "__key")
-    found = near_duplicates(docs, tau, shingle, id_col, text_col).select("root", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key").alias("x"))
+    groups = similar_texts(docs, similarity, shingle, id_col, text_col) if similarity is not None else near_duplicates(docs, tau, shingle, id_col, text_col)
+    found = groups.select("root", F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key").alias("x"))
     best = found.groupBy("root").agg(F.min("x").alias("x")).select("x.doc_id", "x.text_key")
     values = [F.coalesce("doc_id", F.lit(0).cast("long")), F.col("doc_id").isNull(), F.col("text_key")]
     chosen = cut(best.select(*[v.alias(n) for v, n in zip(values, names, strict=True)]), "chosen")
