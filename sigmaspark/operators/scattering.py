@@ -24,7 +24,7 @@ def nodata_discard(pixels: DataFrame, keys: list[str], bands: list[str], most: f
 
 def window_summary(pixels: DataFrame, keys: list[str], vv_db: str = "vv_db", vh_db: str = "vh_db") -> DataFrame:
     """Means of linear power per window, as dB, with ratio, vegetation index and the share of VH at the floor."""
-    at_floor = F.avg((F.col(vh_db) <= FLOOR_DB * 1.000001).cast("double")).alias("noise_limited_fraction")
+    at_floor = F.avg((from_db(F.col(vh_db)) <= 10.0 ** (FLOOR_DB / 10) * 1.000001).cast("double")).alias("noise_limited_fraction")
     power = pixels.groupBy(*keys).agg(F.avg(from_db(F.col(vv_db))).alias("vv"), F.avg(from_db(F.col(vh_db))).alias("vh"), at_floor)
     return summarise_power(power, keys)
 

@@ -47,7 +47,7 @@ def windowed(df: DataFrame) -> DataFrame:
 
 VIEWS["windows"] = """SELECT scene, wr, wc, 10 * log10(greatest(vv, 1e-5)) AS vv_db, 10 * log10(greatest(vh, 1e-5)) AS vh_db, 10 * log10(greatest(vh, 1e-5)) - 10 * log10(greatest(vv, 1e-5)) AS ratio_db,
     CASE WHEN vv + vh > 0 THEN 4 * vh / (vv + vh) ELSE 0 END AS rvi, noise_limited_fraction FROM (
-    SELECT scene, r // 5 AS wr, c // 5 AS wc, avg(pow(10, vv_db / 10)) AS vv, avg(pow(10, vh_db / 10)) AS vh, avg(CASE WHEN vh_db <= -50 * 1.000001 THEN 1.0 ELSE 0.0 END) AS noise_limited_fraction FROM sigma GROUP BY ALL)"""
+    SELECT scene, r // 5 AS wr, c // 5 AS wc, avg(pow(10, vv_db / 10)) AS vv, avg(pow(10, vh_db / 10)) AS vh, avg(CASE WHEN pow(10, vh_db / 10) <= 1e-5 * 1.000001 THEN 1.0 ELSE 0.0 END) AS noise_limited_fraction FROM sigma GROUP BY ALL)"""
 
 
 def otsu_view(name: str, source: str, value: str) -> None:
