@@ -176,7 +176,7 @@ def _links(nodes: DataFrame, plan: list[tuple[list[int], int]], tau: int) -> Dat
             probes = F.slice(_variants(key, bits, t), 2, 1 << 30)
             entries.append(nodes.select(F.lit(k).alias("part"), F.explode(probes).alias("key"), "fp", F.lit(False).alias("home")))
     probed = reduce(DataFrame.unionAll, entries)
-    sizes = probed.groupBy("part", "key").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("n > 1 and homes > 0")
+    sizes = cut(probed.groupBy("part", "key").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("n > 1 and homes > 0"), "sizes")
     held = cut(probed.join(sizes, ["part", "key"]).select("part", "key", "fp", "home", "n"), "buckets")
 
     small = held.where(F.col("n") <= PAIR_BUCKET).groupBy("part", "key").agg(F.collect_list(F.struct("fp", "home")).alias("own"))
@@ -311,7 +311,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     nodes = made.groupBy("text_key").agg(F.min(first).alias("first"), F.first("keys").alias("keys"))
     entries = cut(nodes.select("first", F.posexplode("keys").alias("band", "key"), "keys").withColumn("next", F.try_element_at("keys", (F.col("band") + 1) % bands + 1)).drop("keys"), "entries")
 
-    sizes = entries.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("first").alias("least")).where("size > 1")
+    sizes = cut(entries.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("first").alias("least")).where("size > 1"), "sizes")
     held = cut(entries.join(sizes, ["band", "key"]), "buckets")
     stars = held.select(F.col("first.text_key").alias("a"), F.col("least.text_key").alias("b"))
     finer = held.where(F.col("size") > SMALL_BUCKET).groupBy("band", "key", "next").agg(F.count("*").alias("m"), F.min("first").alias("nearest")).where("m > 1")

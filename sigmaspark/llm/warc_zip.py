@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import cut, shared_dir, table
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 WRITTEN = "2024-01-01T00:00:00Z"
@@ -137,7 +137,8 @@ def write_packages(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
     fs.create_dir(local, recursive=True)
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.concat_ws("-", F.sha1(html), F.octet_length(html)).alias("digest"))
-    holders = rows.groupBy("digest").agg(F.max("page_id").alias("holder"))
+    # written out, so that the join below can split a payload that very many pages have
+    holders = cut(rows.groupBy("digest").agg(F.max("page_id").alias("holder")), "holders")
     revisit = (F.octet_length("html") >= min_bytes) & F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder"))
     marked = rows.join(holders, "digest").select("page_id", "url", "html", "holder", revisit.alias("revisit"))
 
