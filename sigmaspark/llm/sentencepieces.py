@@ -14,6 +14,7 @@ program finds it, and its ids are those of the library.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .encoders import MEMORY
+
+#: Units and pairs of pieces that a worker remembers.
+UNITS, PAIRS = 1_000_000, 1_600_000
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -57,6 +60,8 @@ class Pieces:
         keys = np.array([self._key(self.text[i]) for i in normal], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(normal, np.int64)[order]
+        self.filter = np.zeros(1 << 20, bool)  # whether any piece's hash has these upper bits
+        self.filter[self.keys >> np.uint64(44)] = True
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces have one hash")
         self.crosses = any(SPACE in t.lstrip(SPACE) for t in self.id_of)
@@ -90,7 +95,7 @@ class Pieces:
     def may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether a BPE of the two pieces' text keeps them apart; -1 stands for an unknown character or the start."""
         codes = np.where((left >= 0) & (right >= 0), left * len(self.text) + right, -1).tolist()
-        if len(self.allowed) > 4 * MEMORY:
+        if len(self.allowed) > PAIRS:
             self.allowed.clear()
         return np.array([self.allowed[c] if c in self.allowed else self._decide(c) for c in codes], bool)
 
@@ -112,69 +117,70 @@ class Pieces:
         n, length = len(units), len(units[0])
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, length)
         mixed = _mixed(points.astype(np.uint64))
-        unknown = -1
-        score = np.full((n, length + 1), -np.inf)
-        score[:, 0] = 0.0
-        last = np.full((n, length + 1), -1, np.int64)  # the piece that ends here
-        step = np.ones((n, length + 1), np.int64)  # its length: the backpointer
+        score = np.full((length + 1, n), -np.inf)
+        score[0] = 0.0
+        last = np.full((length + 1, n), -1, np.int64)  # the piece that ends here; -1 for an unknown character
+        step = np.ones((length + 1, n), np.int64)  # its length: the backpointer
         floor = float(self.score.min()) - 10.0
         for end in range(1, length + 1):
             key, power = np.zeros(n, np.uint64), np.ones(1, np.uint64)
-            found, scores = [], []
+            score[end] = score[end - 1] + floor  # as an unknown character, unless a piece does better
             for size in range(1, min(end, self.longest) + 1):
-                key = key + mixed[:, end - size] * power
-                power = power * _BASE
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                piece = np.where(self.keys[at] == key, self.ids[at], unknown)
                 start = end - size
-                ok = (piece >= 0) & np.isfinite(score[:, start])
+                key = key + mixed[:, start] * power
+                power = power * _BASE
+                rows = np.flatnonzero(self.filter[key >> np.uint64(44)] & np.isfinite(score[start]))
+                at = np.minimum(np.searchsorted(self.keys, key[rows]), len(self.keys) - 1)
+                hit = self.keys[at] == key[rows]
+                rows, piece = rows[hit], self.ids[at[hit]]
                 if size == 1:
-                    ok = np.isfinite(score[:, start])
+                    score[end, rows] = -np.inf
                 if self.bpe:
-                    rows = np.flatnonzero(ok & (piece >= 0))
-                    if start == 0:
-                        ok[rows] = self.stands(piece[rows])
-                    else:
-                        ok[rows] = self.may_follow(last[rows, start], piece[rows])
-                    value = np.where(ok, 0.0, -np.inf)
+                    ok = self.stands(piece) if start == 0 else self.may_follow(last[start, rows], piece)
+                    rows, piece = rows[ok], piece[ok]
+                    value = np.zeros(len(rows))
                 else:
-                    value = np.where(ok, score[:, start] + np.where(piece >= 0, self.score[piece], floor), -np.inf)
-                found.append(piece)
-                scores.append(value)
-            stacked = np.array(scores)
-            best = np.argmax(stacked, axis=0)
-            rows = np.arange(n)
-            score[:, end] = stacked[best, rows]
-            last[:, end] = np.array(found)[best, rows]
-            step[:, end] = best + 1
-        out: list[bytes] = []
-        last_, step_ = last.tolist(), step.tolist()
-        for r in range(n):
-            ids: list[int] = []
-            end = length
-            while end:
-                piece = last_[r][end]
-                if piece >= 0:
-                    ids.append(piece)
-                else:
-                    raw = units[r][end - 1].encode("utf-8", "surrogatepass")
-                    ids += [self.bytes[b] for b in reversed(raw)] if self.bytes else [self.processor.unk_id()]
-                end -= step_[r][end]
-            out.append(np.array(ids[::-1], "<u4").tobytes())
+                    value = score[start, rows] + self.score[piece]
+                better = value > score[end, rows]
+                rows, piece = rows[better], piece[better]
+                score[end, rows], last[end, rows], step[end, rows] = value[better], piece, size
+        # follow the backpointers of all units together; the ids of a unit end at the right edge of its row
+        ids, at, count = np.zeros((n, length), np.int64), np.full(n, length), np.zeros(n, np.int64)
+        for column in range(length - 1, -1, -1):
+            rows = np.flatnonzero(at)
+            if not len(rows):
+                break
+            ids[rows, column] = last[at[rows], rows]
+            count[rows] += 1
+            at[rows] -= step[at[rows], rows]
+        strange = (ids < 0).any(axis=1).tolist()
+        raw, width = ids.astype("<u4").tobytes(), 4 * length
+        out = [raw[(r + 1) * width - 4 * c : (r + 1) * width] for r, c in enumerate(count.tolist())]
+        for r in (r for r, odd in enumerate(strange) if odd):
+            out[r] = self._with_bytes(units[r], ids[r, length - count[r] :].tolist())
         return out
 
+    def _with_bytes(self, unit: str, ids: list[int]) -> bytes:
+        """Ids whose unknown characters (-1) are spelt in byte pieces, or the unknown piece without those."""
+        whole, at = [], 0
+        for i in ids:
+            if i >= 0:
+                whole.append(i)
+                at += len(self.text[i])
+            else:
+                whole += [self.bytes[b] for b in unit[at].encode("utf-8", "surrogatepass")] if self.bytes else [self.processor.unk_id()]
+                at += 1
+        return np.array(whole, "<u4").tobytes()
+
     def units(self, text: str) -> list[str]:
-        """Parts of a normalised text that no piece crosses: each begins with the spaces before a word."""
+        """Parts of a normalised text that no piece crosses: each is a word with the spaces before it, or a line end."""
         if self.crosses:
             return [text] if text else []
-        out: list[str] = []
-        spaces = ""
-        for k, word in enumerate(text.split(SPACE)):
-            spaces += SPACE * (k > 0)
-            if word:
-                out.append(spaces + word)
-                spaces = ""
-        return [*out, spaces] if spaces else out
+        return (_UNIT if "\n" in self.letters else _UNIT_OF_LINE).findall(text)
+
+
+_UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+_UNIT_OF_LINE = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
 @lru_cache(maxsize=2)
@@ -191,7 +197,7 @@ class Encoder:
         """Ids of each text (little-endian, 32 bits), as the library gives them."""
         p = self.pieces
         cut = [self._units(t) for t in texts]
-        if len(self.known) > MEMORY:
+        if len(self.known) > UNITS:
             self.known.clear()
         fresh: dict[int, list[str]] = {}
         for unit in {u for own in cut for u in own}.difference(self.known):
@@ -204,15 +210,7 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, own)) for own in cut]
 
     def _units(self, text: str) -> list[str]:
-        p = self.pieces
-        normal = p.processor.normalize(text) if text else ""
-        if p.crosses or "\n" in p.letters or "\n" not in normal:
-            return p.units(normal)
-        # a line end is no part of any piece: units on both sides of it are encoded for themselves
-        out: list[str] = []
-        for k, line in enumerate(normal.split("\n")):
-            out += ["\n"] * (k > 0) + p.units(line)
-        return out
+        return self.pieces.units(self.pieces.processor.normalize(text)) if text else []
 
     def decode(self, ids: bytes) -> str:
         """Text of the ids: spaces for their sign, bytes joined, the space put before the text taken off."""
