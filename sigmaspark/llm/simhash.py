@@ -321,14 +321,16 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     met = stars.unionAll(near).unionAll(pairs).where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     met = cut(met, "met")
 
-    sketches = cut(made.join(met.select(F.col("a").alias("text_key")).unionAll(met.select("b")).distinct(), "text_key", "left_semi").groupBy("text_key").agg(F.first("sketch").alias("sketch")), "sketches")
+    # one row of a text leaves a task, so copies don't meet in one
+    compared = met.select(F.col("a").alias("text_key")).unionAll(met.select("b")).distinct()
+    sketches = cut(made.groupBy("text_key").agg(F.first("sketch").alias("sketch")).join(compared, "text_key", "left_semi"), "sketches")
     left = met.join(sketches.select(F.col("text_key").alias("a"), F.col("sketch").alias("x")), "a")
     both = left.join(sketches.select(F.col("text_key").alias("b"), F.col("sketch").alias("y")), "b")
     # the smallest hashes of both together, and how many of those both have
     pool = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
     shared = F.size(F.array_intersect(pool, F.array_intersect("x", "y"))) / F.size(pool)
     links = both.where(shared >= similarity - F.when(F.size(pool) >= SKETCH, ALLOWANCE).otherwise(0.0)).select("a", "b")
-    roots = _components(links)
+    roots = cut(_components(links), "roots")
     return made.select("doc_id", "text_key").join(roots, F.col("text_key") == F.col("node"), "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("root"))
 
 
