@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import cut, drop_written, fresh, table
 
 BITS = 64
 #: A bucket with more fingerprints is linked through one-bit variants instead of pairs (see ``_links``).
@@ -242,25 +242,17 @@ def near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = 5, id_col: str
 # -- a given similarity -------------------------------------------------------------
 #
 # Texts that share 0.8 of their five-word shingles differ in about ten of the 64 bits of a
-# fingerprint over those shingles, too many to probe for. They share far more of their
-# words: a fingerprint over the different words differs in a fifteenth of its bits. It is
-# made as wide as it takes for one of its partitions to be equal, and the shingles decide.
+# fingerprint, too many to probe for. The prefix filter finds them without loss: put the
+# shingles of every text in one order, rare ones first. Of two texts at a similarity t, the
+# shorter's first n - ceil(2t / (1 + t) n) + 1 shingles and the longer's first
+# n - ceil(t n) + 1 have one in common.
 
-#: Share of equal bits at a similarity of 0.8, the recall aimed at there, and the size of a shingle sketch.
-EQUAL_BITS, RECALL, SKETCH = 0.933, 0.99, 256
-#: What an estimate from a full sketch may fall short by: two standard errors.
-ALLOWANCE = 0.05
-SMALL_BUCKET = 16
+#: Counters that the order of shingles is taken from. Any order finds all pairs, a good one makes few candidates.
+COUNTERS, SLABS = 1 << 20, 16
 
 
-def band_layout(n_texts: int) -> tuple[int, int]:
-    """Width and number of partitions: unrelated texts seldom meet, similar ones do with the recall aimed at."""
-    width = max(24, math.ceil(math.log2(max(n_texts, 2))) + 6)
-    return width, math.ceil(math.log(1 - RECALL) / math.log(1 - EQUAL_BITS**width))
-
-
-def _wide(text: str | None, shingle: int, width: int, bands: int) -> tuple[list[int], list[int]]:
-    """Partition keys of the word fingerprint, and the smallest hashes of the text's different shingles."""
+def _shingles(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted hashes of the text's different shingles; a shorter text is one shingle."""
     import xxhash
 
     words = (text or "").encode().lower().split()
@@ -269,69 +261,112 @@ def _wide(text: str | None, shingle: int, width: int, bands: int) -> tuple[list[
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(joined)]])
     n = max(1, len(words) - shingle + 1)
-    hashes = np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[min(shingle, max(1, len(words))) - 1 :].tolist(), strict=True)], np.uint64))
-    own = np.array([digest(w, 42) for w in set(words)] or [0], np.uint64)
-    longs = -(-width * bands // 64)
-    ones, spread = np.zeros(64 * longs, np.int64), _spread(longs)
-    for at in range(0, len(own), 20_000):  # bounded memory for long texts
-        h = (own[at : at + 20_000, None] + spread) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        ones += np.unpackbits(np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(own))[: width * bands].reshape(bands, width)
-    keys = bits @ (np.int64(1) << np.arange(width, dtype=np.int64))
-    return keys.tolist(), np.sort(hashes.view(np.int64))[:SKETCH].tolist()
-
-
-@lru_cache(maxsize=4)
-def _spread(longs: int) -> np.ndarray:
-    return np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
+    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[min(shingle, max(1, len(words))) - 1 :].tolist(), strict=True)], np.uint64)
+    return np.unique(hashes.view(np.int64))
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+
+
+def _rarity(made: DataFrame) -> np.ndarray:
+    """How many rows hold a shingle of each counter. The table's size is fixed."""
+    width = COUNTERS // SLABS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column("hashes").flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+        held = [k for k in range(SLABS) if total[k * width : (k + 1) * width].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([total[k * width : (k + 1) * width].tobytes() for k in held], pa.binary())], ["slab", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in group.column("counts").to_pylist())
+        return pa.table({"slab": group.column("slab")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(COUNTERS, np.int64)
+    schema = "slab int, counts binary"
+    for k, counts in made.select("hashes").mapInArrow(count, schema).groupBy("slab").applyInArrow(add, schema).collect():
+        out[k * width : (k + 1) * width] = np.frombuffer(counts, np.int64)
+    return np.minimum(out, (1 << 31) - 1).astype(np.int32)
+
+
+def _prefixes(made: DataFrame, rarity: np.ndarray, t: float) -> DataFrame:
+    """shingle, node, n, short: the prefix of each row; ``short`` are those within the shorter text's prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, nodes, sizes, shorts = [], [], [], []
+            flat, offsets = batch.column("hashes").values.to_numpy(), batch.column("hashes").offsets.to_numpy()
+            for node, a, b in zip(batch.column("node").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                h, n = flat[a:b], b - a
+                first = n - math.ceil(t * n - 1e-9) + 1
+                found.append(h[np.lexsort((h, rarity[h & (COUNTERS - 1)]))[:first]])
+                first = len(found[-1])
+                nodes.append(np.full(first, node, np.int64))
+                sizes.append(np.full(first, n, np.int32))
+                shorts.append(np.arange(first) < n - math.ceil(2 * t / (1 + t) * n - 1e-9) + 1)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, nodes, sizes, shorts)], ["shingle", "node", "n", "short"])
+
+    return made.select("node", "hashes").mapInArrow(run, "shingle bigint, node bigint, n int, short boolean")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs a, b whose similarity over all shingles is reached."""
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
 
 
 def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, root for every row: root names the group of texts linked at the similarity (Jaccard, shingles).
 
-    Partitions of the word fingerprint are probed by equal keys. A text is compared with
-    the text of the smallest id in its bucket, and with that of the smallest id among those
-    that are equal in the next partition too; in small buckets, all are compared. A
-    comparison estimates the similarity from shingle sketches, which hold all shingles of
-    short texts; from longer ones, ``ALLOWANCE`` less is enough. Nulls, ties and empty tables as in ``near_duplicates``.
+    Groups are exact: all pairs that can reach the similarity share a shingle of their
+    prefixes, and all shingles of both decide. Each text is first compared with two leaders
+    of its buckets, which joins large groups; then all pairs of a bucket that are not yet in
+    one group are compared. Nulls, ties and empty tables as in ``near_duplicates``.
     """
-    width, bands = band_layout(docs.count())
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            keys, sketches = zip(*[_wide(t, shingle, width, bands) for t in batch.column("text").to_pylist()], strict=True) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], ["doc_id", "text_key", "keys", "sketch"])
+            sets = [_shingles(t, shingle) for t in batch.column("text").to_pylist()]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(nodes), _lists(sets)], ["doc_id", "text_key", "node", "hashes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    made = cut(rows.mapInArrow(make, "doc_id bigint, text_key bigint, keys array<bigint>, sketch array<bigint>"), "wide")
-    first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")
-    nodes = made.groupBy("text_key").agg(F.min(first).alias("first"), F.first("keys").alias("keys"))
-    entries = cut(nodes.select("first", F.posexplode("keys").alias("band", "key"), "keys").withColumn("next", F.try_element_at("keys", (F.col("band") + 1) % bands + 1)).drop("keys"), "entries")
-
-    sizes = cut(entries.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("first").alias("least")).where("size > 1"), "sizes")
-    held = cut(entries.join(sizes, ["band", "key"]), "buckets")
-    stars = held.select(F.col("first.text_key").alias("a"), F.col("least.text_key").alias("b"))
-    finer = held.where(F.col("size") > SMALL_BUCKET).groupBy("band", "key", "next").agg(F.count("*").alias("m"), F.min("first").alias("nearest")).where("m > 1")
-    near = held.join(cut(finer, "finer"), ["band", "key", "next"]).select(F.col("first.text_key").alias("a"), F.col("nearest.text_key").alias("b"))
-    small = held.where(F.col("size") <= SMALL_BUCKET).groupBy("band", "key").agg(F.collect_list("first.text_key").alias("own"))
-    pairs = small.select("own", F.explode("own").alias("a")).select("a", F.explode("own").alias("b"))
-    met = stars.unionAll(near).unionAll(pairs).where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    met = cut(met, "met")
-
+    # a node is a set of shingles: texts with the same set are one
+    made = cut(rows.mapInArrow(make, "doc_id bigint, text_key bigint, node bigint, hashes array<bigint>"), "shingles")
+    entries = cut(_prefixes(made, _rarity(made), similarity), "prefixes")
+    shared = entries.groupBy("shingle").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.max("short").alias("s")).where("u != v and s").select("shingle")
+    held = cut(entries.join(shared, "shingle", "left_semi").distinct(), "buckets")
+    drop_written(entries)
     # one row of a text leaves a task, so copies don't meet in one
-    compared = met.select(F.col("a").alias("text_key")).unionAll(met.select("b")).distinct()
-    sketches = cut(made.groupBy("text_key").agg(F.first("sketch").alias("sketch")).join(compared, "text_key", "left_semi"), "sketches")
-    left = met.join(sketches.select(F.col("text_key").alias("a"), F.col("sketch").alias("x")), "a")
-    both = left.join(sketches.select(F.col("text_key").alias("b"), F.col("sketch").alias("y")), "b")
-    # the smallest hashes of both together, and how many of those both have
-    pool = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
-    shared = F.size(F.array_intersect(pool, F.array_intersect("x", "y"))) / F.size(pool)
-    links = both.where(shared >= similarity - F.when(F.size(pool) >= SKETCH, ALLOWANCE).otherwise(0.0)).select("a", "b")
+    sets = cut(made.join(held.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+
+    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    leaders = held.groupBy("shingle").agg(F.min("node").alias("leader"), F.max(F.struct("n", "node")).alias("longest"))
+    led = held.join(leaders, "shingle").groupBy("node").agg(F.min("leader").alias("p"), F.max("longest").alias("q"))
+    stars = led.select(F.col("node").alias("a"), F.explode(F.array("p", "q.node")).alias("b")).where("a != b").select(*ordered).distinct()
+    links = cut(_linked(stars, sets, similarity), "stars")
+    roots = cut(_components(links), "roots")
+
+    named = cut(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    shares = named.groupBy("shingle", "root").agg(F.count("*").alias("m"))
+    mixed = shares.groupBy("shingle").agg(F.max(F.struct("m", "root")).getField("root").alias("most"), F.count("*").alias("groups")).where("groups > 1").select("shingle", "most")
+    rest = cut(named.join(mixed, "shingle"), "mixed")
+    x, y = rest.where("root != most").alias("x"), rest.alias("y")
+    x_first = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
+    near = F.when(x_first, F.col("x.short") & (F.col("x.n") >= similarity * F.col("y.n") - 1e-6)).otherwise(F.col("y.short") & (F.col("y.n") >= similarity * F.col("x.n") - 1e-6))
+    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & near)
+    met = cut(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).select(*ordered).distinct(), "met")
+    links = links.unionAll(cut(_linked(met, sets, similarity), "pairs"))
     roots = cut(_components(links), "roots")
-    return made.select("doc_id", "text_key").join(roots, F.col("text_key") == F.col("node"), "left").select("doc_id", "text_key", F.coalesce("root", "text_key").alias("root"))
+    return made.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float | None = 0.8, tau: int = 2, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

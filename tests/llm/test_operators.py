@@ -260,6 +260,22 @@ def test_similar_texts_and_dropping(spark, docs, none):
     assert simhash.drop_near_duplicates(none).count() == 0
 
 
+def roots_of(spark, texts):
+    got = simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r.doc_id: r.root for r in got}
+
+
+def test_pairs_inside_a_template_family_are_linked(spark):
+    base = words(61, 80).split()
+    texts = []
+    for k in range(60):  # pages are 0.67 alike; each has a partner that differs in the last word
+        w = [*base]
+        w[10], w[35], w[60] = f"own{k}a", f"own{k}b", f"own{k}c"
+        texts += [" ".join(w), " ".join([*w[:-1], "other"])]
+    root = roots_of(spark, texts)
+    assert all(root[2 * k] == root[2 * k + 1] for k in range(60)) and len(set(root.values())) == 60
+
+
 def test_quality_rules(spark, docs, none):
     r = quality.quality_rules(docs).collect()
     assert len(r) == docs.count()
