@@ -2,8 +2,8 @@
 
 Lines are normalised and hashed. A line that occurs in too many different documents of a
 host is boilerplate: it is removed, and a document that loses too much is rejected.
-Copies of one document are not different documents: for a line, documents count as
-different if the smallest line hash among their other lines differs.
+Copies of one document are not different documents: documents count as different if
+their sets of lines differ.
 """
 
 from __future__ import annotations
@@ -111,10 +111,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                        F.xxhash64(text_col).alias("text_key"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     measured = cut(rows.mapInArrow(_measured, _SCHEMA), "measured")
 
-    keys = F.array_sort("lines.line")
-    lines = measured.select("row", "host", F.slice(keys, 1, 2).alias("low"), F.explode("lines").alias("x")).select("row", "host", F.col("x.line").alias("line"), F.col("x.words").alias("words"),
-        F.when(F.col("low")[0] != F.col("x.line"), F.col("low")[0]).otherwise(F.get("low", F.lit(1))).alias("other"))
-    different = lines.groupBy("host", "line", "other").agg(F.count("*").alias("rows")).groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
+    keys = F.xxhash64(F.array_sort("lines.line"))
+    lines = measured.select("row", "host", keys.alias("page"), F.explode("lines").alias("x")).select("row", "host", "page", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
+    different = lines.groupBy("host", "line", "page").agg(F.count("*").alias("rows")).groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
     hosts = measured.groupBy("host").agg(F.count("*").alias("host_rows"))
     frequent = cut(different.join(hosts, "host").where(F.col("n_docs") > host_share * F.col("host_rows")).select("host", "line"), "frequent")
     lost = lines.join(frequent, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed"))

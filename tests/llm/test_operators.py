@@ -294,6 +294,12 @@ def test_quality_rules(spark, docs, none):
     assert quality.quality_rules(none).count() == 0 and quality.apply_quality_rules(none).columns == none.columns
 
 
+def test_pages_with_the_same_header_and_footer_are_different(spark):
+    common = [words(600 + k, 12) for k in range(20)]
+    d = spark.createDataFrame([(k, "\n".join([*common[:10], words(k + 3000, 200), *common[10:]]), "h") for k in range(400)], "doc_id long, text string, source string")
+    assert {x.removed_words for x in quality.quality_rules(d).collect()} == {240}
+
+
 def test_repeated_words_by_brute_force():
     r = random.Random(4)
     for _ in range(300):
