@@ -276,6 +276,16 @@ def test_pairs_inside_a_template_family_are_linked(spark):
     assert all(root[2 * k] == root[2 * k + 1] for k in range(60)) and len(set(root.values())) == 60
 
 
+def test_texts_with_changed_blocks_are_linked(spark):
+    texts = []
+    for k in range(60):  # a fifth of another text is appended, or a block is replaced
+        w = words(7000 + k, 200).split()
+        other = words(8000 + k, 40).split()
+        texts += [" ".join(w), " ".join(w + other)] if k % 2 else [" ".join(w), " ".join(w[:100] + other[:16] + w[116:])]
+    root = roots_of(spark, texts)
+    assert all(root[2 * k] == root[2 * k + 1] for k in range(60)) and len(set(root.values())) == 60
+
+
 def test_quality_rules(spark, docs, none):
     r = quality.quality_rules(docs).collect()
     assert len(r) == docs.count()
