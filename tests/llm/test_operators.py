@@ -286,6 +286,18 @@ def test_texts_with_changed_blocks_are_linked(spark):
     assert all(root[2 * k] == root[2 * k + 1] for k in range(60)) and len(set(root.values())) == 60
 
 
+def test_long_texts_are_linked_at_the_very_similarity(spark):
+    texts, linked = [], []
+    for k in range(40):  # 1196 shingles shared by both, of 1494 or 1500 together
+        w = words(9000 + k, 1200).split()
+        extra = [f"x{k}y{j}" for j in range(299 if k % 2 else 300)]
+        texts += [" ".join(w), " ".join(w + extra)]
+        a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts[-2:])
+        linked.append(len(a & b) / len(a | b) >= 0.8)
+    root = roots_of(spark, texts)
+    assert [root[2 * k] == root[2 * k + 1] for k in range(40)] == linked and 0 < sum(linked) < 40
+
+
 def test_quality_rules(spark, docs, none):
     r = quality.quality_rules(docs).collect()
     assert len(r) == docs.count()
