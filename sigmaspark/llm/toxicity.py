@@ -38,8 +38,6 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i", "£": "l",
 }
 SUBSTITUTED, REPEATED, KEPT_DOUBLE, DROPPED, PARTED = 1.0, 0.5, 1.0, 1.0, 2.0
-#: Longer tokens (hashes, keys, addresses) are not words in disguise.
-LONGEST = 32
 
 
 # -- character model ----------------------------------------------------------------
@@ -94,8 +92,9 @@ def log_model(counts: np.ndarray, k: float = 5.0) -> np.ndarray:
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LEET_INSIDE = re.compile("[" + re.escape("".join(LEET)) + "]")
-_REPEATED = re.compile(r"([^\W\d_])\1\1")
-_SEPARATED = re.compile(r"[^\W_](?:[.\-_*~·,/][^\W_]){2,}")
+_REPEATED = re.compile(r"([^\W\d_])\1")
+#: What may end a token without being meant as a letter: all signs, those that seldom stand for one, those that never do.
+_ENDS = ["!|+()$.,;:?\"'", "!|+().,;:?\"'", ").,;:?\"'"]
 _RUN = re.compile(r"(.)\1*", re.S)
 
 
@@ -138,13 +137,17 @@ def decode(token: str, model: list) -> str:
     return "".join(reversed(out))
 
 
-def suspicious(token: str) -> bool:
-    """Letters with signs among them, a letter three times in a row, or single letters with separators."""
-    if len(token) > LONGEST or not any(map(str.isalpha, token)):
-        return False
-    core = token.rstrip("!|+()$.,;:?\"'")
-    signs = len(_LEET_INSIDE.findall(core))
-    return bool(0 < signs <= sum(map(str.isalpha, core)) or _REPEATED.search(token) or _SEPARATED.fullmatch(core))
+def cores(token: str) -> list[str]:
+    """The token without what may end it, by its likeliest reading first: a dollar sign stands for a letter, other signs end a word."""
+    token = token.lstrip("\"'.,;:?-_*~·/")
+    return list(dict.fromkeys(token.rstrip(_ENDS[k]) for k in (1, 0, 2)))
+
+
+def suspicious(core: str) -> bool:
+    """Letters with a sign or separator among them, or a letter twice in a row; or signs alone that are no number."""
+    if not any(map(str.isalpha, core)):
+        return len(_LEET_INSIDE.findall(core)) > 1 and any(c in LEET and not c.isdigit() for c in core)
+    return not core.isalpha() or bool(_REPEATED.search(core))
 
 
 class Restorer:
@@ -152,12 +155,18 @@ class Restorer:
 
     def __init__(self, log_chances: np.ndarray):
         self.model = log_chances.tolist()
-        self.known = Remembered(self._words)
-
-    def _words(self, token: str) -> tuple[str, ...]:
-        if suspicious(token):
-            token = decode(token.rstrip("!|+()$.,;:?\"'"), self.model)
-        return tuple(_LETTERS.findall(token))
+        self.known = Remembered(self._readings)
+
+    def _readings(self, token: str) -> tuple[tuple[str, ...], ...]:
+        """The words of each reading, the likeliest first. Whole words between signs are read as they stand, too."""
+        out: dict[tuple[str, ...], None] = {}
+        for core in cores(token):
+            plain = tuple(_LETTERS.findall(core))
+            if suspicious(core):
+                out[tuple(_LETTERS.findall(decode(core, self.model)))] = None
+            if plain and (not suspicious(core) or min(map(len, plain)) > 1):
+                out[plain] = None
+        return tuple(out) or ((),)
 
     def tokens(self, text: str) -> list[str]:
         """White-space tokens in lower case; three or more single characters in a row become one, with spaces."""
@@ -170,8 +179,8 @@ class Restorer:
             if len(t) == 1 and (t.isalnum() or t in LEET):
                 run.append(t)
                 continue
-            if len(run) >= 3 and len(set(run)) > 2:
-                out += [" ".join(run[at : at + LONGEST]) for at in range(0, len(run), LONGEST)]
+            if len(run) >= 3 and len(set(run)) > 1:
+                out.append(" ".join(run))
             else:
                 out += run
             run = []
@@ -179,11 +188,16 @@ class Restorer:
                 out.append(t)
         return out
 
-    def spaced(self, token: str) -> tuple[str, ...]:
-        return tuple(_LETTERS.findall(decode(token, self.model))) if " " in token else self.known[token]
+    def readings(self, token: str) -> tuple[tuple[str, ...], ...]:
+        return (tuple(_LETTERS.findall(decode(token, self.model))),) if " " in token else self.known[token]
 
     def words(self, text: str | None) -> list[str]:
-        return [w for t in self.tokens(text or "") for w in self.spaced(t)]
+        """The likeliest reading of each token."""
+        return [w for t in self.tokens(text or "") for w in self.readings(t)[0]]
+
+    def read(self, text: str | None) -> set[str]:
+        """Words of all readings."""
+        return {w for t in set(self.tokens(text or "")) for own in self.readings(t) for w in own}
 
 
 # -- classifier ---------------------------------------------------------------------
@@ -202,7 +216,7 @@ class Scorer:
         self.restorer = Restorer(log_chances)
         self.lexicon, self.weights = lexicon, weights
         self.weight = Remembered(lambda w: max((self.lexicon.get(_feature_id(f), 0.0) for f in features(w)), default=0.0))
-        self.token_weight = Remembered(lambda t: max((self.weight[w] for w in self.restorer.spaced(t)), default=0.0))
+        self.token_weight = Remembered(lambda t: max((self.weight[w] for own in self.restorer.readings(t) for w in own), default=0.0))
 
     def summary(self, text: str | None) -> tuple[float, float, float]:
         """Largest weight, log of the sum of weights over different tokens, share of marked tokens."""
@@ -242,7 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(log_chances)
         for batch in batches:
-            ids = [sorted({_feature_id(f) for w in set(restorer.words(t)) for f in features(w)}) for t in batch.column("text").to_pylist()]
+            ids = [sorted({_feature_id(f) for w in restorer.read(t) for f in features(w)}) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(ids, pa.list_(pa.int64()))], ["y", "features"])
 
     counts = rows.mapInArrow(extract, "y int, features array<bigint>").select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))

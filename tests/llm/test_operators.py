@@ -372,6 +372,34 @@ def test_toxicity(spark, docs, none):
     assert "stupid" in toxicity.restore_texts(d.where("doc_id = 9001"), model["log_chances"]).first().restored
 
 
+ENGLISH = "you are the most useful person and should go to a school that is not in our town while other people read books about birds or walk over hills".split()
+
+
+@pytest.fixture(scope="module")
+def insults(spark):
+    r = random.Random(7)
+    rows = []
+    for k in range(1500):
+        w = [r.choice(ENGLISH) for _ in range(40)]
+        if k % 6 == 0:
+            w[r.randrange(40)] = r.choice(["stupid", "worthless", "idiot", "moron", "loser", "trash", "ass", "twat"])
+        rows.append((k, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    return toxicity.train(d, spark.createDataFrame([(k, int(k % 6 == 0)) for k in range(1500)], "doc_id long, toxic int"))
+
+
+def predicted(spark, model, texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.predicted for r in toxicity.score_toxicity(d, model).collect()}
+    return [t for k, t in enumerate(texts) if found[k]]
+
+
+def test_every_disguise_is_decoded(spark, insults):
+    hidden = ["stup" + "i" * 30 + "d", "w.o.r.t.h.l.e.s.s.i.d.i.o.t.m.o.r.o.n", "1d10t", "l053r", "7r45h", "w0r7hl355", "tw@t", "stuupiid", "s--t--u--p--i--d", "st.up.id", "you are a " + " ".join("uselesspersonandothermostusefulstupid")]
+    assert predicted(spark, insults, [f"go to our town {x} and read" for x in hidden]) == [f"go to our town {x} and read" for x in hidden]
+    assert predicted(spark, insults, ["2024 10:30 3.14 books, birds!", "the school is not in our town!", None, "well-known hills (see a school)"]) == []
+
+
 def test_pipeline_stages(spark, docs, none):
     import corpus_pipeline
 
