@@ -203,8 +203,8 @@ class Restorer:
 # -- classifier ---------------------------------------------------------------------
 
 def features(word: str) -> list[str]:
-    """The word itself and its first four and five letters."""
-    return [word, word[:4] + "*", word[:5] + "*"] if len(word) >= 4 else []
+    """The word itself, and of longer words the first four and five letters."""
+    return [word, word[:4] + "*", word[:5] + "*"] if len(word) >= 4 else [word]
 
 
 def _feature_id(feature: str) -> int:

@@ -400,6 +400,12 @@ def test_every_disguise_is_decoded(spark, insults):
     assert predicted(spark, insults, ["2024 10:30 3.14 books, birds!", "the school is not in our town!", None, "well-known hills (see a school)"]) == []
 
 
+def test_short_words_are_learnt(spark, insults):
+    hidden = ["ass", "a$$", "a s s", "a.s.s", "aaassss"]
+    assert predicted(spark, insults, [f"go to our town {x} and read" for x in hidden]) == [f"go to our town {x} and read" for x in hidden]
+    assert predicted(spark, insults, ["go to our town and read as you are"]) == []
+
+
 def test_pipeline_stages(spark, docs, none):
     import corpus_pipeline
 
