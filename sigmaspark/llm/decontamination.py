@@ -48,14 +48,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     words; null and repeated document ids are carried along, one result row per input row.
     Other columns are not read. Empty tables give an empty result or no contamination.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), _words(F.col(item_text_col)).alias("item")).where(F.col("item")[0] != "")
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), _words(F.col(item_text_col)).alias("item")).where(F.col("item")[0] != "").withColumn("item_key", F.xxhash64("item"))
     lengths = items.agg(F.count("*").alias("n"), F.sum(F.size("item") * (F.octet_length(F.array_join("item", " ")) + 64)).alias("bytes"), F.array_sort(F.collect_set(F.when(F.size("item") < SEEDED, F.size("item")))).alias("short")).first()
     masks = _masks(lengths.short)
 
-    seeds = items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("j"))
+    seeds = items.select("item_id", "item_key", "item", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("j"))
     fits = [F.when(F.col("j") + (max(m) + 1) <= F.size("item"), F.struct(_seed(F.lit(k), "item", F.col("j"), m).alias("seed"), F.lit(k).alias("mask"))) for k, m in masks[: len(MASKS)]]
     fits += [F.when((F.col("j") == 0) & (F.size("item") == len(m)), F.struct(_seed(F.lit(k), "item", F.col("j"), m).alias("seed"), F.lit(k).alias("mask"))) for k, m in masks[len(MASKS) :]]
-    seeds = seeds.select("item_id", "item", "j", F.explode(F.filter(F.array(*fits), lambda x: x.isNotNull())).alias("s")).select("item_id", "item", "j", "s.seed", "s.mask")
+    seeds = seeds.select("item_id", "item_key", "item", "j", F.explode(F.filter(F.array(*fits), lambda x: x.isNotNull())).alias("s")).select("item_id", "item_key", "item", "j", "s.seed", "s.mask")
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.monotonically_increasing_id().alias("row"), _words(F.col(text_col)).alias("words"))
     # position -1 stands for the document itself, and joins a row of its own
@@ -63,14 +63,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     hashes = F.when(F.col("i") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.array(*[_seed(F.lit(k), "words", F.col("i"), m) for k, m in masks]))
     probes = each.select("doc_id", "text_key", "row", "words", "i", F.explode(hashes).alias("seed"), (F.col("i") < 0).alias("whole"))
     spark = docs.sparkSession
-    own = spark.createDataFrame([(None, None, 0, 0, None, True)], "item_id bigint, item array<string>, j int, seed bigint, mask int, whole boolean")
+    own = spark.createDataFrame([(None, None, None, 0, 0, None, True)], "item_id bigint, item_key bigint, item array<string>, j int, seed bigint, mask int, whole boolean")
     seeds = seeds.withColumn("whole", F.lit(False)).unionByName(own)
 
     if (lengths.bytes or 0) * len(masks) <= BROADCAST_BYTES:
         hits = probes.join(F.broadcast(seeds), ["seed", "whole"])
     else:  # seeds alone are exchanged; the words come back for the hits
         found = probes.select("row", "i", "seed", "whole").join(seeds.drop("item"), ["seed", "whole"])
-        hits = found.join(rows, "row").join(items.dropDuplicates(["item_id"]), "item_id", "left")
+        hits = found.join(rows, "row").join(items.dropDuplicates(["item_id", "item_key"]), ["item_id", "item_key"], "left")
 
     verified = hits.select("row", "doc_id", "text_key", "item_id", _verified(masks).alias("v"))
     return verified.groupBy("row", "doc_id", "text_key").agg(

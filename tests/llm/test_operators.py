@@ -167,6 +167,15 @@ def test_decontamination(spark, docs, none):
     assert decontamination.find_leaks(docs, bench).count() == docs.count()
 
 
+@pytest.mark.parametrize("limit", [0, 64_000_000])
+def test_all_texts_of_an_item_are_sought(spark, limit, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", limit)
+    texts = [words(20 + k, 20) for k in range(6)]
+    bench = spark.createDataFrame([(1, t) for t in texts] + [(None, words(30, 20))], "item_id long, text string")
+    d = spark.createDataFrame([(k, f"x {t} y") for k, t in enumerate([*texts, words(31, 20)])], "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.find_leaks(d, bench).where("contaminated").collect()) == list(range(6))
+
+
 def test_sharding(spark, docs, none):
     many = spark.createDataFrame([(i, words(i % 700, 20 + i % 50) if i % 3 else "copy of one text") for i in range(3000)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     got = sharding.shard_documents(many, 8).collect()
