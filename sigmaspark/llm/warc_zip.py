@@ -78,6 +78,9 @@ def read_directory(size: int, read: Callable[[int, int], bytes]) -> dict[str, tu
     tail_at = max(0, size - 65_557)
     tail = read(tail_at, size - tail_at)
     end = tail.rfind(b"PK\x05\x06")
+    # the end record is the one whose comment ends the file; the signature may stand inside a comment, too
+    while end >= 0 and (end + 22 > len(tail) or end + 22 + _u("H", tail, end + 20)[0] != len(tail)):
+        end = tail.rfind(b"PK\x05\x06", 0, end)
     if end < 0:
         raise ValueError("no end of central directory")
     count, length, start = _u("HII", tail, end + 10)
@@ -125,7 +128,7 @@ def _stored(members: dict, name: str) -> tuple[int, int]:
 # -- Spark --------------------------------------------------------------------------
 
 def write_packages(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write a record for every row of ``pages``, a package per partition; returns package, records.
+    """Write a record for every row of ``pages``, a package per partition; returns package, records, bytes.
 
     Of records with equal payloads of at least ``min_bytes`` bytes, the one with the largest
     page id holds the payload, the others are revisits of it. A null payload is empty.
@@ -158,22 +161,28 @@ def write_packages(pages: DataFrame, path: str, min_bytes: int = 0, id_col: str
             package.writestr(zipfile.ZipInfo(INDEX), "\n".join(index))
         if n:
             fs.move(tmp, f"{local}/{name}")
-            yield pa.RecordBatch.from_pydict({"package": [name], "records": [n]})
+            yield pa.RecordBatch.from_pydict({"package": [name], "records": [n], "bytes": [at]})
         else:
             fs.delete_file(tmp)
 
-    written = marked.mapInArrow(write, "package string, records bigint").collect()  # a row per package
-    spark = pages.sparkSession
-    return spark.createDataFrame(sorted(written), "package string, records bigint")
+    schema = "package string, records bigint, bytes bigint"
+    written = marked.mapInArrow(write, schema).collect()  # a row per package
+    return pages.sparkSession.createDataFrame(sorted(written), schema)
 
 
-def read_packages(packages: DataFrame, path: str, records_per_read: int = 500) -> DataFrame:
+def read_packages(packages: DataFrame, path: str, records_per_read: int = 500, bytes_per_read: int = 8_000_000, bytes_per_task: int = 64_000_000) -> DataFrame:
     """Every record of the packages: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
 
-    A first pass reads each package's directory and index and cuts the index into runs of
-    neighbouring records; the runs are spread over the tasks, and each is one range read.
-    Length and digest of a revisit are those its header states.
+    ``packages`` is what ``write_packages`` returned: package and bytes. A first pass reads
+    each package's directory and index and cuts the index into runs of neighbouring records,
+    at most so many records and bytes (one record may be longer); the runs are spread over as
+    many tasks as the bytes ask for, and each is one range read. Length and digest of a
+    revisit are those its header states. Null ids and URLs come back as null, empty payloads
+    as empty; repeated records are rows of their own; no packages give an empty result.
     """
+    spark = packages.sparkSession
+    total = packages.agg(F.sum("bytes")).first()[0] or 0
+    n_tasks = max(spark.sparkContext.defaultParallelism, -(-total // bytes_per_task))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, local = pafs.FileSystem.from_uri(path)
@@ -184,8 +193,7 @@ def read_packages(packages: DataFrame, path: str, records_per_read: int = 500) -
                     members = read_directory(f.size(), read)
                     (start, _), (index_at, index_size) = _stored(members, ARCHIVE), _stored(members, INDEX)
                     entries = [json.loads(x) for x in read(index_at, index_size).decode().split("\n") if x]
-                for at in range(0, len(entries), records_per_read):
-                    own = entries[at : at + records_per_read]
+                for own in _runs(entries, records_per_read, bytes_per_read):
                     yield pa.RecordBatch.from_pydict({"package": [name], "offset": [start + own[0]["offset"]], "lengths": pa.array([[e["length"] for e in own]], pa.list_(pa.int64()))})
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,14 +202,31 @@ def read_packages(packages: DataFrame, path: str, records_per_read: int = 500) -
             for name, at, lengths in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with fs.open_input_file(f"{local}/{name}") as f:
                     data = f.read_at(sum(lengths), at)
-                out, where = [], 0
+                out, where, held = [], 0, 0
                 for n in lengths:
                     out.append(_row(parse_record(data[where : where + n])))
-                    where += n
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], _NAMES)
+                    where, held = where + n, held + len(out[-1][-1] or b"")
+                    if held > 4 * bytes_per_read:  # what the records unpack to is bounded, too
+                        yield _batch(out)
+                        out, held = [], 0
+                if out:
+                    yield _batch(out)
 
     listed = packages.select("package").mapInArrow(runs, "package string, offset bigint, lengths array<bigint>")
-    return listed.repartition(F.col("package"), F.col("offset")).mapInArrow(fetch, _READ)
+    return listed.repartition(n_tasks, "package", "offset").mapInArrow(fetch, _READ)
+
+
+def _runs(entries: list[dict], most_records: int, most_bytes: int) -> Iterator[list[dict]]:
+    """Runs of index entries within both bounds, an entry at least."""
+    own, held = [], 0
+    for e in entries:
+        if own and (len(own) == most_records or held + e["length"] > most_bytes):
+            yield own
+            own, held = [], 0
+        own.append(e)
+        held += e["length"]
+    if own:
+        yield own
 
 
 _NAMES = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
@@ -209,6 +234,10 @@ _TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.strin
 _READ = "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary"
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
+
+
 def _page(urn: str | None) -> int | None:
     text = (urn or "").removeprefix("<urn:page:").removesuffix(">")
     return int(text) if text else None
