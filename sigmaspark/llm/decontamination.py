@@ -8,7 +8,8 @@ word by word.
 Tolerance: an item is found where WINDOW consecutive words of it (all words of a shorter
 item) stand in the document with up to 2 substitutions (up to 1 for items of 8 to 11
 words, none below). The two masks hit every such place: whichever words are substituted,
-one of the masks picks only others at some offset.
+one of the masks picks only others at some offset. Items under INSIDE words are common
+speech: they are found only where a document is that item and nothing else.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import cut, fresh, table
 
 WINDOW = 12
 MASKS = [(0, 1, 2, 4, 5), (0, 1, 4, 6, 7)]
 SEEDED = 8  # items with fewer words are sought whole
+INSIDE = 4  # items with fewer words must be the whole document
 #: Seeds of a benchmark that need more than this are not broadcast.
 BROADCAST_BYTES = 64_000_000
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -44,11 +46,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """One row per row of ``docs``: doc_id, contaminated, n_items, item_ids (sorted), overlap, text_key.
 
     ``overlap`` is the largest share of a window's words found in place, 0 without a hit.
-    Items without words never match; repeated items count once by id. Null texts have no
-    words; null and repeated document ids are carried along, one result row per input row.
+    Items without words or without an id never match; repeated items count once by id. Null
+    texts have no words; null and repeated document ids are carried along, one result row per input row.
     Other columns are not read. Empty tables give an empty result or no contamination.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), _words(F.col(item_text_col)).alias("item")).where(F.col("item")[0] != "").withColumn("item_key", F.xxhash64("item"))
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), _words(F.col(item_text_col)).alias("item")).where((F.col("item")[0] != "") & F.col("item_id").isNotNull()).withColumn("item_key", F.xxhash64("item"))
     lengths = items.agg(F.count("*").alias("n"), F.sum(F.size("item") * (F.octet_length(F.array_join("item", " ")) + 64)).alias("bytes"), F.array_sort(F.collect_set(F.when(F.size("item") < SEEDED, F.size("item")))).alias("short")).first()
     masks = _masks(lengths.short)
 
@@ -58,24 +60,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     seeds = seeds.select("item_id", "item_key", "item", "j", F.explode(F.filter(F.array(*fits), lambda x: x.isNotNull())).alias("s")).select("item_id", "item_key", "item", "j", "s.seed", "s.mask")
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.monotonically_increasing_id().alias("row"), _words(F.col(text_col)).alias("words"))
-    # position -1 stands for the document itself, and joins a row of its own
-    each = rows.select("doc_id", "text_key", "row", "words", F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("i"))
-    hashes = F.when(F.col("i") < 0, F.array(F.lit(0).cast("long"))).otherwise(F.array(*[_seed(F.lit(k), "words", F.col("i"), m) for k, m in masks]))
+    small = (lengths.bytes or 0) * len(masks) <= BROADCAST_BYTES
+    probed = rows if small else cut(rows, "words")
+    # where seeds are broadcast, position -1 stands for the document itself and joins a row of its own: no exchange before the last
+    each = probed.select("doc_id", "text_key", "row", "words", F.explode(F.sequence(F.lit(-1 if small else 0), F.size("words") - 1)).alias("i"))
+    hashes = F.array(*[_seed(F.lit(k), "words", F.col("i"), m) for k, m in masks])
+    if small:
+        hashes = F.when(F.col("i") < 0, F.array(F.lit(0).cast("long"))).otherwise(hashes)
     probes = each.select("doc_id", "text_key", "row", "words", "i", F.explode(hashes).alias("seed"), (F.col("i") < 0).alias("whole"))
-    spark = docs.sparkSession
-    own = spark.createDataFrame([(None, None, None, 0, 0, None, True)], "item_id bigint, item_key bigint, item array<string>, j int, seed bigint, mask int, whole boolean")
-    seeds = seeds.withColumn("whole", F.lit(False)).unionByName(own)
-
-    if (lengths.bytes or 0) * len(masks) <= BROADCAST_BYTES:
-        hits = probes.join(F.broadcast(seeds), ["seed", "whole"])
-    else:  # seeds alone are exchanged; the words come back for the hits
-        found = probes.select("row", "i", "seed", "whole").join(seeds.drop("item"), ["seed", "whole"])
-        hits = found.join(rows, "row").join(items.dropDuplicates(["item_id", "item_key"]), ["item_id", "item_key"], "left")
+    if small:
+        own = docs.sparkSession.createDataFrame([(None, None, None, 0, 0, None, True)], "item_id bigint, item_key bigint, item array<string>, j int, seed bigint, mask int, whole boolean")
+        hits = probes.join(F.broadcast(seeds.withColumn("whole", F.lit(False)).unionByName(own)), ["seed", "whole"])
+    else:  # seeds alone are exchanged; words and items come back for the hits
+        found = probes.select("row", "i", "seed").join(seeds.drop("item"), "seed")
+        hits = found.join(probed, "row").join(items.dropDuplicates(["item_id", "item_key"]), ["item_id", "item_key"])
 
     verified = hits.select("row", "doc_id", "text_key", "item_id", _verified(masks).alias("v"))
-    return verified.groupBy("row", "doc_id", "text_key").agg(
-        F.array_sort(F.collect_set(F.when(F.col("v.leak"), F.col("item_id")))).alias("item_ids"), F.coalesce(F.max("v.overlap"), F.lit(0.0)).alias("overlap"),
-    ).select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "overlap", "text_key")
+    leaks = verified.groupBy("row", "doc_id", "text_key").agg(
+        F.array_sort(F.collect_set(F.when(F.col("v.leak"), F.col("item_id")))).alias("item_ids"), F.coalesce(F.max("v.overlap"), F.lit(0.0)).alias("overlap"))
+    if not small:
+        none = F.array().cast("array<bigint>")
+        leaks = probed.select("row", "doc_id", "text_key").join(leaks.select("row", "item_ids", "overlap"), "row", "left").withColumns({"item_ids": F.coalesce("item_ids", none), "overlap": F.coalesce("overlap", F.lit(0.0))})
+    return leaks.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "overlap", "text_key")
 
 
 def _verified(masks: list[tuple[int, tuple[int, ...]]]) -> Column:
@@ -93,7 +99,8 @@ def _verified(masks: list[tuple[int, tuple[int, ...]]]) -> Column:
     window = lambda eq: F.array_max(F.transform(F.sequence(F.lit(0), n - width), lambda s: F.aggregate(F.slice(eq, s + 1, width), F.lit(0), lambda a, x: a + x)))
     allowed = F.when(width >= WINDOW, 2).when(width >= SEEDED, 1).otherwise(0)
     best = window(equal)
-    return F.when(F.col("item_id").isNotNull() & ~before, F.struct((best >= width - allowed).alias("leak"), (best / width).alias("overlap")))
+    leak = (best >= width - allowed) & ((n >= INSIDE) | (F.size("words") == n))
+    return F.when(F.col("item").isNotNull() & ~before, F.struct(leak.alias("leak"), (best / width).alias("overlap")))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
@@ -117,7 +124,8 @@ eq AS (SELECT r, item_id, n, i - j AS diag, j FROM dw JOIN bw USING (w)),
 best AS (SELECT r, item_id, n, max(c) AS m FROM (
     SELECT r, item_id, n, count(*) OVER (PARTITION BY r, item_id, diag ORDER BY j RANGE BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING) AS c FROM eq) GROUP BY r, item_id, n),
 hit AS (SELECT r, list_sort(list(DISTINCT item_id)) AS items FROM best
-    WHERE m >= least(n, {WINDOW}) - CASE WHEN n >= {WINDOW} THEN 2 WHEN n >= {SEEDED} THEN 1 ELSE 0 END GROUP BY r)
+    WHERE m >= least(n, {WINDOW}) - CASE WHEN n >= {WINDOW} THEN 2 WHEN n >= {SEEDED} THEN 1 ELSE 0 END
+    AND (n >= {INSIDE} OR n = (SELECT len(ws) FROM d WHERE d.r = best.r)) GROUP BY r)
 SELECT doc_id, items IS NOT NULL AS contaminated, coalesce(len(items), 0)::BIGINT AS n_items, array_to_string(coalesce(items, []), ',') AS item_ids
 FROM d LEFT JOIN hit USING (r)
 """
