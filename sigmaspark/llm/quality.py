@@ -2,8 +2,8 @@
 
 Lines are normalised and hashed. A line that occurs in too many different documents of a
 host is boilerplate: it is removed, and a document that loses too much is rejected.
-Copies of one document are not different documents: documents count as different if
-their sets of lines differ.
+Exact copies of one document are not different documents: documents count as different
+if their texts differ.
 """
 
 from __future__ import annotations
@@ -111,8 +111,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                        F.xxhash64(text_col).alias("text_key"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
     measured = cut(rows.mapInArrow(_measured, _SCHEMA), "measured")
 
-    keys = F.xxhash64(F.array_sort("lines.line"))
-    lines = measured.select("row", "host", keys.alias("page"), F.explode("lines").alias("x")).select("row", "host", "page", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
+    lines = measured.select("row", "host", F.col("text_key").alias("page"), F.explode("lines").alias("x")).select("row", "host", "page", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
     different = lines.groupBy("host", "line", "page").agg(F.count("*").alias("rows")).groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
     hosts = measured.groupBy("host").agg(F.count("*").alias("host_rows"))
     frequent = cut(different.join(hosts, "host").where(F.col("n_docs") > host_share * F.col("host_rows")).select("host", "line"), "frequent")
@@ -157,9 +156,8 @@ ln AS (SELECT r, host, n, l, len(list_filter(regexp_split_to_array(l, '[\\x20\\x
 real AS (SELECT *, ('0x' || substr(md5(trim(regexp_replace(translate(l, '{ASCII_UPPER}123456789', '{ASCII_LOWER}000000000'), '[\\x20\\x09-\\x0D]+', ' ', 'g'))), 1, 15))::BIGINT AS k FROM ln WHERE nw > 0),
 dup AS (SELECT r, sum(m - 1) AS n FROM (SELECT r, l, count(*) AS m FROM real GROUP BY r, l) GROUP BY r),
 own AS (SELECT r, any_value(host) AS host, k, sum(nw) AS words FROM real GROUP BY r, k),
-low AS (SELECT r, list_sort(list(k)) AS ks FROM own GROUP BY r),
-oth AS (SELECT own.*, CASE WHEN ks[1] <> k THEN ks[1] ELSE ks[2] END AS other FROM own JOIN low USING (r)),
-freq AS (SELECT host, k FROM (SELECT host, k, count(*) AS n FROM (SELECT DISTINCT host, k, other FROM oth) GROUP BY host, k)
+page AS (SELECT r, md5(t) AS page FROM docs),
+freq AS (SELECT host, k FROM (SELECT host, k, count(DISTINCT page) AS n FROM own JOIN page USING (r) GROUP BY host, k)
     JOIN (SELECT host, count(*) AS h FROM docs GROUP BY host) USING (host) WHERE n > {MIN_DOCS} AND n > {HOST_SHARE} * h),
 lost AS (SELECT r, sum(words) AS n FROM own JOIN freq USING (host, k) GROUP BY r),
 base AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g'))::BIGINT AS word_chars,
