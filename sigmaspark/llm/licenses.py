@@ -2,13 +2,15 @@
 
 All rolling word k-gram hashes of the documents are joined to the positions of license
 templates. Each hit votes for the diagonal (document position minus template position)
-it lies on. A phrase that stands in the text word by word fills its diagonal; where words
+it lies on, if the words behind the hashes are equal, too. A phrase that stands in the text word by word fills its diagonal; where words
 were put in or left out, the votes lie on neighbouring diagonals, which are merged and
 verified by the template's words they cover. Number words (versions) must be covered.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -31,20 +33,33 @@ BASE_PHRASES = [
     ("cc-by-nc", "cc by nc"),
 ]
 
-#: Sentences of common licenses.
+#: Sentences, notices and headers of common licenses.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("gpl-2", "licensed under the gnu general public license version 2"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("lgpl-3", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 ]
 
 
@@ -53,14 +68,14 @@ def _words(text: Column) -> Column:
 
 
 def template_grams(spark: SparkSession, base: list[tuple[str, str]], templates: list[tuple[str, str]]) -> DataFrame:
-    """gram, template, j, n_template, label, exact, numbers (positions of number words): a row per k-gram of each template of at least ``K`` words."""
+    """gram, gram_words, template, j, n_template, label, exact, numbers (positions of number words): a row per k-gram of each template of at least ``K`` words."""
     rows = [(t, label, phrase, t < len(base)) for t, (label, phrase) in enumerate([*base, *templates])]
     listed = spark.createDataFrame(rows, "template int, label string, phrase string, exact boolean")
     words = listed.withColumn("words", _words(F.col("phrase"))).withColumn("n_template", F.size("words"))
     numbers = F.filter(F.transform("words", lambda w, j: F.when(w.rlike("^[0-9]+$"), j)), lambda j: j.isNotNull())
     words = words.withColumn("numbers", numbers)
     each = words.select("*", F.explode(F.sequence(F.lit(0), F.col("n_template") - K)).alias("j"))
-    return each.select(F.xxhash64(*[F.get("words", F.col("j") + k) for k in range(K)]).alias("gram"), "template", "j", "n_template", "label", "exact", "numbers")
+    return each.select(F.xxhash64(*[F.get("words", F.col("j") + k) for k in range(K)]).alias("gram"), F.slice("words", F.col("j") + 1, K).alias("gram_words"), "template", "j", "n_template", "label", "exact", "numbers")
 
 
 def scan_licenses(docs: DataFrame, base: list[tuple[str, str]] = BASE_PHRASES, templates: list[tuple[str, str]] = TEMPLATES,
@@ -82,12 +97,14 @@ def scan_licenses(docs: DataFrame, base: list[tuple[str, str]] = BASE_PHRASES, t
     # position -1 stands for the document itself, and joins a row of its own
     each = counted.select("doc_id", "row", "words", "edge", "n", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("n") - K, F.lit(-1)))).alias("i"))
     gram = F.xxhash64(*[F.get("words", F.col("i") + F.col("edge") + k) for k in range(K)])
-    each = each.select("doc_id", "row", F.col("n").cast("long").alias("n_words"), "i", F.when(F.col("i") < 0, F.lit(0).cast("long")).otherwise(gram).alias("gram"), (F.col("i") < 0).alias("whole"))
+    each = each.select("doc_id", "row", "words", "edge", F.col("n").cast("long").alias("n_words"), "i", F.when(F.col("i") < 0, F.lit(0).cast("long")).otherwise(gram).alias("gram"), (F.col("i") < 0).alias("whole"))
     grams = template_grams(spark, base, templates).withColumn("whole", F.lit(False)).unionByName(
-        spark.createDataFrame([(0, -1, 0, 0, None, False, [], True)], "gram bigint, template int, j int, n_template int, label string, exact boolean, numbers array<int>, whole boolean"))
+        spark.createDataFrame([(0, [], -1, 0, 0, None, False, [], True)], "gram bigint, gram_words array<string>, template int, j int, n_template int, label string, exact boolean, numbers array<int>, whole boolean"))
     if sum(len(p.split()) for _, p in [*base, *templates]) <= BROADCAST_ROWS:
         grams = F.broadcast(grams)
-    hits = each.join(grams, ["gram", "whole"]).select("doc_id", "row", "n_words", "i", "template", "j", "n_template", "label", "exact", "numbers")
+    # equal hashes are candidates; the words themselves decide
+    same = reduce(Column.__and__, [F.get("words", F.col("i") + F.col("edge") + k) == F.get("gram_words", F.lit(k)) for k in range(K)])
+    hits = each.join(grams, ["gram", "whole"]).where(F.col("whole") | same).select("doc_id", "row", "n_words", "i", "template", "j", "n_template", "label", "exact", "numbers")
 
     # one exchange by row; a row's hits are at most its words times the templates that share a k-gram
     votes = hits.repartition("row").groupBy("row", "doc_id", "n_words", "template", "n_template", "label", "exact", "numbers", (F.col("i") - F.col("j")).alias("diagonal")).agg(
