@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +48,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the files behind a frame that ``cut`` returned, once nothing reads them any more."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def drop_written(*frames: DataFrame) -> None:
+    """Delete the files behind frames that ``cut`` returned, once nothing reads them any more."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        for name in df.inputFiles()[:1]:
+            where = jvm.org.apache.hadoop.fs.Path(name).getParent()
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def lower_ascii(c: Column) -> Column:
@@ -67,3 +71,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             name += "_"
         out.append(name)
     return out
+
+
+def portions(batch: pa.RecordBatch, most_bytes: int = 8_000_000, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about so many bytes of text, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+    at = total = 0
+    for k, n in enumerate(sizes):
+        if k > at and (total + n > most_bytes or k - at >= most_rows):
+            yield batch.slice(at, k - at)
+            at, total = k, 0
+        total += n
+    yield batch.slice(at)

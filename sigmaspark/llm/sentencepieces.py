@@ -21,11 +21,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import portions, table
 
 #: Units and pairs of pieces that a worker remembers.
 UNITS, PAIRS = 1_000_000, 1_600_000
@@ -231,7 +230,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model_path)
         for big in batches:
-            for batch in _portions(big):
+            for batch in portions(big):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
                 ids = encoder.encode(texts)
                 decoded = [encoder.decode(x) for x in ids]
@@ -244,18 +243,6 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def _portions(batch: pa.RecordBatch, most_bytes: int = 8_000_000, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about so many bytes of text, a row at least."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
-    at = total = 0
-    for k, n in enumerate(sizes):
-        if k > at and (total + n > most_bytes or k - at >= most_rows):
-            yield batch.slice(at, k - at)
-            at, total = k, 0
-        total += n
-    yield batch.slice(at)
-
-
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)

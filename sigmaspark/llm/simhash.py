@@ -195,23 +195,26 @@ def _links(nodes: DataFrame, plan: list[tuple[list[int], int]], tau: int) -> Dat
 def _components(links: DataFrame) -> DataFrame:
     """node, root for every linked node; root is the smallest node reachable. Large-star and small-star rounds.
 
-    Each step is written to the shared folder. A root's many neighbours never meet in one
-    task: their minimum is aggregated first and joined back, a join that Spark can split.
+    Each step is written to the shared folder; what no later step reads is deleted. A
+    root's many neighbours never meet in one task: their minimum is aggregated first and
+    joined back, a join that Spark can split. Both steps keep what is connected, so once
+    every node has one link, to a node without any, the links name the components.
     """
     edges = cut(links.select("a", "b"), "links")
-    seen = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "lows")
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = cut(large.where("a != b"), "links")
+        drop_written(edges, low)
         low = cut(down.groupBy("a").agg(F.min("b").alias("m")), "lows")
         small = down.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
         edges = cut(small.where("a != b").distinct(), "links")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-        seen = state
+        drop_written(down, low)
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))).alias("e"))
+        ups = ends.groupBy("e.node").agg(F.sum("e.up").alias("up"), F.min("e.up").alias("least"))
+        if ups.where("up > 1 or up = 1 and least = 0").isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,11 +296,11 @@ def _rarity(made: DataFrame) -> np.ndarray:
 
 
 def _prefixes(made: DataFrame, rarity: np.ndarray, t: float) -> DataFrame:
-    """shingle, node, n, short: the prefix of each row; ``short`` are those within the shorter text's prefix."""
+    """shingle, node, n, pos, short: the prefix of each row, ``pos`` its order; ``short`` are those within the shorter text's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, nodes, sizes, shorts = [], [], [], []
+            found, nodes, sizes, places, shorts = [], [], [], [], []
             flat, offsets = batch.column("hashes").values.to_numpy(), batch.column("hashes").offsets.to_numpy()
             for node, a, b in zip(batch.column("node").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 h, n = flat[a:b], b - a
@@ -306,11 +309,12 @@ def _prefixes(made: DataFrame, rarity: np.ndarray, t: float) -> DataFrame:
                 first = len(found[-1])
                 nodes.append(np.full(first, node, np.int64))
                 sizes.append(np.full(first, n, np.int32))
-                shorts.append(np.arange(first) < n - math.ceil(2 * t / (1 + t) * n - 1e-9) + 1)
+                places.append(np.arange(first, dtype=np.int32))
+                shorts.append(places[-1] < n - math.ceil(2 * t / (1 + t) * n - 1e-9) + 1)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, nodes, sizes, shorts)], ["shingle", "node", "n", "short"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, nodes, sizes, places, shorts)], ["shingle", "node", "n", "pos", "short"])
 
-    return made.select("node", "hashes").mapInArrow(run, "shingle bigint, node bigint, n int, short boolean")
+    return made.select("node", "hashes").mapInArrow(run, "shingle bigint, node bigint, n int, pos int, short boolean")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -362,6 +366,9 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     x, y = rest.where("root != most").alias("x"), rest.alias("y")
     x_first = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
     near = F.when(x_first, F.col("x.short") & (F.col("x.n") >= similarity * F.col("y.n") - 1e-6)).otherwise(F.col("y.short") & (F.col("y.n") >= similarity * F.col("x.n") - 1e-6))
+    # what the two can have in common before, at and after this shingle
+    most = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    near &= most >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & near)
     met = cut(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).select(*ordered).distinct(), "met")
     links = links.unionAll(cut(_linked(met, sets, similarity), "pairs"))
