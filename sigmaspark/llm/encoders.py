@@ -8,12 +8,18 @@ emptied when it holds ``MEMORY`` chunks.
 
 from __future__ import annotations
 
+import array
 import os
 import re
+import sys
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-MEMORY = 400_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+MEMORY = 700_000
 
 
 @lru_cache(maxsize=4)
@@ -90,7 +96,10 @@ def _byte_level(spec: dict) -> bool:
 
 def _drops_space(spec: dict) -> bool:
     """Whether white space only separates: removed by the split, never part of a token."""
-    steps = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+    normal = (spec["normalizer"] or {}).get("normalizers", [])
+    steps = [x["type"] for x in normal]
+    if any((x.get("pattern"), x.get("content")) != ({"Regex": r"\s+"}, " ") for x in normal if x["type"] == "Replace"):
+        return False
     first = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
     return steps == ["NFC", "Replace", "Lowercase"] and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and _plain_added(spec)
 
@@ -109,8 +118,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def _chunk_ids(path: str, pack: Callable[[list[int]], object], join: Callable[[list], object]) -> Callable[[str], object] | None:
-    """Function from a text to the joined values of its pieces, or None where the tokenizer is of another kind."""
+def _chunk_values(path: str, pack: Callable[[list[int]], object], join: Callable[[list], object]) -> tuple[bool, Remembered] | None:
+    """Whether the tokenizer drops spaces, and the values of chunks; None where it is of another kind."""
     import regex
 
     tok = load(path)
@@ -120,14 +129,28 @@ def _chunk_ids(path: str, pack: Callable[[list[int]], object], join: Callable[[l
         return None
     pattern = _BYTE_LEVEL_PATTERN if byte_level else spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
     pieces_of, letters, tokenize = regex.compile(pattern).findall, _byte_letters(), tok.model.tokenize
-    pieces = Remembered(lambda p: pack([t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]))
+
+    def piece(p: str):
+        return pack([t.id for t in tokenize(p if p.isascii() and p.isalpha() else p.encode().decode("latin-1").translate(letters))])
 
     def value(chunk: str):
+        if chunk.isascii() and chunk.isalpha():
+            return piece(chunk.lower() if spaced else chunk)
         if _SIMPLE.fullmatch(chunk) is None or "<|" in chunk:
             return pack(tok.encode(chunk, add_special_tokens=False).ids)
-        return join(pieces.values_of(pieces_of(chunk.lower() if spaced else chunk)))
+        parts = pieces_of(chunk.lower() if spaced else chunk)
+        return piece(parts[0]) if parts == [chunk] else join(list(map(known.__getitem__, parts)))
 
-    chunks = Remembered(value)
+    known = Remembered(value)
+    return spaced, known
+
+
+def _chunk_ids(path: str, pack: Callable[[list[int]], object], join: Callable[[list], object]) -> Callable[[str], object] | None:
+    """Function from a text to the joined values of its pieces, or None where the tokenizer is of another kind."""
+    found = _chunk_values(path, pack, join)
+    if found is None:
+        return None
+    spaced, chunks = found
     if spaced:
         return lambda text: join(chunks.values_of(text.replace("\n", " ").split(" ")))
     return lambda text: join(chunks.values_of(space_chunks(text)))
@@ -143,11 +166,49 @@ def chunk_counter(path: str) -> Callable[[str], int]:
 
 
 @lru_cache(maxsize=4)
-def chunk_encoder(path: str, dtype: str) -> Callable[[str], bytes]:
+def text_encoder(path: str, dtype: str) -> Callable[[str], bytes]:
     """Function from a text to its ids as little-endian bytes of ``dtype``, without added special tokens."""
-    import numpy as np
-
     tok, pack = load(path), lambda ids: np.array(ids, dtype).tobytes()
     if path.endswith(".model"):
         return lambda text: pack(tok.encode(text, num_threads=1))
     return _chunk_ids(path, pack, b"".join) or (lambda text: pack(tok.encode(text, add_special_tokens=False).ids))
+
+
+@lru_cache(maxsize=4)
+def batch_encoder(path: str, dtype: str) -> Callable[[pa.StringArray], tuple[np.ndarray, np.ndarray]]:
+    """Function from texts (no nulls) to all their ids, one text after the other, and each text's number of ids.
+
+    Where white space only separates, the texts of a batch are split at once, and of their
+    words the different ones are looked up or encoded.
+    """
+    kind = array.array({2: "H", 4: "I"}[np.dtype(dtype).itemsize])
+    pack = lambda ids: array.array(kind.typecode, ids).tobytes()
+    found = None if path.endswith(".model") else _chunk_values(path, pack, b"".join)
+    if found is None or not found[0] or sys.byteorder != "little":
+        encode, width = text_encoder(path, dtype), np.dtype(dtype).itemsize
+
+        def one_by_one(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+            ids = [encode(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(ids), dtype), np.array([len(x) // width for x in ids], np.int64)
+
+        return one_by_one
+    chunks, width = found[1], kind.itemsize
+
+    def together(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)  # never joins or parts letters; special tokens alone know upper case
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        # no chunk holds white space: joined and split again, they become Python strings fastest
+        different = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary), " ")[0].as_py()
+        values = list(chunks.values_of(different.split(" ") if len(coded.dictionary) else []))
+        known = np.frombuffer(b"".join(values), dtype)
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
+        which = coded.indices.to_numpy()
+        size = sizes[which]
+        ends = np.cumsum(size)
+        # where each chunk's ids stand among those of the different chunks
+        ids = known[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()])
+
+    return together

@@ -20,10 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
-from .encoders import chunk_encoder
+from .common import portions, shared_dir, table
+from .encoders import batch_encoder
 
 NULL_ID = -(2**63)
+BLOCK_DOCS = 1000
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -41,38 +42,64 @@ def _put(uri: str, name: str, content: list[bytes]) -> None:
     fs.move(tmp, f"{path}/{name}")
 
 
+def _in_parts(docs: DataFrame, n_parts: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text in ``n_parts`` partitions of ascending ids, sorted. Only the ids are read to find the splitters.
+
+    Rows of an id that many splitters fall on are dealt over the partitions between these.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID).cast("long"))
+    shares = [(k + 1) / n_parts for k in range(n_parts - 1)]
+    cuts = docs.agg(F.percentile_approx(key, shares, max(10_000, 20 * n_parts)).alias("cuts")).first().cuts if shares else None
+    rows = docs.select(key.alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
+    if cuts:
+        listed = F.array(*[F.lit(c).cast("long") for c in cuts])
+        low = F.size(F.filter(listed, lambda c: c < F.col("doc_id")))
+        high = F.size(F.filter(listed, lambda c: c <= F.col("doc_id")))
+        rows = rows.withColumn("part", (low + F.pmod(F.xxhash64("row"), high - low + 1)).cast("int"))
+    else:
+        rows = rows.withColumn("part", F.lit(0))
+    return rows.repartitionById(n_parts, "part").sortWithinPartitions("doc_id", "row").select("doc_id", "text")
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int, dtype: str = "<u2",
-                      id_col: str = "doc_id", text_col: str = "text") -> dict:
+                      id_col: str = "doc_id", text_col: str = "text", n_parts: int | None = None) -> dict:
     """Encode every text, append ``end_id`` and write all ids in ascending document id. Returns the index.
 
-    ``dtype`` is ``<u2`` or ``<u4``. Null texts are empty and give the end id alone. Null
-    ids come first; rows with equal ids lie side by side, in the order of a hash of their
-    texts. Other columns are not read. An empty table gives an index without parts.
+    ``dtype`` is ``<u2`` or ``<u4``; ``n_parts`` the number of files, that of the session's
+    shuffle partitions if not given. Null texts are empty and give the end id alone. Null
+    ids come first; rows with equal ids lie side by side. Other columns are not read. An
+    empty table gives an index without parts. Texts of any length are encoded whole.
     """
     spark = docs.sparkSession
     fs, local = _open(path)
     fs.create_dir(local, recursive=True)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
-    ranged = rows.repartitionByRange("doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "row").select("doc_id", "text")
+    ranged = _in_parts(docs, n_parts or int(spark.conf.get("spark.sql.shuffle.partitions")), id_col, text_col)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, width = chunk_encoder(tokenizer_path, dtype), np.array([end_id], dtype).tobytes(), np.dtype(dtype).itemsize
+        encode = batch_encoder(tokenizer_path, dtype)
         part = f"part-{TaskContext.get().partitionId():06d}"
         fs, local = _open(path)
         task = TaskContext.get().taskAttemptId()
-        offsets, ids, tmp = [0], [], f"{local}/_tmp-{task}-{part}.bin"
+        total, sizes, ids, tmp = 0, [], [], f"{local}/_tmp-{task}-{part}.bin"
         with fs.open_output_stream(tmp) as out:
             for batch in batches:
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    content = encode(text) + end
-                    out.write(content)
-                    offsets.append(offsets[-1] + len(content) // width)
-                    ids.append(NULL_ID if doc_id is None else doc_id)
-        if ids:
+                for portion in portions(batch):
+                    found, n = encode(portion.column("text"))
+                    size = n + 1
+                    content = np.empty(len(found) + len(n), dtype)
+                    own = np.ones(len(content), bool)
+                    own[np.cumsum(size) - 1] = False
+                    content[own], content[~own] = found, end_id
+                    out.write(content.tobytes())
+                    sizes.append(size)
+                    ids.append(portion.column("doc_id").to_numpy())
+        if sizes:
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            total = int(offsets[-1])
             fs.move(tmp, f"{local}/{part}.bin")
-            _put(path, f"{part}.idx", [np.array(offsets, "<i8").tobytes()])
-            _put(path, f"{part}.doc", [np.array(ids, "<i8").tobytes()])
-            yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(ids)], "n_tokens": [offsets[-1]]})
+            _put(path, f"{part}.idx", [offsets.astype("<i8").tobytes()])
+            _put(path, f"{part}.doc", [np.concatenate(ids).astype("<i8").tobytes()])
+            yield pa.RecordBatch.from_pydict({"part": [part], "n_docs": [len(offsets) - 1], "n_tokens": [total]})
         else:
             fs.delete_file(tmp)
 
@@ -85,19 +112,28 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     return index
 
 
-def _mapped(uri: str, name: str, dtype: str) -> np.ndarray:
-    fs, path = _open(uri)
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(f"{path}/{name}", dtype, "r")
-    with fs.open_input_file(f"{path}/{name}") as f:
-        return np.frombuffer(f.read(), dtype)
+class _File:
+    """Numbers of a file by their position: mapped where the file is local, read by ranges elsewhere."""
+
+    def __init__(self, uri: str, name: str, dtype: str):
+        fs, path = _open(uri)
+        self.dtype = np.dtype(dtype)
+        self.mapped = np.memmap(f"{path}/{name}", dtype, "r") if isinstance(fs, pafs.LocalFileSystem) else None
+        self.file = None if self.mapped is not None else fs.open_input_file(f"{path}/{name}")
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[at]
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((at.stop - at.start) * width, at.start * width), self.dtype)
 
 
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """One row per document: doc_id, start, n_tokens, ids_crc32 (over the ids as ``<u4``) and, if asked for, ids.
 
-    The files are memory-mapped where they are local, so only one document's ids are
-    held at a time.
+    Files are memory-mapped where they are local and read by ranges elsewhere, so that at
+    most a few documents' ids are held at a time. Null ids come back as null; an index
+    without parts gives an empty result.
     """
     fs, local = _open(path)
     with fs.open_input_stream(f"{local}/index.json") as f:
@@ -106,28 +142,40 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
     if not parts:
         return spark.createDataFrame([], schema)
-    listed = spark.createDataFrame([(p["part"], p["base"]) for p in parts], "part string, base bigint").repartition(min(len(parts), 10_000), "part")
+    listed = spark.createDataFrame([(p["part"], p["n_docs"], p["base"]) for p in parts], "part string, n_docs bigint, base bigint").repartition(min(len(parts), 10_000), "part")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, offsets, docs = (_mapped(path, f"{part}.{x}", t) for x, t in (("bin", dtype), ("idx", "<i8"), ("doc", "<i8")))
-                for at in range(0, len(docs), 1000):
-                    ends = offsets[at : at + 1001]
-                    own = [ids[a:b].astype("<u4") for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                    out = {
-                        "doc_id": pa.array(docs[at : at + 1000], pa.int64(), mask=docs[at : at + 1000] == NULL_ID),
-                        "start": pa.array(base + ends[:-1], pa.int64()),
-                        "n_tokens": pa.array(np.diff(ends), pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in own], pa.int64()),
-                    }
-                    if with_ids:
-                        out["ids"] = pa.array([x.tolist() for x in own], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_pydict(out)
+            for part, n_docs, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, offsets, docs = (_File(path, f"{part}.{x}", t) for x, t in (("bin", dtype), ("idx", "<i8"), ("doc", "<i8")))
+                for at in range(0, n_docs, BLOCK_DOCS):
+                    stop = min(n_docs, at + BLOCK_DOCS)
+                    ends, own = offsets[at : stop + 1], docs[at:stop]
+                    for a, b in _blocks(ends):
+                        block = memoryview(ids[int(ends[a]) : int(ends[b])].astype("<u4"))
+                        each = [block[int(x - ends[a]) : int(y - ends[a])] for x, y in zip(ends[a:b], ends[a + 1 : b + 1], strict=True)]
+                        out = {
+                            "doc_id": pa.array(own[a:b], pa.int64(), mask=own[a:b] == NULL_ID),
+                            "start": pa.array(base + ends[a:b], pa.int64()),
+                            "n_tokens": pa.array(np.diff(ends[a : b + 1]), pa.int64()),
+                            "ids_crc32": pa.array([zlib.crc32(x) for x in each], pa.int64()),
+                        }
+                        if with_ids:
+                            out["ids"] = pa.array([x.tolist() for x in each], pa.list_(pa.int64()))
+                        yield pa.RecordBatch.from_pydict(out)
 
     return listed.mapInArrow(read, schema)
 
 
+def _blocks(ends: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of documents of at most so many ids together, a document at least."""
+    a, n = 0, len(ends) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -44,7 +44,7 @@ def texts_of(docs):
 
 
 def test_chunks_encode_as_the_library():
-    count, encode = encoders.chunk_counter(BYTE_BPE), encoders.chunk_encoder(WORD_BPE, "<u2")
+    count, encode = encoders.chunk_counter(BYTE_BPE), encoders.text_encoder(WORD_BPE, "<u2")
     byte, word = encoders.load(BYTE_BPE), encoders.load(WORD_BPE)
     r = random.Random(1)
     letters = ["a", "B", " ", "  ", "\n", "\t", "'s", "'", "é", "é", "́", "1", "<|endoftext|>", "\x1c", "\xa0", "　", "!", "ß", "İ", "<|startoftext|>", ".", "漢", "'LL"]
