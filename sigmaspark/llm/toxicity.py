@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
-from .encoders import Remembered
+from .common import cut, fresh, portions, table
+from .encoders import MEMORY, Remembered
 
 #: At most so many labelled rows, the smallest by a hash of their id, fit the classifier.
 MAX_TRAINING_ROWS = 10_000
@@ -67,9 +66,11 @@ def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for at in range(0, len(text or ""), 1_000_000):
-                    s = np.concatenate([[BOUNDARY, BOUNDARY], symbols(text[at : at + 1_000_000]), [BOUNDARY]])
+                before = np.full(2, BOUNDARY)
+                for at in range(0, len(text or ""), 1_000_000):  # bounded working arrays; the last two symbols go on
+                    s = np.concatenate([before, symbols(text[at : at + 1_000_000]), [BOUNDARY] * (at + 1_000_000 >= len(text))])
                     total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
+                    before = s[-2:]
         yield pa.RecordBatch.from_pydict({"gram": np.flatnonzero(total), "n": total[total > 0]})
 
     out = np.zeros(SYMBOLS**3)
@@ -171,7 +172,7 @@ class Restorer:
     def tokens(self, text: str) -> list[str]:
         """White-space tokens in lower case; three or more single characters in a row become one, with spaces."""
         tokens = text.lower().split()
-        if sum(len(t) == 1 for t in tokens) < 3:
+        if list(map(len, tokens)).count(1) < 3:
             return tokens
         out: list[str] = []
         run: list[str] = []
@@ -207,25 +208,82 @@ def features(word: str) -> list[str]:
     return [word, word[:4] + "*", word[:5] + "*"] if len(word) >= 4 else [word]
 
 
-def _feature_id(feature: str) -> int:
-    return zlib.crc32(feature.encode())
+@lru_cache(maxsize=1)
+def _skeleton_table() -> np.ndarray:
+    """What becomes of each code point of the basic plane in a skeleton: 0 is left out."""
+    signs = {sign: letters[0] for sign, letters in LEET.items()} | {"l": "i", "£": "i", "ς": "σ"}
+    out = np.zeros(0x10000, np.uint32)
+    for c in range(0x10000):
+        low = chr(c).lower()[0]
+        low = signs.get(low, low)
+        out[c] = ord(low) if low.isalpha() and not 0xD800 <= c < 0xE000 else 0
+    out[ord("\n")] = ord("\n")
+    return out
+
+
+def skeletons(tokens: list[str]) -> str:
+    """The skeletons of the tokens, each after a line end: one letter for all letters that a sign may stand for (i for l,
+    too), repeats as one letter, separators left out."""
+    points = np.frombuffer(("\n" + "\n".join(tokens)).encode("utf-32-le", "surrogatepass"), "<u4")
+    out = _skeleton_table()[np.minimum(points, 0xFFFF)]
+    beyond = np.flatnonzero(points > 0xFFFF)
+    out[beyond] = [c if chr(c).isalpha() else 0 for c in points[beyond].tolist()]
+    out = out[out > 0]
+    line = out == ord("\n")
+    return out[line | np.concatenate([[True], out[1:] != out[:-1]])].tobytes().decode("utf-32-le")
 
 
 class Scorer:
-    def __init__(self, log_chances: np.ndarray, lexicon: dict[int, float], weights: list[float]):
+    """Scores of texts.
+
+    A token is decoded only if its lattice may hold a marked word at all: its skeleton must
+    hold the skeleton of a mark. All other tokens have no weight however they are read, so
+    the score is the same.
+    """
+
+    def __init__(self, log_chances: np.ndarray, lexicon: dict[str, float], weights: list[float]):
+        import ahocorasick
+
         self.restorer = Restorer(log_chances)
         self.lexicon, self.weights = lexicon, weights
-        self.weight = Remembered(lambda w: max((self.lexicon.get(_feature_id(f), 0.0) for f in features(w)), default=0.0))
+        marks = skeletons([f.rstrip("*") for f in lexicon]).split("\n")[1:] if lexicon else []
+        self.marks = ahocorasick.Automaton()
+        for mark in filter(None, marks):
+            self.marks.add_word(mark, 1)
+        self.marks.make_automaton()
+        self.all_hold = "" in marks  # a mark without a skeleton says nothing
+        self.weight = Remembered(lambda w: max(self.lexicon.get(f, 0.0) for f in features(w)))
         self.token_weight = Remembered(lambda t: max((self.weight[w] for own in self.restorer.readings(t) for w in own), default=0.0))
 
-    def summary(self, text: str | None) -> tuple[float, float, float]:
+    def skip_unmarked(self, tokens: list[str]) -> None:
+        """Give weight 0 to those tokens whose skeletons hold no mark."""
+        if self.all_hold or not tokens:
+            return
+        text = skeletons(tokens)
+        starts = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == ord("\n"))
+        ends = [end for end, _ in self.marks.iter(text)] if len(self.marks) else []
+        hit = np.zeros(len(tokens), bool)
+        hit[np.searchsorted(starts, np.array(ends, np.int64)) - 1] = True
+        self.token_weight.update(dict.fromkeys((t for t, h in zip(tokens, hit.tolist(), strict=True) if not h), 0.0))
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        return [self.score(x) for x in self.summaries(texts)]
+
+    def summaries(self, texts: list[str | None]) -> list[tuple[float, float, float]]:
+        own = [self.restorer.tokens(t or "") for t in texts]
+        different = [set(x) for x in own]
+        if len(self.token_weight) > MEMORY:
+            self.token_weight.clear()
+        self.skip_unmarked(list(set().union(*different).difference(self.token_weight)))
+        return [self.summary(d, len(x)) for d, x in zip(different, own, strict=True)]
+
+    def summary(self, tokens: set[str], n: int) -> tuple[float, float, float]:
         """Largest weight, log of the sum of weights over different tokens, share of marked tokens."""
-        tokens = self.restorer.tokens(text or "")
-        marked = [w for w in self.token_weight.values_of(list(set(tokens))) if w]
-        return (max(marked), math.log1p(sum(marked)), len(marked) / math.sqrt(len(tokens))) if marked else (0.0, 0.0, 0.0)
+        marked = [w for w in map(self.token_weight.__getitem__, tokens) if w]
+        return (max(marked), math.log1p(sum(marked)), len(marked) / math.sqrt(n)) if marked else (0.0, 0.0, 0.0)
 
-    def score(self, text: str | None) -> float:
-        x = self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], self.summary(text), strict=True))
+    def score(self, summary: tuple[float, float, float]) -> float:
+        x = self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], summary, strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
@@ -243,53 +301,61 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[floa
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAINING_ROWS) -> dict:
     """Character model over all of ``docs``; lexicon and weights from at most ``max_rows`` labelled rows.
 
-    Rows whose crc32(id as text) is divisible by 5 are never learnt from. Rows with a null
-    id or label are not used; of labels repeated for an id the largest holds. Without both
-    classes, every score is the share of toxic rows, or 0.
+    Three quarters of these rows make the lexicon, the others the weights, so that words
+    which mark toxicity by chance don't count. Rows whose crc32(id as text) is divisible by
+    5 are never learnt from. Rows with a null id or label are not used; of labels repeated
+    for an id the largest holds. Without both classes, every score is the share of toxic
+    rows, or 0.
     """
     log_chances = log_model(count_trigrams(docs, text_col))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna().where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     # at most max_rows small rows: a bounded broadcast
     chosen = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    fold = F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)) == 0
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = cut(rows.select(fold.alias("weighs"), "y", "text"), "labelled")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(log_chances)
         for batch in batches:
-            ids = [sorted({_feature_id(f) for w in restorer.read(t) for f in features(w)}) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(ids, pa.list_(pa.int64()))], ["y", "features"])
-
-    counts = rows.mapInArrow(extract, "y int, features array<bigint>").select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
-    marks = counts.where(F.col("toxic") >= MIN_TOXIC_DOCS)
-    totals = rows.agg(F.count("*"), F.sum("y")).first()
-    n, n_toxic = totals[0], totals[1] or 0
-    lexicon = {}
-    if 0 < n_toxic < n:
-        for f, t, m in marks.collect():  # at most the features of max_rows rows that recur in toxic ones
-            odds = math.log((t + 0.5) / (n_toxic - t + 0.5)) - math.log((m - t + 0.5) / (n - n_toxic - m + t + 0.5))
-            if odds >= MIN_LOG_ODDS and t >= MIN_PURITY * m:
-                lexicon[f] = odds
-    else:
-        share = n_toxic / n if n else 0.0
+            found = [sorted({f for w in restorer.read(t) for f in features(w)}) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(found, pa.list_(pa.string()))], ["y", "features"])
+
+    learnt = rows.where(~F.col("weighs")).select("y", "text").mapInArrow(extract, "y int, features array<string>")
+    counts = learnt.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
+    totals = {r.weighs: (r.n, r.t) for r in rows.groupBy("weighs").agg(F.count("*").alias("n"), F.sum("y").alias("t")).collect()}
+    (n, n_toxic), (m, m_toxic) = totals.get(False, (0, 0)), totals.get(True, (0, 0))
+    if not 0 < n_toxic < n or not 0 < m_toxic < m:
+        share = (n_toxic + m_toxic) / (n + m) if n + m else 0.0
         return {"log_chances": log_chances, "lexicon": {}, "weights": [math.log((share + 1e-9) / (1 - share + 1e-9)), 0.0, 0.0, 0.0]}
+    lexicon = {}
+    for f, t, k in counts.where(F.col("toxic") >= MIN_TOXIC_DOCS).collect():  # at most the features of max_rows rows that recur in toxic ones
+        odds = math.log((t + 0.5) / (n_toxic - t + 0.5)) - math.log((k - t + 0.5) / (n - n_toxic - k + t + 0.5))
+        if odds >= MIN_LOG_ODDS and t >= MIN_PURITY * k:
+            lexicon[f] = odds
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(log_chances, lexicon, [0.0] * 4)
         for batch in batches:
-            found = [scorer.summary(t) for t in batch.column("text").to_pylist()]
+            found = [x for part in portions(batch) for x in scorer.summaries(part.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array([x[k] for x in found], pa.float64()) for k in range(3))], ["y", "a", "b", "c"])
 
-    found = np.array(rows.mapInArrow(summarise, "y int, a double, b double, c double").collect(), np.float64).reshape(-1, 4)
+    found = np.array(rows.where("weighs").select("y", "text").mapInArrow(summarise, "y int, a double, b double, c double").collect(), np.float64).reshape(-1, 4)
     return {"log_chances": log_chances, "lexicon": lexicon, "weights": _fit_logistic(found[:, 1:], found[:, 0])}
 
 
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, score and predicted for every row; only the text makes the score. Null texts are empty."""
+    """doc_id, text_key, score and predicted for every row; only the text makes the score.
+
+    Null and empty texts have no marks and the score of such texts; repeated rows and null
+    ids are carried along, one result row per input row; other columns are not read; an
+    empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(**model)
         for batch in batches:
-            scores = [scorer.score(t) for t in batch.column("text").to_pylist()]
+            scores = [x for part in portions(batch) for x in scorer.scores(part.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(scores, pa.float64())], ["doc_id", "text_key", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
@@ -297,7 +363,11 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
 
 
 def restore_texts(docs: DataFrame, log_chances: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, restored: the words of each text after decoding."""
+    """doc_id, restored: the words of each text after decoding, the likeliest reading of each token.
+
+    Null and empty texts give an empty string; null and repeated ids are carried along; an
+    empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(log_chances)
@@ -308,11 +378,16 @@ def restore_texts(docs: DataFrame, log_chances: np.ndarray, id_col: str = "doc_i
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` not predicted toxic, all columns; the model is trained here."""
+    """The rows of ``docs`` not predicted toxic, all columns; the model is trained here.
+
+    A row is known by its id and a hash of its text, so rows repeated with both share one
+    verdict. Null texts are empty; null ids are kept or dropped by their texts. Empty tables
+    give an empty result or, without labels, drop nothing.
+    """
     model = train(docs, labels, id_col, text_col)
-    (key,) = fresh(docs, "__key")
-    toxic = score_toxicity(docs, model, id_col, text_col).where("predicted = 1").select(F.col("text_key").alias(key)).distinct()
-    return docs.join(toxic, F.xxhash64(text_col) == F.col(key), "left_anti")
+    doc_id, key = fresh(docs, "__id", "__key")
+    toxic = score_toxicity(docs, model, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias(doc_id), F.col("text_key").alias(key)).distinct()
+    return docs.join(toxic, F.col(id_col).cast("long").eqNullSafe(F.col(doc_id)) & (F.xxhash64(text_col) == F.col(key)), "left_anti")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
