@@ -44,11 +44,19 @@ def _fingerprint(text: str | None, shingle: int, chunk: int = 200_000) -> int:
     firsts, lasts = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
     digest, ones = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
     for at in range(0, n, chunk):  # bounded memory for long texts
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(firsts[at : at + chunk], lasts[at : at + chunk], strict=True)], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(np.array([[digest(joined[a:b], 42)] for a, b in zip(firsts[at : at + chunk], lasts[at : at + chunk], strict=True)], "<u8"))
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many rows have each bit; a row holds 64 bits for each column."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
+    total = np.zeros(bits.shape[1], np.int64)
+    for at in range(0, len(bits), 255):  # so many fit the counters
+        total += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
+    return total
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """doc_id, text_key (hash of the text), fp (long) for every row; ASCII lower case, white-space words, majority of XXH64 bits over all shingles."""
 
@@ -248,7 +256,13 @@ def near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = 5, id_col: str
 # fingerprint, too many to probe for. The prefix filter finds them without loss: put the
 # shingles of every text in one order, rare ones first. Of two texts at a similarity t, the
 # shorter's first n - ceil(2t / (1 + t) n) + 1 shingles and the longer's first
-# n - ceil(t n) + 1 have one in common.
+# n - ceil(t n) + 1 have one in common. A wide fingerprint of the set then sorts out what
+# can't be that similar, so that only sets of likely pairs are exchanged and compared.
+
+#: Longs of the wide fingerprint, and the sets from which on its bits follow the law of large numbers: smaller ones are compared.
+WIDE, WIDE_FROM = 4, 50
+#: Deviations that a pair at the very similarity may have more differing bits than expected: a miss in 10^8.
+DEVIATIONS = 6
 
 #: Counters that the order of shingles is taken from. Any order finds all pairs, a good one makes few candidates.
 COUNTERS, SLABS = 1 << 20, 16
@@ -317,8 +331,35 @@ def _prefixes(made: DataFrame, rarity: np.ndarray, t: float) -> DataFrame:
     return made.select("node", "hashes").mapInArrow(run, "shingle bigint, node bigint, n int, pos int, short boolean")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _wide(hashes: np.ndarray, chunk: int = 50_000) -> np.ndarray:
+    """Majority of the bits of all hashes, each mixed in ``WIDE`` ways."""
+    ones = np.zeros(BITS * WIDE, np.int64)
+    for at in range(0, len(hashes), chunk):
+        h = hashes[at : at + chunk].view(np.uint64)[:, None] * _ODD
+        h ^= h >> np.uint64(32)
+        h *= _ODD[::-1]
+        ones += _ones(h ^ (h >> np.uint64(29)))
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
+
+
+def _likely(n: Column, fp: Column, other_n: Column, other_fp: Column, similarity: float) -> Column:
+    """Whether two sets can be that similar by their sizes and wide fingerprints."""
+    p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    bits = BITS * WIDE
+    most = bits * p + DEVIATIONS * math.sqrt(bits * p * (1 - p)) if p else 0
+    apart = sum((F.bit_count(fp[k].bitwiseXOR(other_fp[k])) for k in range(WIDE)), F.lit(0))
+    sizes = (n >= similarity * other_n - 1e-6) & (other_n >= similarity * n - 1e-6)
+    return sizes & ((F.least(n, other_n) < WIDE_FROM) | (apart <= most))
+
+
+def _linked(pairs: DataFrame, made: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs a, b whose similarity over all shingles is reached."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # one row of a text leaves a task, so copies don't meet in one
+    sets = cut(made.select("node", "hashes").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
@@ -328,10 +369,11 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, root for every row: root names the group of texts linked at the similarity (Jaccard, shingles).
 
-    Groups are exact: all pairs that can reach the similarity share a shingle of their
-    prefixes, and all shingles of both decide. Each text is first compared with two leaders
-    of its buckets, which joins large groups; then all pairs of a bucket that are not yet in
-    one group are compared. Nulls, ties and empty tables as in ``near_duplicates``.
+    All pairs that can reach the similarity share a shingle of their prefixes; those whose
+    wide fingerprints are near (a bound that one of 10^8 such pairs misses) are compared, and
+    all shingles of both decide. Each text is first compared with two leaders of each of
+    its buckets, which joins large groups; then all pairs of a bucket that are not yet in one
+    group, and share enough for all we know, are compared. Nulls, ties and empty tables as in ``near_duplicates``.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,38 +382,48 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
         for batch in batches:
             sets = [_shingles(t, shingle) for t in batch.column("text").to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(nodes), _lists(sets)], ["doc_id", "text_key", "node", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(nodes), _lists([_wide(x) for x in sets]), _lists(sets)], ["doc_id", "text_key", "node", "fp", "hashes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     # a node is a set of shingles: texts with the same set are one
-    made = cut(rows.mapInArrow(make, "doc_id bigint, text_key bigint, node bigint, hashes array<bigint>"), "shingles")
+    made = cut(rows.mapInArrow(make, "doc_id bigint, text_key bigint, node bigint, fp array<bigint>, hashes array<bigint>"), "shingles")
     entries = cut(_prefixes(made, _rarity(made), similarity), "prefixes")
     shared = entries.groupBy("shingle").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.max("short").alias("s")).where("u != v and s").select("shingle")
-    held = cut(entries.join(shared, "shingle", "left_semi").distinct(), "buckets")
+    buckets = entries.join(shared, "shingle", "left_semi").distinct()
+    fps = made.groupBy("node").agg(F.min("fp").alias("fp"))
+    held = cut(buckets.join(fps, "node"), "buckets")
     drop_written(entries)
-    # one row of a text leaves a task, so copies don't meet in one
-    sets = cut(made.join(held.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
 
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    leaders = held.groupBy("shingle").agg(F.min("node").alias("leader"), F.max(F.struct("n", "node")).alias("longest"))
-    led = held.join(leaders, "shingle").groupBy("node").agg(F.min("leader").alias("p"), F.max("longest").alias("q"))
-    stars = led.select(F.col("node").alias("a"), F.explode(F.array("p", "q.node")).alias("b")).where("a != b").select(*ordered).distinct()
-    links = cut(_linked(stars, sets, similarity), "stars")
+    likely = lambda x, y: _likely(F.col(f"{x}n"), F.col(f"{x}fp"), F.col(f"{y}n"), F.col(f"{y}fp"), similarity)
+    # each bucket has two leaders for the texts of about one size, others than the next bucket: a text of many copies
+    # meets many of these, in proportion to its prefix
+    band = F.floor(F.log("n") / math.log(1 / similarity)) if similarity < 1 else F.col("n")
+    banded = held.withColumn("band", band).withColumn("turn", F.xxhash64("shingle", "node"))
+    leader = F.struct("turn", "node", "n", "fp")
+    leaders = banded.groupBy("shingle", "band").agg(F.min(leader).alias("p"), F.max(leader).alias("q"))
+    led = banded.join(leaders, ["shingle", "band"]).select("node", *[F.when(likely("", f"{x}."), F.col(f"{x}.node")).alias(x) for x in "pq"])
+    stars = cut(led.select(F.col("node").alias("a"), F.explode(F.array("p", "q")).alias("b")).where("a != b").select(*ordered).distinct(), "stars")
+    links = cut(_linked(stars, made, similarity), "links")
     roots = cut(_components(links), "roots")
 
     named = cut(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     shares = named.groupBy("shingle", "root").agg(F.count("*").alias("m"))
     mixed = shares.groupBy("shingle").agg(F.max(F.struct("m", "root")).getField("root").alias("most"), F.count("*").alias("groups")).where("groups > 1").select("shingle", "most")
     rest = cut(named.join(mixed, "shingle"), "mixed")
+    # shingles that no other of these texts has can't be shared
+    seen = made.select("node", "hashes").join(rest.select("node").distinct(), "node", "left_semi").select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    own = seen.where("node = last").groupBy("node").agg(F.count("*").alias("own"))
+    rest = cut(rest.join(own, "node", "left").withColumn("open", F.col("n") - F.coalesce("own", F.lit(0))), "rest")
     x, y = rest.where("root != most").alias("x"), rest.alias("y")
     x_first = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
-    near = F.when(x_first, F.col("x.short") & (F.col("x.n") >= similarity * F.col("y.n") - 1e-6)).otherwise(F.col("y.short") & (F.col("y.n") >= similarity * F.col("x.n") - 1e-6))
+    near = F.when(x_first, F.col("x.short")).otherwise(F.col("y.short")) & likely("x.", "y.")
     # what the two can have in common before, at and after this shingle
     most = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    near &= most >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    near &= F.least(most, "x.open", "y.open") >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & near)
     met = cut(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).select(*ordered).distinct(), "met")
-    links = links.unionAll(cut(_linked(met, sets, similarity), "pairs"))
+    links = links.unionAll(cut(_linked(met, made, similarity), "pairs"))
     roots = cut(_components(links), "roots")
     return made.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
