@@ -259,6 +259,8 @@ def near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = 5, id_col: str
 # n - ceil(t n) + 1 have one in common. A wide fingerprint of the set then sorts out what
 # can't be that similar, so that only sets of likely pairs are exchanged and compared.
 
+#: So many nodes (8 bytes each) may be broadcast.
+FEW_NODES = 1_000_000
 #: Longs of the wide fingerprint, and the sets from which on its bits follow the law of large numbers: smaller ones are compared.
 WIDE, WIDE_FROM = 4, 50
 #: Deviations that a pair at the very similarity may have more differing bits than expected: a miss in 10^8.
@@ -355,13 +357,17 @@ def _likely(n: Column, fp: Column, other_n: Column, other_fp: Column, similarity
     return sizes & ((F.least(n, other_n) < WIDE_FROM) | (apart <= most))
 
 
-def _linked(pairs: DataFrame, made: DataFrame, similarity: float) -> DataFrame:
+def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of those nodes. Up to ``FEW_NODES`` they are broadcast, so that other sets are not exchanged."""
+    few = nodes.limit(FEW_NODES + 1).count() <= FEW_NODES
+    return sets.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs a, b whose similarity over all shingles is reached."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # one row of a text leaves a task, so copies don't meet in one
-    sets = cut(made.select("node", "hashes").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    own = cut(_only(sets, cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")), "own")
+    left = pairs.join(own.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    both = left.join(own.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
 
@@ -392,7 +398,11 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     buckets = entries.join(shared, "shingle", "left_semi").distinct()
     fps = made.groupBy("node").agg(F.min("fp").alias("fp"))
     held = cut(buckets.join(fps, "node"), "buckets")
-    drop_written(entries)
+    # one row of a text leaves a task, so copies don't meet in one
+    bucketed = _only(made.select("node", "hashes"), cut(held.select("node").distinct(), "nodes"))
+    sets = cut(bucketed.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
+    names = cut(made.select("doc_id", "text_key", "node"), "names")
+    drop_written(entries, made)
 
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     likely = lambda x, y: _likely(F.col(f"{x}n"), F.col(f"{x}fp"), F.col(f"{y}n"), F.col(f"{y}fp"), similarity)
@@ -404,7 +414,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     leaders = banded.groupBy("shingle", "band").agg(F.min(leader).alias("p"), F.max(leader).alias("q"))
     led = banded.join(leaders, ["shingle", "band"]).select("node", *[F.when(likely("", f"{x}."), F.col(f"{x}.node")).alias(x) for x in "pq"])
     stars = cut(led.select(F.col("node").alias("a"), F.explode(F.array("p", "q")).alias("b")).where("a != b").select(*ordered).distinct(), "stars")
-    links = cut(_linked(stars, made, similarity), "links")
+    links = cut(_linked(stars, sets, similarity), "links")
     roots = cut(_components(links), "roots")
 
     named = cut(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
@@ -412,7 +422,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     mixed = shares.groupBy("shingle").agg(F.max(F.struct("m", "root")).getField("root").alias("most"), F.count("*").alias("groups")).where("groups > 1").select("shingle", "most")
     rest = cut(named.join(mixed, "shingle"), "mixed")
     # shingles that no other of these texts has can't be shared
-    seen = made.select("node", "hashes").join(rest.select("node").distinct(), "node", "left_semi").select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    seen = _only(sets, cut(rest.select("node").distinct(), "nodes")).select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     own = seen.where("node = last").groupBy("node").agg(F.count("*").alias("own"))
     rest = cut(rest.join(own, "node", "left").withColumn("open", F.col("n") - F.coalesce("own", F.lit(0))), "rest")
     x, y = rest.where("root != most").alias("x"), rest.alias("y")
@@ -423,9 +433,9 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     near &= F.least(most, "x.open", "y.open") >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & near)
     met = cut(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).select(*ordered).distinct(), "met")
-    links = links.unionAll(cut(_linked(met, made, similarity), "pairs"))
+    links = links.unionAll(cut(_linked(met, sets, similarity), "pairs"))
     roots = cut(_components(links), "roots")
-    return made.select("doc_id", "text_key", "node").join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+    return names.join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float | None = 0.8, tau: int = 2, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

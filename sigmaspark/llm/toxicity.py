@@ -21,13 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, fresh, portions, table
-from .encoders import MEMORY, Remembered
+from .encoders import Remembered
 
 #: At most so many labelled rows, the smallest by a hash of their id, fit the classifier.
 MAX_TRAINING_ROWS = 10_000
 #: A word or beginning marks toxicity if it has this log-odds and so many toxic documents, which are this share of its documents.
 MIN_LOG_ODDS, MIN_TOXIC_DOCS, MIN_PURITY = 2.0, 4, 0.8
 
+#: Tokens that a worker remembers.
+TOKENS = 200_000
+
 #: Symbols of the character model: word boundary, a to z (accents folded), any other letter.
 BOUNDARY, OTHER, SYMBOLS = 0, 27, 28
 
@@ -272,8 +275,9 @@ class Scorer:
     def summaries(self, texts: list[str | None]) -> list[tuple[float, float, float]]:
         own = [self.restorer.tokens(t or "") for t in texts]
         different = [set(x) for x in own]
-        if len(self.token_weight) > MEMORY:
-            self.token_weight.clear()
+        for known in (self.token_weight, self.weight, self.restorer.known):
+            if len(known) > TOKENS:
+                known.clear()
         self.skip_unmarked(list(set().union(*different).difference(self.token_weight)))
         return [self.summary(d, len(x)) for d, x in zip(different, own, strict=True)]
 
