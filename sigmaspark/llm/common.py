@@ -73,7 +73,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def portions(batch: pa.RecordBatch, most_bytes: int = 8_000_000, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
+def portions(batch: pa.RecordBatch, most_bytes: int = 2_000_000, most_rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of about so many bytes of text, a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
     at = total = 0

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import portions, table
 
 #: Units and pairs of pieces that a worker remembers.
-UNITS, PAIRS = 500_000, 1_000_000
+UNITS, PAIRS = 300_000, 500_000
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_written, fresh, table
+from .common import cut, drop_written, fresh, portions, table
 
 BITS = 64
 #: A bucket with more fingerprints is linked through one-bit variants instead of pairs (see ``_links``).
@@ -259,15 +259,15 @@ def near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = 5, id_col: str
 # n - ceil(t n) + 1 have one in common. A wide fingerprint of the set then sorts out what
 # can't be that similar, so that only sets of likely pairs are exchanged and compared.
 
-#: So many nodes (8 bytes each) may be broadcast.
-FEW_NODES = 1_000_000
+#: So many keys (8 bytes each) may be broadcast.
+FEW = 1_000_000
 #: Longs of the wide fingerprint, and the sets from which on its bits follow the law of large numbers: smaller ones are compared.
-WIDE, WIDE_FROM = 4, 50
+WIDE, WIDE_FROM = 2, 50
 #: Deviations that a pair at the very similarity may have more differing bits than expected: a miss in 10^8.
 DEVIATIONS = 6
 
 #: Counters that the order of shingles is taken from. Any order finds all pairs, a good one makes few candidates.
-COUNTERS, SLABS = 1 << 20, 16
+COUNTERS, SLABS = 1 << 18, 16
 
 
 def _shingles(text: str | None, shingle: int) -> np.ndarray:
@@ -333,7 +333,7 @@ def _prefixes(made: DataFrame, rarity: np.ndarray, t: float) -> DataFrame:
     return made.select("node", "hashes").mapInArrow(run, "shingle bigint, node bigint, n int, pos int, short boolean")
 
 
-_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], np.uint64)
 
 
 def _wide(hashes: np.ndarray, chunk: int = 50_000) -> np.ndarray:
@@ -357,10 +357,10 @@ def _likely(n: Column, fp: Column, other_n: Column, other_fp: Column, similarity
     return sizes & ((F.least(n, other_n) < WIDE_FROM) | (apart <= most))
 
 
-def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of those nodes. Up to ``FEW_NODES`` they are broadcast, so that other sets are not exchanged."""
-    few = nodes.limit(FEW_NODES + 1).count() <= FEW_NODES
-    return sets.join(F.broadcast(nodes) if few else nodes, "node", "left_semi")
+def _only(rows: DataFrame, keys: DataFrame, key: str = "node") -> DataFrame:
+    """The rows of those keys. Up to ``FEW`` keys are broadcast, so that other rows are not exchanged."""
+    few = keys.limit(FEW + 1).count() <= FEW
+    return rows.join(F.broadcast(keys) if few else keys, key, "left_semi")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -385,7 +385,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in (part for big in batches for part in portions(big)):
             sets = [_shingles(t, shingle) for t in batch.column("text").to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(nodes), _lists([_wide(x) for x in sets]), _lists(sets)], ["doc_id", "text_key", "node", "fp", "hashes"])
@@ -394,8 +394,8 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     # a node is a set of shingles: texts with the same set are one
     made = cut(rows.mapInArrow(make, "doc_id bigint, text_key bigint, node bigint, fp array<bigint>, hashes array<bigint>"), "shingles")
     entries = cut(_prefixes(made, _rarity(made), similarity), "prefixes")
-    shared = entries.groupBy("shingle").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.max("short").alias("s")).where("u != v and s").select("shingle")
-    buckets = entries.join(shared, "shingle", "left_semi").distinct()
+    shared = cut(entries.groupBy("shingle").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.max("short").alias("s")).where("u != v and s").select("shingle"), "shared")
+    buckets = _only(entries, shared, "shingle").distinct()
     fps = made.groupBy("node").agg(F.min("fp").alias("fp"))
     held = cut(buckets.join(fps, "node"), "buckets")
     # one row of a text leaves a task, so copies don't meet in one

@@ -83,7 +83,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
         total, sizes, ids, tmp = 0, [], [], f"{local}/_tmp-{task}-{part}.bin"
         with fs.open_output_stream(tmp) as out:
             for batch in batches:
-                for portion in portions(batch):
+                for portion in portions(batch, 8_000_000):
                     found, n = encode(portion.column("text"))
                     size = n + 1
                     content = np.empty(len(found) + len(n), dtype)
