@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.radiometry import to_db
+from .quantiles import quantiles
 from .scattering import otsu
 
 # Fixed values
@@ -19,8 +20,7 @@ def land_water(pixels: DataFrame, bands: list[str], scene: str = "scene") -> Dat
     """Per scene: label, water share, threshold and separability, from the mean magnitude of its bands."""
     mean = sum(F.abs(F.col(b)) for b in bands) / len(bands)
     db = pixels.select(scene, to_db(F.greatest(mean, F.lit(1e-12))).alias("db")).where("db is not null and not isnan(db)")
-    stats = db.groupBy(scene).agg(F.count("*").alias("n"), F.percentile("db", F.array(F.lit(0.02), F.lit(0.98))).alias("p"))
-    stats = stats.select(scene, "n", F.col("p")[0].alias("p02"), F.col("p")[1].alias("p98"))
+    stats = quantiles(db, scene, "db", [0.02, 0.98]).select(scene, "n", F.col("p")[0].alias("p02"), F.col("p")[1].alias("p98"))
     clipped = db.join(F.broadcast(stats), scene).where((F.col("n") >= MIN_PIXELS) & (F.col("p98") - F.col("p02") >= MIN_CONTRAST_DB)).select(scene, F.least(F.greatest("db", "p02"), F.col("p98")).alias("x"))
     cut = otsu(clipped, scene, "x")
     water = clipped.join(F.broadcast(cut), scene).groupBy(scene, "otsu").agg(F.avg((F.col("x") <= F.col("otsu")).cast("double")).alias("water_fraction"))

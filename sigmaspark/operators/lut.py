@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Larger node tables are joined by bucket instead of broadcast.
-BROADCAST_NODES = 2_000_000
-
 
 def _intervals(nodes: DataFrame, scene: str) -> DataFrame:
     """Cells between neighbouring nodes: start and end in both directions, and the values at the corners."""
@@ -20,16 +17,17 @@ def _intervals(nodes: DataFrame, scene: str) -> DataFrame:
 def bilinear(pixels: DataFrame, nodes: DataFrame, scene: str = "scene", r: str = "r", c: str = "c", step: int = 64) -> DataFrame:
     """Value at every pixel: range first, then azimuth; beyond the outer nodes the edge's value holds.
 
-    Cells are spread over buckets of ``step`` lines, so pixels and cells meet by equal keys;
-    a pixel meets the few cells of its bucket.
+    Cells are spread over buckets of ``step`` lines and columns, so pixels and cells meet by
+    equal keys; a pixel meets the few cells of its bucket.
     """
     edge = nodes.groupBy(scene).agg(F.min("line").alias("l_min"), F.max("line").alias("l_max"), F.min("pixel").alias("p_min"), F.max("pixel").alias("p_max"))
     inside = lambda x, lo, hi: F.least(F.greatest(F.col(x), F.col(lo)), F.col(hi))
-    at = pixels.join(F.broadcast(edge), scene).withColumn("y", inside(r, "l_min", "l_max")).withColumn("x", inside(c, "p_min", "p_max")).withColumn("bucket", F.floor(F.least(F.col("y"), F.col("l_max") - 1) / step))
+    at = pixels.join(F.broadcast(edge), scene).withColumn("y", inside(r, "l_min", "l_max")).withColumn("x", inside(c, "p_min", "p_max")).withColumn("bucket", F.floor(F.least(F.col("y"), F.col("l_max") - 1) / step)).withColumn("bucket_c", F.floor(F.least(F.col("x"), F.col("p_max") - 1) / step))
     cells = _intervals(nodes, scene).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("line") / step), F.floor((F.col("line_end") - 1) / step))))
+    cells = cells.withColumn("bucket_c", F.explode(F.sequence(F.floor(F.col("pixel") / step), F.floor((F.col("pixel_end") - 1) / step))))
     last_line, last_pixel = F.col("line_end") == F.col("l_max"), F.col("pixel_end") == F.col("p_max")
     here = (F.col("y") >= F.col("line")) & ((F.col("y") < F.col("line_end")) | (last_line & (F.col("y") == F.col("l_max")))) & (F.col("x") >= F.col("pixel")) & ((F.col("x") < F.col("pixel_end")) | (last_pixel & (F.col("x") == F.col("p_max"))))
-    met = at.join(cells, [scene, "bucket"]).where(here)
+    met = at.join(cells, [scene, "bucket", "bucket_c"]).where(here)
     fx, fy = (F.col("x") - F.col("pixel")) / (F.col("pixel_end") - F.col("pixel")), (F.col("y") - F.col("line")) / (F.col("line_end") - F.col("line"))
     top, bottom = F.col("a") + (F.col("a_right") - F.col("a")) * fx, F.col("a_down") + (F.col("a_both") - F.col("a_down")) * fx
     return met.select(scene, r, c, (top + (bottom - top) * fy).alias("value"))

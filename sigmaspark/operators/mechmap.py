@@ -61,11 +61,23 @@ def neighbours(cells: DataFrame, scene: str = "scene", rows: str = "rows", cols:
 
 
 def majority_filter(cells: DataFrame, scene: str = "scene") -> DataFrame:
-    """The most frequent label around each cell, the lowest of equals; cells without data stay so."""
-    votes = neighbours(cells, scene).where("near_label is not null").groupBy(scene, "cell_row", "cell_col", "label", "near_label").agg(F.count("*").alias("n"))
-    best = votes.groupBy(scene, "cell_row", "cell_col", "label").agg(F.max_by("near_label", F.struct("n", -F.col("near_label"))).alias("best"))
-    merged = cells.select(scene, "cell_row", "cell_col", "label").join(best.drop("label"), [scene, "cell_row", "cell_col"], "left")
-    return merged.select(scene, "cell_row", "cell_col", F.when(F.col("label").isNotNull(), F.col("best")).alias("label"))
+    """The most frequent label around each cell, the lowest of equals; cells without data stay so.
+
+    Each cell sends its label to the cells around it, more than once where the edge is
+    repeated; the votes for each label are partial sums, so there is one exchange.
+    """
+    size = cells.groupBy(scene).agg(F.max("cell_row").alias("rows"), F.max("cell_col").alias("cols"))
+    steps = F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> struct(a as a, b as b))))"))
+    sent = cells.join(F.broadcast(size), scene).select(scene, "cell_row", "cell_col", "label", "rows", "cols", steps.alias("s"))
+    own = (F.col("s.a") == 0) & (F.col("s.b") == 0)
+    times = lambda x, step, last: F.lit(1) + F.when((F.col(step) == 0) & (F.col(x) == 0), 1).otherwise(0) + F.when((F.col(step) == 0) & (F.col(x) == F.col(last)), 1).otherwise(0)
+    row, col = F.col("cell_row") + F.col("s.a"), F.col("cell_col") + F.col("s.b")
+    sent = sent.where(row.between(0, F.col("rows")) & col.between(0, F.col("cols")))
+    sent = sent.select(scene, row.alias("cell_row"), col.alias("cell_col"), "label", (times("cell_row", "s.a", "rows") * times("cell_col", "s.b", "cols")).alias("times"), own.alias("own"))
+    votes = [F.coalesce(F.sum(F.when(F.col("label") == k, F.col("times"))), F.lit(0)).alias(f"votes_{k}") for k in range(len(MECHANISMS))]
+    counted = sent.groupBy(scene, "cell_row", "cell_col").agg(F.max(F.when(F.col("own"), F.col("label"))).alias("label"), F.bool_or("own").alias("there"), *votes)
+    best = F.array_max(F.array(*[F.struct(F.col(f"votes_{k}").alias("n"), F.lit(-k).alias("k")) for k in range(len(MECHANISMS))]))
+    return counted.where("there").select(scene, "cell_row", "cell_col", F.when(F.col("label").isNotNull(), -best["k"]).cast("int").alias("label"))
 
 
 def map_fractions(cells: DataFrame, scene: str = "scene") -> DataFrame:

@@ -40,9 +40,9 @@ def summarise_power(power: DataFrame, keys: list[str]) -> DataFrame:
 def otsu(values: DataFrame, scene: str, value: str, bins: int = BINS) -> DataFrame:
     """Per scene the centre of the bin that parts its values best (largest variance between classes, first of equals).
 
-    A scene of one value gives its median.
+    A scene of one value gives that value.
     """
-    spread = values.groupBy(scene).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.median(value).alias("mid"))
+    spread = values.groupBy(scene).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     binned = values.join(F.broadcast(spread), scene).where("hi > lo").withColumn("bin", F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1)).cast("int"))
     counts = binned.groupBy(scene, "lo", "hi", "bin").agg(F.count("*").alias("n"))
@@ -53,7 +53,7 @@ def otsu(values: DataFrame, scene: str, value: str, bins: int = BINS) -> DataFra
     run = run.withColumn("omega", F.sum("share").over(upto)).withColumn("mu", F.sum(F.col("share") * F.col("centre")).over(upto)).withColumn("total", F.sum(F.col("share") * F.col("centre")).over(whole))
     between = F.when(F.col("omega") < 1 - 1e-12, F.pow(F.col("total") * F.col("omega") - F.col("mu"), F.lit(2.0)) / (F.col("omega") * (1 - F.col("omega"))))
     best = run.withColumn("between", F.round(between, 9)).groupBy(scene).agg(F.max_by("centre", F.struct("between", -F.col("bin"))).alias("best"))
-    return spread.join(best, scene, "left").select(scene, F.coalesce("best", "mid").alias("otsu"))
+    return spread.join(best, scene, "left").select(scene, F.coalesce("best", "lo").alias("otsu"))
 
 
 def fit_thresholds(windows: DataFrame, scene: str = "scene") -> DataFrame:

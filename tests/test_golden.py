@@ -58,6 +58,35 @@ def test_majority_filter(spark):
     assert sum(v is None for v in filtered(holes).values()) == 24
 
 
+def test_majority_repeats_the_edges(spark):
+    import random
+
+    r = random.Random(8)
+    for height, width in ((1, 1), (1, 5), (4, 6)):
+        grid = {(y, x): r.choice([0, 1, 2, 3, None]) for y in range(height) for x in range(width)}
+        want = {}
+        for (y, x), own in grid.items():
+            near = [grid[min(max(y + a, 0), height - 1), min(max(x + b, 0), width - 1)] for a in (-1, 0, 1) for b in (-1, 0, 1)]
+            votes = [v for v in near if v is not None]
+            want[y, x] = None if own is None else max(set(votes), key=lambda v: (votes.count(v), -v))
+        df = spark.createDataFrame([("s", y, x, v) for (y, x), v in grid.items()], "scene string, cell_row int, cell_col int, label int")
+        assert {(c.cell_row, c.cell_col): c.label for c in mechmap.majority_filter(df).collect()} == want
+
+
+def test_quantiles_are_exact(spark):
+    import numpy as np
+
+    from sigmaspark.operators.quantiles import quantiles
+
+    g = np.random.default_rng(3)
+    own = {"a": g.normal(size=700).tolist(), "b": [1.0] * 50, "c": [0.0] * 300 + g.exponential(size=40).tolist(), "d": [7.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in own.items() for v in vs] + [("e", None)], "scene string, x double")
+    got = {r.scene: r for r in quantiles(df, "scene", "x", [0.02, 0.5, 0.98], bins=16).collect()}
+    assert set(got) == set(own)
+    for k, vs in own.items():
+        assert got[k].n == len(vs) and np.allclose(got[k].p, np.quantile(vs, [0.02, 0.5, 0.98]), atol=1e-12)
+
+
 def test_map_fractions(spark):
     cells = spark.createDataFrame([("s", 0, 0, 0), ("s", 0, 1, 0), ("s", 1, 0, 2), ("s", 1, 1, None)], "scene string, cell_row int, cell_col int, label int")
     r = mechmap.map_fractions(cells).first()
@@ -88,7 +117,8 @@ def test_intents(spark, q, intent):
 def test_labels_and_routes(spark):
     assert list(one(spark, *[routing.normalize_label(F.lit(x)) for x in ("Ferries", "glass", "bus", "Ships ")])) == ["ferry", "glass", "bus", "ship"]
     assert [one(spark, routing.keyword_route(F.lit(x)))[0] for x in ("describe where", "overview", "find", "hi")] == ["hybrid", "macro", "micro", "none"]
-    assert dict(((k, s), r) for k, s, r in routing.ROUTES)["hybrid", "steep"] == "hybrid"
+    rows = spark.createDataFrame([("hybrid", "steep"), ("macro", "steep"), ("micro", "flat"), ("none", "fail_floor"), (None, None)], "keyword string, spread string")
+    assert [r.route for r in routing.resolve_routes(rows).collect()] == ["hybrid", "micro", "hybrid", "macro", "micro"]
 
 
 def test_patch_plan_and_uuid(spark):
