@@ -48,6 +48,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: So many rows of a few numbers may be broadcast.
+FEW = 1_000_000
+
+
+def broadcast_if_few(keys: DataFrame) -> DataFrame:
+    """``keys``, written and counted: marked for broadcast up to ``FEW`` rows, for an exchange beyond."""
+    keys = cut(keys, "keys")
+    return F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys
+
+
 def drop_written(*frames: DataFrame) -> None:
     """Delete the files behind frames that ``cut`` returned, once nothing reads them any more."""
     for df in frames:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import broadcast_if_few, cut, fresh, table
 
 WINDOW = 12
 MASKS = [(0, 1, 2, 4, 5), (0, 1, 4, 6, 7)]
@@ -107,7 +107,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """The rows of ``docs`` without contamination, all columns; a row is known by its id and text."""
     doc_id, key = fresh(docs, "__id", "__key")
     leaked = find_leaks(docs, benchmark, id_col, text_col, **names).where("contaminated").select(F.col("doc_id").alias(doc_id), F.col("text_key").alias(key)).distinct()
-    return docs.join(leaked, F.col(id_col).cast("long").eqNullSafe(F.col(doc_id)) & (F.xxhash64(text_col) == F.col(key)), "left_anti")
+    return docs.join(broadcast_if_few(leaked), F.col(id_col).cast("long").eqNullSafe(F.col(doc_id)) & (F.xxhash64(text_col) == F.col(key)), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_written, fresh, portions, table
+from .common import FEW, cut, drop_written, fresh, portions, table
 
 BITS = 64
 #: A bucket with more fingerprints is linked through one-bit variants instead of pairs (see ``_links``).
@@ -259,8 +259,6 @@ def near_duplicates(docs: DataFrame, tau: int = 2, shingle: int = 5, id_col: str
 # n - ceil(t n) + 1 have one in common. A wide fingerprint of the set then sorts out what
 # can't be that similar, so that only sets of likely pairs are exchanged and compared.
 
-#: So many keys (8 bytes each) may be broadcast.
-FEW = 1_000_000
 #: Longs of the wide fingerprint, and the sets from which on its bits follow the law of large numbers: smaller ones are compared.
 WIDE, WIDE_FROM = 2, 50
 #: Deviations that a pair at the very similarity may have more differing bits than expected: a miss in 10^8.
@@ -398,11 +396,12 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     buckets = _only(entries, shared, "shingle").distinct()
     fps = made.groupBy("node").agg(F.min("fp").alias("fp"))
     held = cut(buckets.join(fps, "node"), "buckets")
+    drop_written(entries)
     # one row of a text leaves a task, so copies don't meet in one
     bucketed = _only(made.select("node", "hashes"), cut(held.select("node").distinct(), "nodes"))
     sets = cut(bucketed.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
     names = cut(made.select("doc_id", "text_key", "node"), "names")
-    drop_written(entries, made)
+    drop_written(made)
 
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     likely = lambda x, y: _likely(F.col(f"{x}n"), F.col(f"{x}fp"), F.col(f"{y}n"), F.col(f"{y}fp"), similarity)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, portions, table
+from .common import broadcast_if_few, cut, fresh, portions, table
 from .encoders import Remembered
 
 #: At most so many labelled rows, the smallest by a hash of their id, fit the classifier.
@@ -391,7 +391,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     model = train(docs, labels, id_col, text_col)
     doc_id, key = fresh(docs, "__id", "__key")
     toxic = score_toxicity(docs, model, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias(doc_id), F.col("text_key").alias(key)).distinct()
-    return docs.join(toxic, F.col(id_col).cast("long").eqNullSafe(F.col(doc_id)) & (F.xxhash64(text_col) == F.col(key)), "left_anti")
+    return docs.join(broadcast_if_few(toxic), F.col(id_col).cast("long").eqNullSafe(F.col(doc_id)) & (F.xxhash64(text_col) == F.col(key)), "left_anti")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
