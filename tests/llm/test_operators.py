@@ -132,10 +132,19 @@ def test_zip64_directory():
     end64 = b"PK\x06\x06" + (44).to_bytes(8, "little") + bytes(12) + count.to_bytes(8, "little") * 2 + length.to_bytes(8, "little") + offset.to_bytes(8, "little")
     wide = data[:at] + end64 + b"PK\x06\x07" + bytes(4) + at.to_bytes(8, "little") + bytes(4) + data[at : at + 8] + b"\xff" * 12 + b"\0\0"
     assert warc_zip.read_directory(len(wide), lambda a, n: wide[a : a + n])["a/b"] == (start, size, method)
+    # an end signature inside the comment of the end record
+    noted = data[: at + 20] + (30).to_bytes(2, "little") + b"PK\x05\x06" + bytes(26)
+    assert warc_zip.read_directory(len(noted), lambda a, n: noted[a : a + n])["a/b"] == (start, size, method)
     with pytest.raises(ValueError):
         warc_zip.read_directory(10, lambda a, n: b"x" * 10)
 
 
+def test_runs_of_records_are_bounded():
+    entries = [{"length": n} for n in (5, 5, 30, 5, 5, 5)]
+    assert [[e["length"] for e in r] for r in warc_zip._runs(entries, 2, 20)] == [[5, 5], [30], [5, 5], [5]]
+    assert list(warc_zip._runs([], 2, 20)) == []
+
+
 def test_masks_find_all_tolerated_substitutions():
     from itertools import combinations
 
@@ -176,6 +185,14 @@ def test_all_texts_of_an_item_are_sought(spark, limit, monkeypatch):
     assert sorted(r.doc_id for r in decontamination.find_leaks(d, bench).where("contaminated").collect()) == list(range(6))
 
 
+@pytest.mark.parametrize("limit", [0, 64_000_000])
+def test_very_short_items_are_whole_documents(spark, limit, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", limit)
+    bench = spark.createDataFrame([(1, "the"), (2, "Yes, sir!")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "the"), (2, "over the hill"), (3, "yes sir"), (4, "he said yes sir"), (5, None)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in decontamination.find_leaks(d, bench).where("contaminated").collect()) == [1, 3]
+
+
 def test_sharding(spark, docs, none):
     many = spark.createDataFrame([(i, words(i % 700, 20 + i % 50) if i % 3 else "copy of one text") for i in range(3000)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     got = sharding.shard_documents(many, 8).collect()
@@ -194,6 +211,17 @@ def test_sharding(spark, docs, none):
     assert spark.read.parquet(path).count() == docs.count()
 
 
+def test_equal_texts_share_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LEAF_ROWS", 50)  # the large group's rows are numbered in many intervals
+    many = spark.createDataFrame([(i, "one text of a third" if i % 3 == 0 else words(i % 400, 30)) for i in range(1500)], "doc_id long, text string").withColumn("shard", F.lit(1))
+    got = sharding.shard_documents(many, 5).collect()
+    shards, slots = {}, {}
+    for r in got:
+        shards.setdefault(r.text_crc32, set()).add(r.shard)
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 1500 and all(len(x) == 1 for x in shards.values()) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def fingerprint(t, n):
     w = t.encode().lower().split()
     grams = [b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))] if w else []
@@ -331,6 +359,22 @@ def test_pages_with_the_same_header_and_footer_are_different(spark):
     assert {x.removed_words for x in quality.quality_rules(d).collect()} == {240}
 
 
+def test_lines_are_counted_by_brute_force(spark):
+    menu = [words(800 + k, 6) for k in range(40)]
+    rows = [(k, "\n".join([*menu, words(k + 4000, 300)]), "a") for k in range(200)] + [(k, "\n".join([menu[0], words(k + 4000, 30)]), "b") for k in range(300, 315)]
+    rows += [(1000 + k, rows[0][1], "a") for k in range(30)]  # exact copies are one document
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    holders, hosts = {}, {}
+    for _, t, h in rows:
+        hosts[h] = hosts.get(h, 0) + 1
+        for line in set(t.split("\n")):
+            holders.setdefault((h, line), set()).add(t)
+    gone = {x for x, ts in holders.items() if len(ts) > quality.MIN_DOCS and len(ts) > quality.HOST_SHARE * hosts[x[0]]}
+    want = {i: sum(len(line.split()) for line in t.split("\n") if (h, line) in gone) for i, t, h in rows}
+    got = {x.doc_id: x.removed_words for x in quality.quality_rules(d).collect()}
+    assert got == want and got[0] == 240 and got[300] == 0
+
+
 def test_repeated_words_by_brute_force():
     r = random.Random(4)
     for _ in range(300):
@@ -409,6 +453,16 @@ def test_every_disguise_is_decoded(spark, insults):
     assert predicted(spark, insults, ["2024 10:30 3.14 books, birds!", "the school is not in our town!", None, "well-known hills (see a school)"]) == []
 
 
+def test_unmarked_tokens_are_skipped_without_loss(insults):
+    r = random.Random(9)
+    signs = ["s", "t", "u", "p", "i", "d", "1", "$", "!", ".", "m", "o", "r", "n", "0", "é", "ß", "-", "@", "x", "ς", "😀", "²"]
+    texts = [" ".join("".join(r.choice(signs) for _ in range(r.randint(1, 9))) for _ in range(20)) for _ in range(300)] + ["stup" + "i" * 10_000 + "d", "m0r0n" + "_" * 6, "s.t.u.p.i.d" * 50]
+    quick, full = toxicity.Scorer(**insults), toxicity.Scorer(**insults)
+    full.all_hold = True
+    found = quick.summaries(texts)
+    assert found == full.summaries(texts) and all(x[0] > 0 for x in found[-3:])
+
+
 def test_short_words_are_learnt(spark, insults):
     hidden = ["ass", "a$$", "a s s", "a.s.s", "aaassss"]
     assert predicted(spark, insults, [f"go to our town {x} and read" for x in hidden]) == [f"go to our town {x} and read" for x in hidden]
