@@ -362,12 +362,15 @@ def _only(rows: DataFrame, keys: DataFrame, key: str = "node") -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs a, b whose similarity over all shingles is reached."""
-    own = cut(_only(sets, cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")), "own")
+    """Those of the pairs a, b whose similarity over all shingles is reached, written."""
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    own = cut(_only(sets, nodes), "own")
     left = pairs.join(own.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = left.join(own.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b")
+    found = cut(both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b"), "linked")
+    drop_written(nodes, own)
+    return found
 
 
 def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,17 +393,18 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     # a node is a set of shingles: texts with the same set are one
-    made = cut(rows.mapInArrow(make, "doc_id bigint, text_key bigint, node bigint, fp array<bigint>, hashes array<bigint>"), "shingles")
+    made = rows.mapInArrow(make, "doc_id bigint, text_key bigint, node bigint, fp array<bigint>, hashes array<bigint>")
+    made = cut(made.withColumn("row", F.monotonically_increasing_id()), "shingles")
     entries = cut(_prefixes(made, _rarity(made), similarity), "prefixes")
     shared = cut(entries.groupBy("shingle").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.max("short").alias("s")).where("u != v and s").select("shingle"), "shared")
     buckets = _only(entries, shared, "shingle").distinct()
     fps = made.groupBy("node").agg(F.min("fp").alias("fp"))
     held = cut(buckets.join(fps, "node"), "buckets")
     drop_written(entries)
-    # one row of a text leaves a task, so copies don't meet in one
-    bucketed = _only(made.select("node", "hashes"), cut(held.select("node").distinct(), "nodes"))
-    sets = cut(bucketed.groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
-    names = cut(made.select("doc_id", "text_key", "node"), "names")
+    names = cut(made.select("doc_id", "text_key", "node", "row"), "names")
+    # of equal sets that of the first row is kept; the sets themselves are not exchanged
+    firsts = _only(names, cut(held.select("node").distinct(), "nodes")).groupBy("node").agg(F.min("row").alias("row"))
+    sets = cut(_only(made.select("row", "node", "hashes"), cut(firsts.select("row"), "firsts"), "row").select("node", "hashes"), "sets")
     drop_written(made)
 
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
@@ -413,26 +417,33 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     leaders = banded.groupBy("shingle", "band").agg(F.min(leader).alias("p"), F.max(leader).alias("q"))
     led = banded.join(leaders, ["shingle", "band"]).select("node", *[F.when(likely("", f"{x}."), F.col(f"{x}.node")).alias(x) for x in "pq"])
     stars = cut(led.select(F.col("node").alias("a"), F.explode(F.array("p", "q")).alias("b")).where("a != b").select(*ordered).distinct(), "stars")
-    links = cut(_linked(stars, sets, similarity), "links")
+    links = _linked(stars, sets, similarity)
     roots = cut(_components(links), "roots")
 
     named = cut(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     shares = named.groupBy("shingle", "root").agg(F.count("*").alias("m"))
     mixed = shares.groupBy("shingle").agg(F.max(F.struct("m", "root")).getField("root").alias("most"), F.count("*").alias("groups")).where("groups > 1").select("shingle", "most")
     rest = cut(named.join(mixed, "shingle"), "mixed")
-    # shingles that no other of these texts has can't be shared
-    seen = _only(sets, cut(rest.select("node").distinct(), "nodes")).select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last"))
-    own = seen.where("node = last").groupBy("node").agg(F.count("*").alias("own"))
-    rest = cut(rest.join(own, "node", "left").withColumn("open", F.col("n") - F.coalesce("own", F.lit(0))), "rest")
-    x, y = rest.where("root != most").alias("x"), rest.alias("y")
+    drop_written(held, stars, named)
     x_first = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
     near = F.when(x_first, F.col("x.short")).otherwise(F.col("y.short")) & likely("x.", "y.")
+    least = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
     # what the two can have in common before, at and after this shingle
-    most = F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    near &= F.least(most, "x.open", "y.open") >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
-    met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root")) & near)
+    near &= F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= least
+    near &= (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root"))
+    # buckets in which a text has no such partner at all are left out, so that few sets are looked into
+    met_at = cut(rest.where("root != most").alias("x").join(rest.alias("y"), near, "left_semi").select("shingle").distinct(), "met_at")
+    few = cut(_only(rest, met_at, "shingle"), "few")
+    # shingles that no other of these texts has can't be shared
+    seen = _only(sets, cut(few.select("node").distinct(), "nodes")).select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    own = seen.where("node = last").groupBy("node").agg(F.count("*").alias("own"))
+    opened = cut(few.join(own, "node", "left").withColumn("open", F.col("n") - F.coalesce("own", F.lit(0))), "rest")
+    drop_written(rest, few)
+    x, y = opened.where("root != most").alias("x"), opened.alias("y")
+    met = x.join(y, near & (F.least("x.open", "y.open") >= least))
     met = cut(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).select(*ordered).distinct(), "met")
-    links = links.unionAll(cut(_linked(met, sets, similarity), "pairs"))
+    links = links.unionAll(_linked(met, sets, similarity))
+    drop_written(opened, met, sets)
     roots = cut(_components(links), "roots")
     return names.join(roots, "node", "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
