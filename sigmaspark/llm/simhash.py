@@ -264,6 +264,9 @@ WIDE, WIDE_FROM = 2, 50
 #: Deviations that a pair at the very similarity may have more differing bits than expected: a miss in 10^8.
 DEVIATIONS = 6
 
+#: Longs of the signature of what a text has, or lacks, against another.
+SIGNATURE = 4
+
 #: Counters that the order of shingles is taken from. Any order finds all pairs, a good one makes few candidates.
 COUNTERS, SLABS = 1 << 18, 16
 
@@ -310,25 +313,30 @@ def _rarity(made: DataFrame) -> np.ndarray:
 
 
 def _prefixes(made: DataFrame, rarity: np.ndarray, t: float) -> DataFrame:
-    """shingle, node, n, pos, short: the prefix of each row, ``pos`` its order; ``short`` are those within the shorter text's prefix."""
+    """shingle, node, n, pos, short, score: the prefix of each row, ``pos`` its order; ``short`` are those within the shorter text's prefix.
+
+    ``score`` is the mean logarithm of how many rows hold the row's shingles: high in the middle of a family of texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, nodes, sizes, places, shorts = [], [], [], [], []
+            found, nodes, sizes, places, shorts, scores = [], [], [], [], [], []
             flat, offsets = batch.column("hashes").values.to_numpy(), batch.column("hashes").offsets.to_numpy()
             for node, a, b in zip(batch.column("node").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 h, n = flat[a:b], b - a
                 first = n - math.ceil(t * n - 1e-9) + 1
-                found.append(h[np.lexsort((h, rarity[h & (COUNTERS - 1)]))[:first]])
+                held = rarity[h & (COUNTERS - 1)]
+                found.append(h[np.lexsort((h, held))[:first]])
                 first = len(found[-1])
                 nodes.append(np.full(first, node, np.int64))
                 sizes.append(np.full(first, n, np.int32))
                 places.append(np.arange(first, dtype=np.int32))
                 shorts.append(places[-1] < n - math.ceil(2 * t / (1 + t) * n - 1e-9) + 1)
+                scores.append(np.full(first, np.log(held).mean(), np.float32))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, nodes, sizes, places, shorts)], ["shingle", "node", "n", "pos", "short"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, nodes, sizes, places, shorts, scores)], ["shingle", "node", "n", "pos", "short", "score"])
 
-    return made.select("node", "hashes").mapInArrow(run, "shingle bigint, node bigint, n int, pos int, short boolean")
+    return made.select("node", "hashes").mapInArrow(run, "shingle bigint, node bigint, n int, pos int, short boolean, score float")
 
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9], np.uint64)
@@ -373,6 +381,44 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return found
 
 
+def _signature(shingles: str) -> Column:
+    """Bits of the shingles of an array column: what is in one signature and not in the other is in one array and not in the other."""
+    own = "shiftright(h, 18)"  # other bits than those that the counters take
+    bit = f"aggregate({shingles}, 0L, (s, h) -> s | if({own} & {SIGNATURE - 1} = k, shiftleft(1L, cast(shiftright({own}, 6) & 63 as int)), 0L))"
+    return F.expr(f"transform(sequence(0, {SIGNATURE - 1}), k -> {bit})")
+
+
+def _against_middle(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, ref, common, more, less: each node against a text in the middle of its family, written.
+
+    ``ref`` is the best-scored text that a bucket of the node holds; ``common`` counts the shingles of both, ``more`` and ``less``
+    are signatures of those that only the node and only ``ref`` have.
+    """
+    best = rows.groupBy("shingle").agg(F.max(F.struct("score", "node")).alias("best"))
+    refs = cut(rows.join(best, "shingle").groupBy("node").agg(F.max("best").getField("node").alias("ref")), "refs")
+    own = cut(_only(sets, refs.select("node")), "own")
+    both = refs.join(own.withColumnRenamed("hashes", "x"), "node").join(own.select(F.col("node").alias("ref"), F.col("hashes").alias("y")), "ref")
+    parts = both.select("node", "ref", F.size("x").alias("n"), F.array_except("x", "y").alias("u"), F.array_except("y", "x").alias("v"))
+    found = cut(parts.select("node", "ref", (F.col("n") - F.size("u")).alias("common"), _signature("u").alias("more"), _signature("v").alias("less")), "against")
+    drop_written(refs, own)
+    return found
+
+
+def _most_shared() -> Column:
+    """At most so many shingles have x and y in common, where both were set against the same text.
+
+    Within that text each lacks what it lacks itself and what only the other lacks; outside it each has what it has and the
+    other may have too. Signatures count the differences too low, never too high, so the bound holds.
+    """
+
+    def apart(a: str, b: str, part: str) -> Column:
+        return sum((F.bit_count(F.col(f"{a}.{part}")[k].bitwiseAND(F.bitwise_not(F.col(f"{b}.{part}")[k]))) for k in range(SIGNATURE)), F.lit(0))
+
+    inside = F.least(*[F.col(f"{a}.common") - apart(b, a, "less") for a, b in ("xy", "yx")])
+    outside = F.least(*[F.col(f"{a}.n") - F.col(f"{a}.common") - apart(a, b, "more") for a, b in ("xy", "yx")])
+    return inside + outside
+
+
 def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, root for every row: root names the group of texts linked at the similarity (Jaccard, shingles).
 
@@ -380,7 +426,8 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     wide fingerprints are near (a bound that one of 10^8 such pairs misses) are compared, and
     all shingles of both decide. Each text is first compared with two leaders of each of
     its buckets, which joins large groups; then all pairs of a bucket that are not yet in one
-    group, and share enough for all we know, are compared. Nulls, ties and empty tables as in ``near_duplicates``.
+    group, and share enough for all we know (their sizes, fingerprints, own shingles, and
+    differences from a text in the middle of their family), are compared. Nulls, ties and empty tables as in ``near_duplicates``.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -409,12 +456,11 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
 
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     likely = lambda x, y: _likely(F.col(f"{x}n"), F.col(f"{x}fp"), F.col(f"{y}n"), F.col(f"{y}fp"), similarity)
-    # each bucket has two leaders for the texts of about one size, others than the next bucket: a text of many copies
-    # meets many of these, in proportion to its prefix
+    # each bucket has two leaders for the texts of about one size: one from the middle of its family, which most of the
+    # family is likely to be near, and one that is another than in the next bucket
     band = F.floor(F.log("n") / math.log(1 / similarity)) if similarity < 1 else F.col("n")
     banded = held.withColumn("band", band).withColumn("turn", F.xxhash64("shingle", "node"))
-    leader = F.struct("turn", "node", "n", "fp")
-    leaders = banded.groupBy("shingle", "band").agg(F.min(leader).alias("p"), F.max(leader).alias("q"))
+    leaders = banded.groupBy("shingle", "band").agg(F.max(F.struct("score", "node", "n", "fp")).alias("p"), F.min(F.struct("turn", "node", "n", "fp")).alias("q"))
     led = banded.join(leaders, ["shingle", "band"]).select("node", *[F.when(likely("", f"{x}."), F.col(f"{x}.node")).alias(x) for x in "pq"])
     stars = cut(led.select(F.col("node").alias("a"), F.explode(F.array("p", "q")).alias("b")).where("a != b").select(*ordered).distinct(), "stars")
     links = _linked(stars, sets, similarity)
@@ -438,9 +484,12 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     seen = _only(sets, cut(few.select("node").distinct(), "nodes")).select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last"))
     own = seen.where("node = last").groupBy("node").agg(F.count("*").alias("own"))
     opened = cut(few.join(own, "node", "left").withColumn("open", F.col("n") - F.coalesce("own", F.lit(0))), "rest")
-    drop_written(rest, few)
+    # nor can more be shared than what two texts have in common with, and differ in from, the middle of their family
+    against = _against_middle(opened, sets)
+    opened = cut(opened.join(against, "node"), "against")
+    drop_written(rest, few, against)
     x, y = opened.where("root != most").alias("x"), opened.alias("y")
-    met = x.join(y, near & (F.least("x.open", "y.open") >= least))
+    met = x.join(y, near & (F.least("x.open", "y.open") >= least) & ((F.col("x.ref") != F.col("y.ref")) | (_most_shared() >= least)))
     met = cut(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).select(*ordered).distinct(), "met")
     links = links.unionAll(_linked(met, sets, similarity))
     drop_written(opened, met, sets)

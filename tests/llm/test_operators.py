@@ -323,6 +323,63 @@ def test_texts_with_changed_blocks_are_linked(spark):
     assert all(root[2 * k] == root[2 * k + 1] for k in range(60)) and len(set(root.values())) == 60
 
 
+def test_families_about_the_limit_are_those_of_brute_force(spark):
+    """Edited, shortened and prolonged texts of few families, copies and shared edits among them: every link at 0.8, and no other."""
+    r = random.Random(11)
+    texts = []
+    for family in range(3):
+        base = words(7000 + family, 120 + 40 * family).split()
+        variants = [base]
+        for k in range(3):  # edits that part of the family shares
+            v = list(base)
+            for at in r.sample(range(len(v)), 4):
+                v[at] = f"shared{k}"
+            variants.append(v)
+        for k in range(90):
+            w = list(r.choice(variants))
+            for at in r.sample(range(len(w)), r.randint(0, 5)):
+                w[at] = f"own{family}x{k}x{at}"
+            cut_off = r.randint(0, 25)
+            w = w[cut_off:] if k % 3 == 0 else w + words(7100 + k, cut_off).split() if k % 3 == 1 else w
+            texts += [" ".join(w)] * (1 + (k % 20 == 0))
+    sets = [frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)) for t in texts]
+    lows, near = list(range(len(texts))), 0
+
+    def low(i):
+        while lows[i] != i:
+            i = lows[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            same = 5 * len(x & y) >= 4 * len(x | y)
+            near += 0.6 <= len(x & y) / len(x | y) < 0.8
+            if same:
+                a, b = sorted((low(i), low(j)))
+                lows[b] = a
+    assert near > 3000 and 3 < len({low(i) for i in range(len(texts))}) < len(texts) - 50
+    got = simhash.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    first = {}
+    for x in sorted(got, key=lambda x: x.doc_id):
+        first.setdefault(x.root, x.doc_id)
+    assert [first[x.root] for x in sorted(got, key=lambda x: x.doc_id)] == [low(i) for i in range(len(texts))]
+
+
+def test_what_two_texts_may_share_is_never_underrated(spark):
+    """The bound from differences against a third text, over small and large sets, none of whose pairs may exceed it."""
+    r = random.Random(5)
+    sets = {k: r.sample(range(1 << 62), 3) + [h * 0x9E3779B97F4A7C15 % (1 << 63) for h in r.sample(range(900), r.choice([0, 1, 40, 300, 700]))] for k in range(25)}
+    held = spark.createDataFrame([(k, v) for k, v in sets.items()], "node long, hashes array<long>")
+    rows = spark.createDataFrame([(1, k, float(k == 7), len(v)) for k, v in sets.items()], "shingle long, node long, score float, n int")
+    against = simhash._against_middle(rows, held)
+    found = {x.node: x for x in against.collect()}
+    assert {x.ref for x in found.values()} == {7} and all(x.common == len(set(sets[k]) & set(sets[7])) for k, x in found.items())
+    both = rows.join(against, "node")
+    for p in both.alias("x").crossJoin(both.alias("y")).select("x.node", F.col("y.node").alias("other"), simhash._most_shared().alias("most")).collect():
+        assert p.most >= len(set(sets[p.node]) & set(sets[p.other]))
+        assert p.node != p.other or p.most == len(sets[p.node])
+
+
 def test_long_texts_are_linked_at_the_very_similarity(spark):
     texts, linked = [], []
     for k in range(40):  # 1196 shingles shared by both, of 1494 or 1500 together
