@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversations import op12_conversations
 from .decontamination import OP5_SQL, op5_decontamination
 from .licenses import op9_licenses
 from .quality import OP8_SQL, op8_quality_rules
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_licenses": op9_licenses,
     "op10_token_counts": op10_token_counts,
+    "op12_conversations": op12_conversations,
 }
 
 SQL: dict[str, str] = {
