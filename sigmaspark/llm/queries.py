@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import op13_collocations
 from .conversations import op12_conversations
 from .decontamination import OP5_SQL, op5_decontamination
 from .licenses import op9_licenses
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_token_counts": op10_token_counts,
     "op12_conversations": op12_conversations,
+    "op13_collocations": op13_collocations,
 }
 
 SQL: dict[str, str] = {
