@@ -10,6 +10,7 @@ from .quality import OP8_SQL, op8_quality_rules
 from .sentencepieces import op3_sentencepiece
 from .sharding import op6_shards
 from .simhash import op7_simhash
+from .suffixes import op11_suffixes
 from .token_counts import op10_token_counts
 from .token_files import op1_token_files
 from .toxicity import op2_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_licenses": op9_licenses,
     "op10_token_counts": op10_token_counts,
+    "op11_suffixes": op11_suffixes,
     "op12_conversations": op12_conversations,
     "op13_collocations": op13_collocations,
 }
