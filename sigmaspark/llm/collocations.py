@@ -27,7 +27,7 @@ ORDER = 4
 SPACE, BREAK = 32, 10
 PIECE_ENDS = b".,;:!?\n\v\f\r"
 #: Bytes of text of a sorted run, and about so many of a reducer.
-RUN_BYTES, REDUCER_BYTES = 12_000_000, 16_000_000
+RUN_BYTES, REDUCER_BYTES = 8_000_000, 12_000_000
 #: Bytes of text from which splitters are drawn, and windows drawn for each splitter.
 SAMPLE_BYTES, DRAWN = 64_000_000, 64
 #: Rows of a range of the streams of frequent phrases.
@@ -73,10 +73,8 @@ def _windows(texts: list[bytes], langs: list[bytes]) -> tuple[list[bytes], list[
 
 def _counted(rows: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rows in order, each once, with the sum of its counts."""
-    wide = rows.astype(np.uint64)
-    keys = (wide[:, 4], wide[:, 2] << np.uint64(32) | wide[:, 3], wide[:, 0] << np.uint64(32) | wide[:, 1])
-    order = np.lexsort(keys)
-    rows = rows[order]
+    two = lambda a, b: rows[:, a].astype(np.int64) << 32 | rows[:, b]
+    rows = rows[order := np.lexsort((rows[:, 4], two(2, 3), two(0, 1)))]
     first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
     if counts is None:
         return rows[first], np.diff(np.concatenate([first, [len(rows)]]))
