@@ -334,24 +334,34 @@ def _neighbours(before: bytes, string: bytes, after: bytes, shared: int, next_sh
     return side << 40 | bound << 32 | found[0][0] << 24 | found[0][1] << 16 | found[1][0] << 8 | found[1][1]
 
 
-def settled(at: int, found: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
-    """Byte ranges that repeat for sure, and the windows (distances before the anchor) that remain open."""
-    p, most, least = at >> 16, at >> 8 & 255, at & 255
-    bound, sure = [None, None], set()
-    for x in found:
-        bound[x >> 40] = x >> 32 & 255
-        for lo, hi in ((x >> 24 & 255, x >> 16 & 255), (x >> 8 & 255, x & 255)):
-            sure.update(range(lo, hi))
-    if None in bound:
-        return [], []
-    spans: list[tuple[int, int]] = []
-    for d in sorted(sure):
-        if spans and spans[-1][0] == d:
-            spans[-1] = (d + 1, spans[-1][1])
-        else:
-            spans.append((d + 1, d))
-    ranges = [(p - hi + 1, p - lo + LENGTH) for hi, lo in spans]
-    return ranges, [d for d in range(max(least, LENGTH - bound[0]), min(most, bound[1]) + 1) if d not in sure]
+def settled(row: np.ndarray, at: np.ndarray, found: np.ndarray, chunk: int = 50_000) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(row, start, end) of ranges that repeat for sure, (row, at, far) of the windows that remain open, from what both orders found."""
+    order = np.lexsort((found, at, row))
+    row, at, found = row[order], at[order], found[order]
+    # an anchor that one order left out has no window that repeats; the two halves follow each other
+    pair = np.flatnonzero((row[1:] == row[:-1]) & (at[1:] == at[:-1]) & (found[1:] >> 40 == 1) & (found[:-1] >> 40 == 0))
+    spans, left = [np.zeros((3, 0), np.int64)], [np.zeros((3, 0), np.int64)]
+    far = np.arange(LENGTH - GRAM + 2)
+    for k in range(0, len(pair), chunk):
+        i = pair[k : k + chunk]
+        own, place, most, least = row[i], at[i] >> 16, at[i] >> 8 & 255, at[i] & 255
+        sure = np.zeros((len(i), len(far)), bool)
+        for x in (found[i], found[i + 1]):
+            for shift in (16, 0):
+                sure |= (far >= (x >> shift + 8 & 255)[:, None]) & (far < (x >> shift & 255)[:, None])
+        low, high = np.maximum(least, LENGTH - (found[i] >> 32 & 255)), np.minimum(most, found[i + 1] >> 32 & 255)
+        n, d = np.nonzero((far >= low[:, None]) & (far <= high[:, None]) & ~sure)
+        left.append(np.array([own[n], at[i][n], d]))
+        edge = np.diff(np.pad(sure, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (n, first), (_, after) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        spans.append(np.array([own[n], place[n] - after + 1, place[n] - first + LENGTH]))
+    return tuple(np.concatenate(spans, axis=1)), tuple(np.concatenate(left, axis=1))
+
+
+def _lists(row: np.ndarray, n: int, **columns: np.ndarray) -> pa.Array:
+    """Lists of structs for rows 0 to ``n`` - 1, from values whose rows ascend."""
+    offsets = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns.values()], list(columns)))
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -399,7 +409,8 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     one.write.bucketBy(buckets, "key").option("path", f"{shared_dir(spark)}/texts").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
     found = cut(_repeated_anchors(texts), "anchors")
-    twice = found.groupBy("hash").agg(F.sum("copies").alias("n")).where("n > 1").select("hash")
+    # written, so that the join deals it out itself and can split a hash that many anchors have
+    twice = cut(found.groupBy("hash").agg(F.sum("copies").alias("n")).where("n > 1").select("hash"), "twice")
     wanted = cut(found.join(twice, "hash", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("ats")), "wanted")
     count = wanted.agg(F.coalesce(F.sum(F.size("ats")), F.lit(0))).first()[0]
     met = texts.join(wanted, "key")
@@ -407,23 +418,17 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, left = [], []
-            for own in batch.column("found").to_pylist():
-                by: dict[int, list[int]] = {}
-                for x in own:
-                    by.setdefault(x["at"], []).append(x["found"])
-                ranges, more = [], []
-                for at, f in by.items():
-                    a, b = settled(at, f)
-                    ranges += a
-                    more += [{"at": at, "far": b}] if b else []
-                spans.append([{"start": a, "end": b} for a, b in _union(ranges)])
-                left.append(more)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(spans, _SPANS), pa.array(left, _OPEN)], ["key", "spans", "open"])
-
-    first = cut(placed.groupBy("key").agg(F.collect_list(F.struct("at", "found")).alias("found")).mapInArrow(settle, "key binary, spans array<struct<start:long,end:long>>, open array<struct<at:long,far:array<long>>>"), "settled")
+            found, n = batch.column("found"), batch.num_rows
+            row = np.repeat(np.arange(n), np.diff(found.offsets.to_numpy()))
+            at, value = (found.flatten().field(c).to_numpy() for c in ("at", "found"))
+            (r, a, b), (r2, at2, far) = settled(row, at, value)
+            order = np.lexsort((a, r))
+            r, a, b = r[order], a[order], b[order]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), _lists(r, n, start=a, end=b), _lists(r2, n, at=at2, far=far)], ["key", "spans", "open"])
+
+    first = cut(placed.groupBy("key").agg(F.collect_list(F.struct("at", "found")).alias("found")).mapInArrow(settle, "key binary, spans array<struct<start:long,end:long>>, open array<struct<at:long,far:long>>"), "settled")
     spans = first.select("key", F.explode("spans").alias("s"))
-    open_ = first.select("key", F.explode("open").alias("o")).select("key", "o.at", F.explode("o.far").alias("far"))
+    open_ = first.select("key", F.explode("open").alias("o")).select("key", "o.*")
     if not open_.isEmpty():
         asked = open_.join(found, ["key", "at"]).groupBy("hash").agg(F.sort_array(F.collect_set("far")).alias("far"))
         others = cut(found.join(asked, "hash").groupBy("key").agg(F.collect_list(F.struct("at", "far")).alias("ats")), "others")
@@ -446,13 +451,12 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     gathered = texts.join(spans.groupBy("key").agg(F.collect_list("s").alias("all")), "key", "left").select("key", "text", "all")
     out = cut(gathered.mapInArrow(keep, "key binary, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"), "kept")
     spark.sql(f"DROP TABLE {name}")
-    drop_written(found, wanted, first)
+    drop_written(found, twice, wanted, first)
     return out
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 _SPANS = pa.list_(_SPAN)
-_OPEN = pa.list_(pa.struct([("at", pa.int64()), ("far", pa.list_(pa.int64()))]))
 
 
 def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
