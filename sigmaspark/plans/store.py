@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evidence, lifecycle
+from ..session import shared_path
+from ..sources.versioned import VersionedTable
 from . import fixtures as fx
 from .registry import VIEWS, query
 
@@ -71,7 +73,10 @@ def w05(spark, d):
 
 @query("s17_evidence_version", "SELECT scene, version::INT AS version, is_current AND scene % 3 <> 0 AS is_current FROM current UNION ALL SELECT c.scene, (coalesce((SELECT max(version) FROM records r WHERE r.scene = c.scene), 0) + 1)::INT, true FROM scn c WHERE c.scene % 3 = 0", "current scn")
 def s17(spark, d):
-    return lifecycle.new_version(_records(spark, d).select("scene", "version", "is_current"), _scenes(spark, d).where("scene % 3 = 0").select("scene"), "scene")
+    table = VersionedTable(spark, shared_path(spark)).create("scene long, version int, is_current boolean", ["scene"], 16)
+    table.commit(_records(spark, d).select("scene", "version", "is_current"), lambda old, new: new)
+    table.commit(_scenes(spark, d).where("scene % 3 = 0").select("scene"), lambda old, new: lifecycle.new_version(old, new, "scene"))
+    return table.read()
 
 
 @query("s13_table_scan", "SELECT job, scene, status, kind FROM jobs", "jobs")
@@ -85,7 +90,10 @@ def s14(spark, d):
     p = fx.read(spark, d, "part")
     stored = p.select(k.alias("patch"), F.lit("old").alias("status"), F.when(k % 3 != 0, "old-preview").alias("preview"))
     fresh = p.where(k % 2 == 0).select(k.alias("patch"), F.lit("new").alias("status"), F.when(k % 4 == 0, "new-preview").alias("preview")).unionAll(p.where(k % 2 == 1).select(k + 1000000, F.lit("new"), F.lit(None).cast("string")))
-    return lifecycle.merge_keep(stored, fresh, ["patch"], ["preview"])
+    table = VersionedTable(spark, shared_path(spark)).create("patch long, status string, preview string", ["patch"], 16)
+    table.commit(stored, lambda old, new: new)
+    table.commit(fresh, lambda old, new: lifecycle.merge_keep(old, new, ["patch"], ["preview"]))
+    return table.read()
 
 
 @query("s15_artifact_upsert", "SELECT scene, kind, max(created_at)::VARCHAR AS created_at FROM arts GROUP BY ALL", "arts")

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import archives, products
-from ..streaming import streams
+from ..sources.versioned import VersionedTable
+from ..streaming import ordered, streams
 from . import fixtures as fx
 from .registry import VIEWS, query
 from .store import _job_events  # noqa: F401
@@ -43,11 +44,15 @@ _BAD = """SELECT event_id, job, previous, status FROM (SELECT *, lag(status) OVE
     (previous = 'queued' AND (status IN ('validating', 'failed', 'cancelled') OR (status = 'processing' AND kind = 'cleanup_scene'))) OR (previous = 'validating' AND status IN ('processing', 'failed', 'cancelled')) OR (previous = 'processing' AND status IN ('ready', 'failed', 'cancelled')))"""
 
 
+def _job_statuses(events: DataFrame) -> DataFrame:
+    status = F.element_at(F.array(*map(F.lit, ("queued", "validating", "processing", "ready", "failed"))), (F.col("event_id") % 5 + 1).cast("int"))
+    return events.select("event_id", "ts", F.col("user_id").alias("job"), status.alias("status"), F.when(F.col("user_id") % 3 == 0, "cleanup_scene").otherwise("process_scene").alias("kind"))
+
+
 @query("r03_transition_violations", _BAD, "jev")
 def r03(spark, d):
-    status = F.element_at(F.array(*map(F.lit, ("queued", "validating", "processing", "ready", "failed"))), (F.col("event_id") % 5 + 1).cast("int"))
-    own = _events(spark, d).select("event_id", F.col("user_id").alias("job"), status.alias("status"), F.when(F.col("user_id") % 3 == 0, "cleanup_scene").otherwise("process_scene").alias("kind"))
-    return streams.run_once(streams.transition_violations(own), "append")
+    own = _job_statuses(_events(spark, d))
+    return streams.run_once(ordered.transition_violations(own, "0 seconds"), "append").select("event_id", "job", "previous", "status")
 
 
 def _sessions_sql(gap: int, delay: int) -> str:
@@ -76,7 +81,10 @@ def r05(spark, d):
 def r07(spark, d):
     own = lambda b: b.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     merge = lambda old, new: old.unionByName(new).groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
-    return streams.ingest(_events(spark, d), own, merge).select("user_id", "n", F.round("total", 4).alias("total"))
+    # several files in batches of one: each batch rewrites the buckets of its users only
+    dealt = _files_in_order(fx.read(spark, d, "events").withColumn("batch", F.pmod(F.xxhash64("user_id"), F.lit(_ARRIVALS))), 1)
+    table = VersionedTable(spark, streams.shared_path(spark)).create("user_id long, n long, total double", ["user_id"], 32)
+    return streams.ingest(dealt, own, table, merge).select("user_id", "n", F.round("total", 4).alias("total"))
 
 
 @query("r09_late_events", "SELECT epoch_us(date_trunc('minute', ts)) AS minute, count(*) AS n FROM events WHERE event_id % 3 = user_id % 3 GROUP BY ALL")
@@ -86,6 +94,103 @@ def r09(spark, d):
     return out.select(_micros("minute").alias("minute"), "n")
 
 
+# -- several files in another order than that of the events, some too late ------------
+
+_ARRIVALS = 6
+_DELAY_DAYS = 6
+VIEWS["arrived"] = f"""SELECT *, least({_ARRIVALS - 1}, event_id * {_ARRIVALS} // (SELECT max(event_id) + 1 FROM events)
+    + CASE WHEN event_id % 11 = 5 THEN 2 WHEN event_id % 7 = 3 THEN 1 ELSE 0 END) AS batch FROM events"""
+# the watermark that drops rows of a batch is the one that the batch before it had
+VIEWS["marks"] = "SELECT batch + 2 AS batch, max(max(epoch_us(ts)) // 1000) OVER (ORDER BY batch) AS seen FROM arrived GROUP BY batch"
+VIEWS["final_mark"] = f"SELECT (max(epoch_us(ts)) // 1000 - {_DELAY_DAYS * 86_400_000}) * 1000 AS mark FROM arrived"
+VIEWS["in_time"] = f"""SELECT arrived.* FROM arrived LEFT JOIN marks USING (batch)
+    WHERE seen IS NULL OR epoch_us(ts) > (seen - {_DELAY_DAYS * 86_400_000}) * 1000"""
+
+
+def _arrivals(spark, d) -> DataFrame:
+    """The events in six batches of files: some rows come a batch later, some two, which can be too late."""
+    e = fx.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    n = e.agg(F.max("event_id")).first()[0] + 1
+    late = F.when(F.col("event_id") % 11 == 5, 2).when(F.col("event_id") % 7 == 3, 1).otherwise(0)
+    dealt = e.withColumn("batch", F.least(F.lit(_ARRIVALS - 1), F.floor(F.col("event_id") * _ARRIVALS / n) + late))
+    return _files_in_order(dealt)
+
+
+def _files_in_order(dealt: DataFrame, files: int = 2) -> DataFrame:
+    """A stream of the rows whose batches are those of the column ``batch``."""
+    spark = dealt.sparkSession
+    path = streams.shared_path(spark)
+    for b in range(_ARRIVALS):
+        dealt.where(F.col("batch") == b).drop("batch").repartition(files).write.parquet(f"{path}/{b}")
+    return streams.file_stream(spark, path, dealt.drop("batch").schema, files)
+
+
+VIEWS["jev_in_time"] = """SELECT event_id, user_id AS job, ['queued', 'validating', 'processing', 'ready', 'failed'][event_id % 5 + 1] AS status,
+    CASE WHEN user_id % 3 = 0 THEN 'cleanup_scene' ELSE 'process_scene' END AS kind FROM in_time WHERE epoch_us(ts) // 1000 * 1000 <= (SELECT mark FROM final_mark )"""
+
+
+@query("r03_violations_out_of_order", _BAD.replace("FROM jev)", "FROM jev_in_time )"), "jev_in_time")
+def r03_out_of_order(spark, d):
+    own = _job_statuses(_arrivals(spark, d))
+    return streams.run_once(ordered.transition_violations(own, f"{_DELAY_DAYS} days"), "append").select("event_id", "job", "previous", "status")
+
+
+_LEASE = 43_200
+VIEWS["lease_events"] = """SELECT event_id, user_id AS task, 'w' || event_id % 2 AS worker, epoch_us(ts) AS us,
+    CASE event_type WHEN 'purchase' THEN 'claim' WHEN 'signup' THEN 'claim' WHEN 'error' THEN 'complete' ELSE 'renew' END AS kind,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM in_time WHERE epoch_us(ts) // 1000 * 1000 <= (SELECT mark FROM final_mark )"""
+_LEASES = f"""SELECT task, event_id, worker, outcome, at_us FROM (
+    WITH RECURSIVE run AS (
+        SELECT DISTINCT task, 0::BIGINT AS n, NULL::VARCHAR AS holder, NULL::BIGINT AS expiry, NULL::BIGINT AS event_id, NULL::VARCHAR AS worker, NULL::VARCHAR AS outcome, NULL::BIGINT AS us, NULL::VARCHAR AS ended, NULL::BIGINT AS ended_at FROM lease_events
+        UNION ALL
+        SELECT task, n, CASE WHEN outcome IS NOT NULL THEN live WHEN kind = 'complete' THEN NULL ELSE worker END,
+            CASE WHEN outcome IS NOT NULL THEN CASE WHEN live IS NOT NULL THEN expiry END WHEN kind <> 'complete' THEN us + {_LEASE * 1_000_000} END,
+            event_id, worker, outcome, us, CASE WHEN live IS NULL THEN holder END, CASE WHEN live IS NULL AND holder IS NOT NULL THEN expiry END
+        FROM (SELECT *, CASE WHEN kind = 'claim' THEN CASE WHEN live <> worker THEN 'refused' END WHEN live IS NULL OR live <> worker THEN 'lost' END AS outcome FROM (
+            SELECT e.*, r.holder, r.expiry, CASE WHEN e.us < r.expiry THEN r.holder END AS live FROM run r JOIN lease_events e ON e.task = r.task AND e.n = r.n + 1)))
+    SELECT task, event_id, worker, outcome, us AS at_us FROM run WHERE outcome IS NOT NULL
+    UNION ALL SELECT task, NULL, ended, 'expired', ended_at FROM run WHERE ended IS NOT NULL
+    UNION ALL SELECT task, NULL, holder, 'expired', expiry FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY n DESC) AS back FROM run) WHERE back = 1 AND holder IS NOT NULL AND expiry <= (SELECT mark FROM final_mark ))"""
+
+
+@query("r04_lease_watch", _LEASES, "lease_events")
+def r04_lease_watch(spark, d):
+    kind = F.when(F.col("event_type").isin("purchase", "signup"), "claim").when(F.col("event_type") == "error", "complete").otherwise("renew")
+    own = _arrivals(spark, d).select("event_id", "ts", F.col("user_id").alias("task"), F.concat(F.lit("w"), F.col("event_id") % 2).alias("worker"), kind.alias("kind"))
+    return streams.run_once(ordered.lease_watch(own, _LEASE, f"{_DELAY_DAYS} days"), "append")
+
+
+_BATCH_US = 5 * 86_400_000_000
+VIEWS["deliveries"] = f"""SELECT event_id, again, home, home + again AS batch, us + CASE WHEN again = 4 THEN {4 * _BATCH_US} ELSE 0 END AS us FROM (
+    SELECT event_id, epoch_us(ts) AS us, event_id * {_ARRIVALS} // (SELECT max(event_id) + 1 FROM events) AS home FROM events)
+    CROSS JOIN (VALUES (0), (1), (4)) AS a(again) WHERE home + again < {_ARRIVALS} AND (again = 0 OR (again = 1 AND event_id % 3 = 0) OR (again = 4 AND event_id % 5 = 0))"""
+VIEWS["delivery_marks"] = "SELECT batch, max(max(us) // 1000) OVER (ORDER BY batch) AS seen FROM deliveries GROUP BY batch"
+
+
+# an entry's state goes at the end of a batch, by what had been seen before that batch
+@query("r05_redelivery_windows", f"""SELECT f.event_id, 1 + (m.seen IS NOT NULL)::BIGINT AS n FROM deliveries f LEFT JOIN deliveries l ON l.event_id = f.event_id AND l.again = 4
+    LEFT JOIN delivery_marks m ON m.batch = l.batch - 2 AND f.us // 1000 + {_DELAY_DAYS * 86_400_000} <= m.seen - {_DELAY_DAYS * 86_400_000} WHERE f.again = 0""", "deliveries delivery_marks")
+def r05_redelivery_windows(spark, d):
+    """Every entry comes once, some again a batch later (inside the delay), some four batches later (beyond it: they count anew)."""
+    e = fx.read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    n = e.agg(F.max("event_id")).first()[0] + 1
+    home = F.floor(F.col("event_id") * _ARRIVALS / n)
+    again = F.explode(F.filter(F.array(F.lit(0), F.when(F.col("event_id") % 3 == 0, 1), F.when(F.col("event_id") % 5 == 0, 4)), lambda x: x.isNotNull())).alias("again")
+    dealt = e.select("*", home.alias("home"), again).withColumn("batch", F.col("home") + F.col("again")).where(F.col("batch") < _ARRIVALS)
+    # a delivery that comes again keeps the time of its entry inside the delay, and has a new one beyond it
+    at = F.when(F.col("again") == 4, F.timestamp_micros(F.unix_micros("ts") + 4 * _BATCH_US)).otherwise(F.col("ts"))
+    once = streams.deduplicate(_files_in_order(dealt.select("event_id", at.alias("ts"), "batch")), ["event_id"], f"{_DELAY_DAYS} days")
+    return streams.run_once(once, "append").groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query("r09_late_events_dropped", f"""SELECT epoch_us(date_trunc('minute', ts)) AS minute, count(*) AS n FROM arrived LEFT JOIN marks USING (batch)
+    WHERE event_id % 3 = user_id % 3 AND (seen IS NULL OR epoch_us(date_trunc('minute', ts)) + 60000000 > (seen - {_DELAY_DAYS * 86_400_000}) * 1000) GROUP BY ALL""", "arrived marks")
+def r09_late_events_dropped(spark, d):
+    own = _arrivals(spark, d).withColumn("holder", F.col("event_id") % 3).withColumn("current", F.col("user_id") % 3)
+    out = streams.run_once(streams.current_holder(own, f"{_DELAY_DAYS} days", "holder", "current"), "update", ["minute"])
+    return out.select(_micros("minute").alias("minute"), "n")
+
+
 # -- archives -----------------------------------------------------------------------
 
 def _archives(spark, d) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,5 +29,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; a local one only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sigmaspark-checkpoint-')}"
+    """The folder that the cluster shares for checkpoints. A local one stands in only where the master is local: others would not see it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"file://{tempfile.mkdtemp(prefix='sigmaspark-checkpoint-')}"
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new name in that folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"

@@ -2,40 +2,57 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from ..operators.lifecycle import NEXT
-from ..session import checkpoint_dir
+from ..session import shared_path
+from ..sources.versioned import Merge, VersionedTable
 
 # Requests per client and minute.
 LIMITS = {"acquisitions": 20, "uploads": 12}
 DEFAULT_LIMIT = 120
 
 
+def file_stream(spark: SparkSession, folder: str, schema: StructType, files: int = 1) -> DataFrame:
+    """Parquet files of a folder and the folders below it in order of arrival, some at a time."""
+    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files).parquet(folder)
+
+
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The files of one table as a stream."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("recursiveFileLookup", "false").parquet(folder)
 
 
-def run_once(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_once(stream: DataFrame, mode: str, keys: list[str] | None = None, path: str | None = None) -> DataFrame:
     """All that is there now, through the stream: every batch is written to the shared folder, replays replace their batch.
 
-    With ``keys``, the newest row of each key counts (update mode).
+    With ``keys``, the newest row of each key counts (update mode). A ``path`` that an
+    earlier call used goes on from that call's state. State is kept in RocksDB.
     """
     spark = stream.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    path = path or shared_path(spark)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(write).trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:  # a query takes its session's settings when it starts
+        running = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(write).trigger(availableNow=True).start()
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)
+    running.awaitTermination()
     out = spark.read.parquet(f"{path}/out").drop("batch")
     if keys:
         out = out.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_batch")))).where("_n = 1").drop("_n")
@@ -56,23 +73,6 @@ def state_fold(events: DataFrame, job: str, order: str, columns: list[str]) -> D
     return events.groupBy(job).agg(F.max(F.struct(order, *columns)).alias("s")).select(job, f"s.{order}", *[f"s.{c}" for c in columns])
 
 
-def transition_violations(events: DataFrame) -> DataFrame:
-    """Events (event_id, job, status, kind) whose status may not follow the job's last one, which is kept as state."""
-
-    def check(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        out = []
-        for row in pd.concat(list(frames)).sort_values("event_id").itertuples():
-            allowed = last is None or last == row.status or row.status in NEXT.get(last, []) or (last == "queued" and row.status == "processing" and row.kind == "cleanup_scene")
-            if not allowed:
-                out.append((row.event_id, key[0], last, row.status))
-            last = row.status
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["event_id", "job", "previous", "status"])
-
-    return events.groupBy("job").applyInPandasWithState(check, "event_id long, job long, previous string, status string", "last string", "append", GroupStateTimeout.NoTimeout)
-
-
 def sessions(touches: DataFrame, key: str, gap: str, delay: str, at: str = "ts") -> DataFrame:
     """Closed sessions of each key: touches less than ``gap`` apart belong together; a session ends a gap after its last touch.
 
@@ -93,18 +93,14 @@ def current_holder(writes: DataFrame, delay: str, holder: str, current: str, at:
     return own.groupBy(F.window(at, "1 minute")).agg(F.count("*").alias("n")).select(F.col("window.start").alias("minute"), "n")
 
 
-def ingest(stream: DataFrame, apply: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """New files run through ``apply`` and are merged into a table; a batch that is replayed writes its own version again."""
-    spark = stream.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    done: list[int] = []
+def ingest(stream: DataFrame, apply: Callable[[DataFrame], DataFrame], table: VersionedTable, merge: Merge, name: str = "ingest") -> DataFrame:
+    """New files run through ``apply`` and are merged into the table; after a restart, with the table alone as memory, nothing counts twice.
+
+    The stream's own checkpoint lies beside the table's log.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        fresh = apply(batch)
-        merged = merge(spark.read.parquet(f"{path}/v{done[-1]}"), fresh) if done else fresh
-        merged.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-        if not done or done[-1] != batch_id:
-            done.append(batch_id)
-
-    stream.writeStream.option("checkpointLocation", f"{path}/state").foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/v{done[-1]}")
+        table.commit(apply(batch), merge, name, batch_id)
+
+    stream.writeStream.option("checkpointLocation", f"{table.path}/_streams/{name}").foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
+    return table.read()
