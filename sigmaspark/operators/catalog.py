@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.radiometry import EARTH_KM
+from . import spatial
 
 # Fixed values
 NAME_PATTERN = r"^S1[A-D]_IW_GRDH_1SDV_"
@@ -102,13 +103,10 @@ def pin_acquisition(wanted: DataFrame, found: DataFrame, key: str, seconds: int
     return w.join(f, [key, "bucket"]).where(F.abs(F.unix_micros("ts") - F.unix_micros("start")) <= seconds * 1_000_000).drop("bucket")
 
 
-def boxes_meet(left: DataFrame, right: DataFrame, size: float = 10.0) -> DataFrame:
-    """Pairs of (left, right) whose boxes intersect. Boxes are dealt to grid cells of ``size`` degrees; a pair is made in one cell only."""
-    def gridded(df: DataFrame, p: str) -> DataFrame:
-        cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
-        named = df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-        return named.where(f"{p}_east > {p}_west and {p}_north > {p}_south").withColumn("gx", F.explode(cells(f"{p}_west", f"{p}_east"))).withColumn("gy", F.explode(cells(f"{p}_south", f"{p}_north")))
+def boxes_meet(left: DataFrame, right: DataFrame, size: float = 10.0, crowd: int = spatial.CROWD) -> DataFrame:
+    """Pairs of (left, right) whose boxes intersect, columns with l_ and r_. They meet in cells of ``size`` degrees, smaller where boxes crowd."""
+    def side(df: DataFrame, p: str) -> DataFrame:
+        return df.where("east > west and north > south").select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
 
-    met = gridded(left, "l").join(gridded(right, "r"), ["gx", "gy"])
-    first = (F.col("gx") == F.floor(F.greatest("l_west", "r_west") / size)) & (F.col("gy") == F.floor(F.greatest("l_south", "r_south") / size))
-    return met.where("l_west <= r_east and r_west <= l_east and l_south <= r_north and r_south <= l_north").where(first).drop("gx", "gy")
+    box = lambda p: (f"{p}_west", f"{p}_south", f"{p}_east", f"{p}_north")
+    return spatial.overlapping(side(left, "l"), side(right, "r"), [], box("l"), box("r"), size, crowd)

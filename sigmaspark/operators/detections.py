@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import logging
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_path
+from . import spatial
 from .geo import region_name
 
+logger = logging.getLogger(__name__)
+
 IOU = 0.5
 CONTRACT = "detector-output/1"
 
@@ -56,50 +63,83 @@ def iou(a: str, b: str) -> Column:
     return w * h / (area(a) + area(b) - w * h)
 
 
-def iou_pairs(boxes: DataFrame, threshold: float = IOU, cell: float = 64.0, scene: str = "scene") -> DataFrame:
+def iou_pairs(boxes: DataFrame, threshold: float = IOU, cell: float = 64.0, scene: str = "scene", crowd: int = spatial.CROWD) -> DataFrame:
     """better, worse, iou: overlapping pairs of one scene and label, the better by confidence then id.
 
-    Boxes meet in the grid cells they cover; the pair is made in the cell of its overlap's
-    corner alone. Reads id, label, confidence and the four coordinates.
+    Boxes meet in the cells that they touch, smaller ones where they crowd; the pair is made
+    in the cell of its overlap's corner alone. Reads id, label, confidence and the four coordinates.
     """
-    def side(p: str) -> DataFrame:
-        span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-        own = boxes.select(F.col(scene), "label", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "confidence", "x_min", "y_min", "x_max", "y_max")])
-        return own.withColumn("gx", span(f"{p}_x_min", f"{p}_x_max")).withColumn("gy", span(f"{p}_y_min", f"{p}_y_max"))
-
-    met = side("a").join(side("b"), [scene, "label", "gx", "gy"])
+    columns = ("id", "confidence", "x_min", "y_min", "x_max", "y_max")
+    side = lambda p: boxes.select(F.col(scene), "label", *[F.col(c).alias(f"{p}_{c}") for c in columns])
+    box = lambda p: tuple(f"{p}_{c}" for c in columns[2:])
+    met = spatial.overlapping(side("a"), side("b"), [scene, "label"], box("a"), box("b"), cell, crowd)
     better = (F.col("a_confidence") > F.col("b_confidence")) | ((F.col("a_confidence") == F.col("b_confidence")) & (F.col("a_id") < F.col("b_id")))
-    corner = (F.col("gx") == F.floor(F.greatest("a_x_min", "b_x_min") / cell)) & (F.col("gy") == F.floor(F.greatest("a_y_min", "b_y_min") / cell))
-    return met.where(better & corner).withColumn("iou", iou("a", "b")).where(F.col("iou") > threshold).select(scene, "label", F.col("a_id").alias("better"), F.col("b_id").alias("worse"), "iou")
+    found = met.where(better).withColumn("iou", iou("a", "b")).where(F.col("iou") > threshold)
+    return found.select(scene, "label", F.col("a_id").alias("better"), F.col("b_id").alias("worse"), "iou", F.col("a_confidence").alias("confidence"))
+
+
+#: Groups (scene, label) with up to so many overlapping pairs are settled by one task in one pass.
+ONE_PASS_PAIRS = 50_000
+
+
+def _settle_group(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Lost boxes of one scene and label: the best kept box of those that overlap it better."""
+    scene, label = pairs.columns[0], "label"
+    rank = dict(zip(pairs["better"], pairs["confidence"], strict=True))
+    over: dict[int, list[int]] = {}
+    for a, b in zip(pairs["better"].tolist(), pairs["worse"].tolist(), strict=True):
+        over.setdefault(b, []).append(a)
+    lost: dict[int, int] = {}
+    # a better box that nothing overlaps is kept; boxes that are never better decide nothing and come last
+    for b in sorted(over, key=lambda x: (x not in rank, -rank.get(x, 0.0), x)):
+        kept = [a for a in over[b] if a not in lost]
+        if kept:
+            lost[b] = min(kept, key=lambda a: (-rank[a], a))
+    return pd.DataFrame({scene: pairs[scene].iloc[0], label: pairs[label].iloc[0], "id": list(lost), "winner": list(lost.values())}, columns=[scene, label, "id", "winner"])
+
+
+def _settle_in_rounds(pairs: DataFrame, scene: str, most: int = 10_000) -> DataFrame:
+    """Lost boxes of groups of any size: in each round, boxes that no open box overlaps better are kept, and end those that they overlap."""
+    spark, folder = pairs.sparkSession, shared_path(pairs.sparkSession)
+    key = [scene, "label"]
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    open_, lost = pairs.select(*key, "better", "worse"), None
+    for n in range(most):
+        is_worse = open_.select(*key, F.col("worse").alias("better")).distinct()
+        kept = open_.join(is_worse, [*key, "better"], "left_anti")
+        ended = written(kept.select(*key, F.col("worse").alias("id")).distinct(), f"lost{n}")
+        lost = ended if lost is None else lost.unionByName(ended)
+        # pairs of kept boxes are settled, as all that they overlap has ended
+        open_ = written(open_.join(ended.withColumnRenamed("id", "worse"), [*key, "worse"], "left_anti").join(ended.withColumnRenamed("id", "better"), [*key, "better"], "left_anti"), f"open{n}")
+        left = open_.count()
+        logger.info("suppression round %d: %d pairs left", n + 1, left)
+        if not left:
+            break
+    alive = pairs.join(lost.withColumnRenamed("id", "better"), [*key, "better"], "left_anti")
+    best = alive.groupBy(*key, F.col("worse").alias("id")).agg(F.max_by("better", F.struct("confidence", -F.col("better"))).alias("winner"))
+    return best.join(lost, [*key, "id"], "left_semi")
 
 
-def suppress(boxes: DataFrame, threshold: float = IOU, scene: str = "scene") -> DataFrame:
-    """Greedy suppression per scene and label: scene, id, winner (null for kept boxes).
+def suppress(boxes: DataFrame, threshold: float = IOU, scene: str = "scene", one_pass: int = ONE_PASS_PAIRS) -> DataFrame:
+    """Greedy suppression per scene and label: scene, label, id, winner (null for kept boxes).
 
-    A box's fate hangs only on better boxes that overlap it, so rounds reach the greedy
-    result: a box without undecided or kept better neighbours is kept, a neighbour of a kept
-    one is suppressed by the best of those. Every round is written to the checkpoint folder.
+    Ids are unique within a scene and label. A box's fate hangs only on better boxes that
+    overlap it: groups with few pairs are settled in confidence order by one task each, the
+    others in rounds of joins over all of them at once.
     """
-    spark = boxes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        from ..session import checkpoint_dir
-
-        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
-    pairs = iou_pairs(boxes, threshold, scene=scene).select("better", "worse").checkpoint()
-    rank = boxes.select(F.col("id").alias("better"), "confidence")
-    kept = boxes.join(pairs.select(F.col("worse").alias("id")).distinct(), "id", "left_anti").select("id").checkpoint()
-    lost, open_pairs = None, pairs
-    while True:
-        beaten = open_pairs.join(kept.withColumnRenamed("id", "better"), "better", "left_semi").select(F.col("worse").alias("id")).distinct()
-        lost = (beaten if lost is None else lost.union(beaten)).distinct().checkpoint()
-        open_pairs = open_pairs.join(lost.withColumnRenamed("id", "worse"), "worse", "left_anti").join(lost.withColumnRenamed("id", "better"), "better", "left_anti").checkpoint()
-        waiting = open_pairs.select(F.col("worse").alias("id")).distinct()
-        decided = boxes.select("id").join(lost, "id", "left_anti").join(waiting, "id", "left_anti").checkpoint()
-        if open_pairs.isEmpty() and decided.count() == kept.count():
-            break
-        kept = decided
-    winners = pairs.join(kept.withColumnRenamed("id", "better"), "better", "left_semi").join(rank, "better").groupBy(F.col("worse").alias("id")).agg(F.max_by("better", F.struct("confidence", -F.col("better"))).alias("winner"))
-    return boxes.select(scene, "id").join(winners, "id", "left")
+    spark, key = boxes.sparkSession, [scene, "label"]
+    path = f"{shared_path(spark)}/pairs"
+    iou_pairs(boxes, threshold, scene=scene).drop("iou").write.parquet(path)
+    pairs = spark.read.parquet(path)
+    large = pairs.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > one_pass).select(*key)
+    kind = dict(pairs.dtypes)
+    few = pairs.join(large, key, "left_anti").groupBy(*key).applyInPandas(_settle_group, f"`{scene}` {kind[scene]}, label string, id {kind['worse']}, winner {kind['better']}")
+    lost = few if large.isEmpty() else few.unionByName(_settle_in_rounds(pairs.join(large, key, "left_semi"), scene))
+    return boxes.select(*key, "id").join(lost, [*key, "id"], "left")
 
 
 def numbered(kept: DataFrame, scene: str = "scene") -> DataFrame:

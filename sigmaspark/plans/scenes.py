@@ -230,12 +230,29 @@ VIEWS["det_pairs"] = """SELECT scene, label, better, worse, i / (s - i) AS iou F
 
 @query("j12_iou_pairs", "SELECT scene, label, better, worse, round(iou, 6) AS iou FROM det_pairs", "det_pairs")
 def j12(spark, d):
-    return rounded(detections.iou_pairs(_valid(spark, d)))
+    return rounded(detections.iou_pairs(_valid(spark, d)).drop("confidence"))
 
 
-@query("w09_nms")
+# boxes of a scene and label in their order; the kept ones so far go along as a list
+VIEWS["nms_order"] = """SELECT d.scene, d.label, d.id, row_number() OVER (PARTITION BY d.scene, d.label ORDER BY d.confidence DESC, d.id) AS n, coalesce(over, []) AS over
+    FROM valid_dets d LEFT JOIN (SELECT scene, label, worse AS id, list(better) AS over FROM det_pairs GROUP BY ALL) USING (scene, label, id)"""
+_NMS = """SELECT scene, id, winner FROM (
+    WITH RECURSIVE run AS (
+        SELECT scene, label, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::BIGINT AS winner, []::BIGINT[] AS kept FROM nms_order WHERE n = 1
+        UNION ALL
+        SELECT scene, label, n, id, winner, CASE WHEN winner IS NULL THEN list_append(kept, id) ELSE kept END
+        FROM (SELECT o.*, r.kept, list_filter(r.kept, lambda x: list_contains(o.over, x))[1] AS winner FROM run r JOIN nms_order o ON o.scene = r.scene AND o.label = r.label AND o.n = r.n + 1))
+    SELECT * FROM run WHERE n > 0)"""
+
+
+@query("w09_nms", _NMS, "nms_order")
 def w09(spark, d):
-    return detections.suppress(_valid(spark, d))
+    return detections.suppress(_valid(spark, d)).select("scene", "id", "winner")
+
+
+@query("w09_nms_rounds", _NMS, "nms_order")
+def w09_rounds(spark, d):
+    return detections.suppress(_valid(spark, d), one_pass=10).select("scene", "id", "winner")
 
 
 @query("w10_object_numbering", "SELECT id, printf('object-%04d', row_number() OVER (PARTITION BY scene ORDER BY confidence DESC, id)) AS object_id FROM valid_dets", "valid_dets")
