@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import vectors
+from ..operators import vector_index, vectors
 from . import fixtures as fx
 from .registry import VIEWS, query
 
@@ -36,6 +36,12 @@ def t01(spark, d):
     return vectors.top_k(vectors.scoped(v, F.lit(0), F.lit(1)), first[0] if first else [0.0], 10)
 
 
+@query("t02_vector_topk_pruned", "SELECT query, point_id, score, rank::INT AS rank FROM vtop", "vtop")
+def t02_pruned(spark, d):
+    hits, _ = vector_index.search(vector_index.build(_vectors(spark, d)), _queries(spark, d), 10)
+    return hits.select("query", "point_id", "score", "rank")
+
+
 @query("t02_vector_topk_batch", "SELECT query, point_id, score, rank::INT AS rank FROM vtop", "vtop")
 def t02(spark, d):
     return _hits(spark, d).select("query", "point_id", "score", "rank")
