@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.radiometry import to_db
-from .quantiles import quantiles
-from .scattering import otsu
+from .summaries import clipped_cut
 
 # Fixed values
 MIN_PIXELS, MIN_CONTRAST_DB, SPAN_DB = 64, 0.25, 12.0
@@ -17,15 +16,13 @@ DOMAIN_LON, DOMAIN_LAT = (-31.3, 31.6), (36.0, 70.1)
 
 
 def land_water(pixels: DataFrame, bands: list[str], scene: str = "scene") -> DataFrame:
-    """Per scene: label, water share, threshold and separability, from the mean magnitude of its bands."""
+    """Per scene: label, water share, threshold and separability, from the mean magnitude of its bands. Pixels are scanned twice."""
     mean = sum(F.abs(F.col(b)) for b in bands) / len(bands)
     db = pixels.select(scene, to_db(F.greatest(mean, F.lit(1e-12))).alias("db")).where("db is not null and not isnan(db)")
-    stats = quantiles(db, scene, "db", [0.02, 0.98]).select(scene, "n", F.col("p")[0].alias("p02"), F.col("p")[1].alias("p98"))
-    clipped = db.join(F.broadcast(stats), scene).where((F.col("n") >= MIN_PIXELS) & (F.col("p98") - F.col("p02") >= MIN_CONTRAST_DB)).select(scene, F.least(F.greatest("db", "p02"), F.col("p98")).alias("x"))
-    cut = otsu(clipped, scene, "x")
-    water = clipped.join(F.broadcast(cut), scene).groupBy(scene, "otsu").agg(F.avg((F.col("x") <= F.col("otsu")).cast("double")).alias("water_fraction"))
-    label = F.when(F.col("water_fraction") >= WATER_SHARE, "likely_water_dominant").when(F.col("water_fraction") <= LAND_SHARE, "likely_land_dominant").when(F.col("water_fraction").isNotNull(), "mixed_or_indeterminate").otherwise("indeterminate")
-    return stats.join(water, scene, "left").select(scene, label.alias("label"), "water_fraction", F.col("otsu").alias("threshold_db"), F.when(F.col("otsu").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("p98") - F.col("p02")) / SPAN_DB))).alias("separability"))
+    cut = clipped_cut(db, scene, "db", 0.02, 0.98, least=MIN_PIXELS, contrast=MIN_CONTRAST_DB)
+    label = F.when(F.col("below") >= WATER_SHARE, "likely_water_dominant").when(F.col("below") <= LAND_SHARE, "likely_land_dominant").when(F.col("below").isNotNull(), "mixed_or_indeterminate").otherwise("indeterminate")
+    separability = F.when(F.col("otsu").isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("hi") - F.col("lo")) / SPAN_DB)))
+    return cut.select(scene, label.alias("label"), F.col("below").alias("water_fraction"), F.col("otsu").alias("threshold_db"), separability.alias("separability"))
 
 
 def scene_classes(scores: DataFrame, scene: str = "scene", confident: float = CONFIDENT, min_share: float = MIN_SHARE) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.radiometry import FLOOR_DB, from_db, to_db
+from .quantiles import quantiles
+from .summaries import between_classes, few, written
 
 # Fixed values
 BINS = 256
@@ -42,24 +44,26 @@ def otsu(values: DataFrame, scene: str, value: str, bins: int = BINS) -> DataFra
 
     A scene of one value gives that value.
     """
-    spread = values.groupBy(scene).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    spread = written(values.groupBy(scene).agg(F.min(value).alias("lo"), F.max(value).alias("hi")), "spread")
     width = (F.col("hi") - F.col("lo")) / bins
-    binned = values.join(F.broadcast(spread), scene).where("hi > lo").withColumn("bin", F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1)).cast("int"))
-    counts = binned.groupBy(scene, "lo", "hi", "bin").agg(F.count("*").alias("n"))
-    centre = F.col("lo") + (F.col("bin") + 0.5) * width
-    # a scene has at most ``bins`` rows here
-    upto, whole = Window.partitionBy(scene).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(scene)
-    run = counts.withColumn("centre", centre).withColumn("share", F.col("n") / F.sum("n").over(whole))
-    run = run.withColumn("omega", F.sum("share").over(upto)).withColumn("mu", F.sum(F.col("share") * F.col("centre")).over(upto)).withColumn("total", F.sum(F.col("share") * F.col("centre")).over(whole))
-    between = F.when(F.col("omega") < 1 - 1e-12, F.pow(F.col("total") * F.col("omega") - F.col("mu"), F.lit(2.0)) / (F.col("omega") * (1 - F.col("omega"))))
-    best = run.withColumn("between", F.round(between, 9)).groupBy(scene).agg(F.max_by("centre", F.struct("between", -F.col("bin"))).alias("best"))
-    return spread.join(best, scene, "left").select(scene, F.coalesce("best", "lo").alias("otsu"))
+    binned = values.join(few(spread), scene).where("hi > lo").withColumn("bin", F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1)).cast("int"))
+    best = between_classes(binned.groupBy(scene, "lo", "hi", "bin").agg(F.count("*").alias("n")), scene, bins)
+    return spread.join(best, scene, "left").select(scene, F.coalesce("otsu", "lo").alias("otsu"))
 
 
 def fit_thresholds(windows: DataFrame, scene: str = "scene") -> DataFrame:
-    """One row per scene: the five thresholds, their source, and why a fit was refused."""
-    stats = windows.groupBy(scene).agg(F.count("*").alias("windows"), F.percentile("vv_db", F.array(F.lit(0.05), F.lit(WATER_PERCENTILE), F.lit(0.95))).alias("p"))
-    fitted = stats.join(otsu(windows, scene, "ratio_db"), scene)
+    """One row per scene: the five thresholds, their source, and why a fit was refused.
+
+    The windows are written once, so that pixels behind them are read once; no buffer holds a scene.
+    """
+    held = written(windows.select(scene, "vv_db", "ratio_db"), "windows")
+    return _fitted(held, scene)
+
+
+def _fitted(held: DataFrame, scene: str) -> DataFrame:
+    stats = quantiles(held, scene, "vv_db", [0.05, WATER_PERCENTILE, 0.95]).select(scene, "p")
+    sizes = held.groupBy(scene).agg(F.count("*").alias("windows"))
+    fitted = sizes.join(stats, scene, "left").join(otsu(held, scene, "ratio_db"), scene)
     reason = degenerate_reason(F.col("windows"), F.col("p")[1], F.col("p")[2] - F.col("p")[0])
     return fitted.withColumn("reason", reason).select(
         scene, "windows",
@@ -88,10 +92,17 @@ def classify(windows: DataFrame, thresholds: DataFrame, scene: str = "scene") ->
 
 def mechanism_block(windows: DataFrame, scene: str = "scene", most_noise: float = MAX_NOISE_LIMITED) -> DataFrame:
     """Per scene and mechanism: share, medians, and windows scored and discarded. Thresholds use all windows."""
-    marked = classify(windows, fit_thresholds(windows, scene), scene).withColumn("usable", F.col("noise_limited_fraction") <= most_noise)
-    by = marked.groupBy(scene, "source", "mechanism").agg(
-        F.count_if("usable").alias("n"), F.count_if(~F.col("usable")).alias("lost"),
-        F.percentile(F.when(F.col("usable"), F.col("vv_db")), F.lit(0.5)).alias("median_vv_db"), F.percentile(F.when(F.col("usable"), F.col("ratio_db")), F.lit(0.5)).alias("median_ratio_db"))
+    held = written(windows.select(scene, "vv_db", "ratio_db", "rvi", "noise_limited_fraction"), "windows")
+    thresholds = few(written(_fitted(held, scene), "thresholds"))
+    marked = classify(held, thresholds, scene).withColumn("usable", F.col("noise_limited_fraction") <= most_noise)
+    by = marked.groupBy(scene, "source", "mechanism").agg(F.count_if("usable").alias("n"), F.count_if(~F.col("usable")).alias("lost"))
+    # medians by mechanism: a group is a scene and a mechanism
+    group = F.concat_ws("\u0000", F.col(scene).cast("string"), "mechanism").alias("_group")
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in ("vv_db", "ratio_db")])).alias("x")
+    usable = marked.where("usable").select(group, both).select(F.concat_ws("\u0000", "_group", "x.c").alias("_group"), "x.v")
+    found = quantiles(usable, "_group", "v", [0.5]).select(F.split("_group", "\u0000").alias("k"), F.col("p")[0].alias("m"))
+    medians = found.groupBy(F.concat_ws("\u0000", F.col("k")[0], F.col("k")[1]).alias("_group")).agg(*[F.max(F.when(F.col("k")[2] == c, F.col("m"))).alias(f"median_{c}") for c in ("vv_db", "ratio_db")])
+    by = by.withColumn("_group", group).join(medians, "_group", "left")
     whole = Window.partitionBy(scene)  # four rows a scene
     return by.withColumn("windows_scored", F.sum("n").over(whole)).withColumn("windows_discarded", F.sum("lost").over(whole)).where("n > 0").select(
         scene, "source", "mechanism", "windows_scored", "windows_discarded", (F.col("n") / F.col("windows_scored")).alias("fraction"), "median_vv_db", "median_ratio_db")
