@@ -4,11 +4,15 @@ All rolling word k-gram hashes of the documents are joined to the positions of l
 templates. Each hit votes for the diagonal (document position minus template position)
 it lies on, if the words behind the hashes are equal, too. A phrase that stands in the text word by word fills its diagonal; where words
 were put in or left out, the votes lie on neighbouring diagonals, which are merged and
-verified by the template's words they cover. Number words (versions) must be covered.
+verified by the template's words they cover. Number words (versions) must be covered,
+and the words that part a template from one without them (lesser, noncommercial).
+Spans of several labels over the same words compete: each word goes to the best span
+over it, and a label stays where a span of it keeps half of its words.
 """
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,34 +50,58 @@ TEMPLATES = [
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
-    ("lgpl-3", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("agpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 ]
 
+#: Headers that differ in the name and version of the license.
+GNU_HEADER = "this {0} is free software you can redistribute it and or modify it under the terms of the gnu {1} general public license as published by the free software foundation either version {2} of the license or at your option any later version"
+GNU_REST = "this {0} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {1} general public license for more details"
+GNU_SHORT = "licensed under the gnu {1} general public license version {2}"
+GNU_NAMES = [("lgpl-2", "library", "lesser", "2 1"), ("lgpl-2", "library", "library", "2"), ("lgpl-3", "library", "lesser", "3"), ("agpl-3", "program", "affero", "3")]
+CC_LONG = "this work is licensed under a creative commons attribution {0} {1} license"
+CC_SHORT = "creative commons attribution {0} {1}"
+CC_NAMES = [("cc-by", ""), ("cc-by-nc", "noncommercial"), ("cc-by-sa", "sharealike"), ("cc-by-nd", "noderivatives"), ("cc-by-nc-sa", "noncommercial sharealike"), ("cc-by-nc-nd", "noncommercial noderivatives")]
+CC_VERSIONS = ["4 0 international", "3 0 unported"]
+SPDX = "spdx license identifier {0}"
+SPDX_NAMES = [
+    ("mit", "mit"), ("apache-2", "apache 2 0"), ("bsd", "bsd 2 clause"), ("bsd", "bsd 3 clause"), ("gpl-2", "gpl 2 0"), ("gpl-3", "gpl 3 0"), ("lgpl-2", "lgpl 2 0"), ("lgpl-2", "lgpl 2 1"), ("lgpl-3", "lgpl 3 0"), ("agpl-3", "agpl 3 0"),
+    ("mpl-2", "mpl 2 0"), ("isc", "isc"), ("boost", "bsl 1 0"), ("zlib", "zlib"), ("cc0", "cc0 1 0"), ("unlicense", "unlicense"),
+]
+
+TEMPLATES += [(label, t.format(kind, name, version)) for label, kind, name, version in GNU_NAMES for t in (GNU_HEADER, f"{GNU_HEADER} {GNU_REST}", GNU_SHORT)]
+TEMPLATES += [(label, " ".join(t.format(name, version).split())) for label, name in CC_NAMES for version in CC_VERSIONS for t in (CC_LONG, CC_SHORT)]
+TEMPLATES += [(label, SPDX.format(name)) for label, name in SPDX_NAMES] + [(label, SPDX.format(f"{label.replace('-', ' ')} {v}")) for label, _ in CC_NAMES for v in ("3 0", "4 0")]
+
+
+def distinguishing(label: str, words: list[str], others: list[tuple[str, list[str]]]) -> list[int]:
+    """Positions of number words, and of up to two words that another label's template does without, being otherwise much the same."""
+    out = {j for j, w in enumerate(words) if w.isdigit()}
+    for name, other in others:
+        if name != label and abs(len(other) - len(words)) <= 8:
+            match = SequenceMatcher(None, words, other, autojunk=False)
+            if match.real_quick_ratio() >= 0.8 and match.ratio() >= 0.8:
+                out |= {j for tag, a, b, _, _ in match.get_opcodes() if tag == "delete" and b - a <= 2 for j in range(a, b)}
+    return sorted(out)
+
 
 def _words(text: Column) -> Column:
     return F.split(lower_ascii(text), WORDS)
 
 
 def template_grams(spark: SparkSession, base: list[tuple[str, str]], templates: list[tuple[str, str]]) -> DataFrame:
-    """gram, gram_words, template, j, n_template, label, exact, numbers (positions of number words): a row per k-gram of each template of at least ``K`` words."""
-    rows = [(t, label, phrase, t < len(base)) for t, (label, phrase) in enumerate([*base, *templates])]
-    listed = spark.createDataFrame(rows, "template int, label string, phrase string, exact boolean")
+    """gram, gram_words, template, j, n_template, label, exact, numbers (positions that must be covered): a row per k-gram of each template of at least ``K`` words."""
+    split = [(label, phrase.split()) for label, phrase in [*base, *templates]]
+    rows = [(t, label, " ".join(w), t < len(base), distinguishing(label, w, split)) for t, (label, w) in enumerate(split)]
+    listed = spark.createDataFrame(rows, "template int, label string, phrase string, exact boolean, numbers array<int>")
     words = listed.withColumn("words", _words(F.col("phrase"))).withColumn("n_template", F.size("words"))
-    numbers = F.filter(F.transform("words", lambda w, j: F.when(w.rlike("^[0-9]+$"), j)), lambda j: j.isNotNull())
-    words = words.withColumn("numbers", numbers)
     each = words.select("*", F.explode(F.sequence(F.lit(0), F.col("n_template") - K)).alias("j"))
     return each.select(F.xxhash64(*[F.get("words", F.col("j") + k) for k in range(K)]).alias("gram"), F.slice("words", F.col("j") + 1, K).alias("gram_words"), "template", "j", "n_template", "label", "exact", "numbers")
 
@@ -113,24 +141,36 @@ def scan_licenses(docs: DataFrame, base: list[tuple[str, str]] = BASE_PHRASES, t
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > SLACK, F.lit(True))
     full = (F.col("template") >= 0) & (F.col("votes") == F.col("n_template") - K + 1)
     marked = votes.withColumn("full", full).withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(order))
+    # a chain may be too long as a whole and yet hold a clean diagonal, which is also judged alone
+    marked = marked.withColumn("many", F.count("*").over(Window.partitionBy("row", "template", "span"))).withColumn("place", F.row_number().over(order))
+    together = F.struct(F.col("span").cast("long").alias("span"), F.lit(False).alias("alone"))
+    alone = F.struct((-F.col("place")).cast("long").alias("span"), F.lit(True).alias("alone"))
+    ways = F.when((F.col("many") > 1) & (F.col("template") >= 0), F.array(together, alone)).otherwise(F.array(together))
+    marked = marked.withColumn("s", F.explode(ways)).drop("span", "many", "place").select("*", "s.*").drop("s")
 
     covered = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("js")), lambda j: F.sequence(j, j + (K - 1)))))
-    spans = marked.groupBy("row", "doc_id", "n_words", "template", "n_template", "label", "exact", "numbers", "span").agg(
+    spans = marked.groupBy("row", "doc_id", "n_words", "template", "n_template", "label", "exact", "numbers", "span", "alone").agg(
         covered.alias("js"), F.min("low").alias("low"), F.max("high").alias("high"), F.count_if("full").alias("places"),
         F.min(F.when(F.col("full"), F.col("diagonal"))).alias("first"), F.max(F.when(F.col("full"), F.col("diagonal"))).alias("last"))
     length = F.col("high") - F.col("low") + K
     spans = spans.withColumn("covered", F.size("js")).withColumn("versioned", F.size(F.array_except("numbers", "js")) == 0)
     share = F.col("covered") / F.greatest(length, F.col("n_template"))
     score = F.when(F.col("places") > 0, 1.0).when(F.col("versioned") & (F.col("covered") >= MIN_COVERED) & (share >= MIN_SCORE) & (length <= F.col("n_template") + SLACK), share)
-    scored = spans.withColumn("score", F.when(F.col("template") >= 0, score)).withColumn("found", F.col("score").isNotNull())
-    based = F.col("exact") & (F.col("places") > 0)
+    based = F.col("exact") & (F.col("places") > 0) & ~F.col("alone")
+    scored = spans.withColumn("length", length).withColumn("score", F.when(F.col("template") >= 0, score)).withColumn("based", based)
+    # each word of a row goes to the best span over it
+    best = F.max(F.struct("score", "covered", "label")).over(Window.partitionBy("row", "word"))
+    found = scored.where(F.col("score").isNotNull() | (F.col("template") < 0)).withColumn("word", F.explode(F.when(F.col("template") < 0, F.array(F.lit(-1))).otherwise(F.sequence(F.col("low"), F.col("low") + F.col("length") - 1))))
+    won = found.withColumn("best", best).withColumn("own", (F.col("best.label") == F.col("label")).cast("int"))
+    kept = won.groupBy("row", "doc_id", "n_words", "template", "label", "span", "based", "places", "first", "last", "low", "length", "score").agg(F.avg("own").alias("own"))
+    kept = kept.withColumn("stays", F.coalesce(F.col("own") >= 0.5, F.lit(False)) | F.col("based"))
     names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return scored.groupBy("row", "doc_id", "n_words").agg(
-        F.coalesce(F.sum(F.when(based, F.col("places"))), F.lit(0)).cast("long").alias("n_base"),
-        F.min(F.when(based, F.col("first"))).cast("long").alias("first_word"), F.max(F.when(based, F.col("last"))).cast("long").alias("last_word"),
-        names(F.when(based, F.col("label"))).alias("base_labels"), names(F.when(F.col("found"), F.col("label"))).alias("labels"),
-        F.coalesce(F.max("score"), F.lit(0.0)).alias("score"),
-        F.collect_set(F.when(F.col("found"), F.struct("label", F.col("low").alias("first_word"), length.alias("words"), "score"))).alias("spans"),
+    return kept.groupBy("row", "doc_id", "n_words").agg(
+        F.coalesce(F.sum(F.when(F.col("based"), F.col("places"))), F.lit(0)).cast("long").alias("n_base"),
+        F.min(F.when(F.col("based"), F.col("first"))).cast("long").alias("first_word"), F.max(F.when(F.col("based"), F.col("last"))).cast("long").alias("last_word"),
+        names(F.when(F.col("based"), F.col("label"))).alias("base_labels"), names(F.when(F.col("stays"), F.col("label"))).alias("labels"),
+        F.coalesce(F.max(F.when(F.col("stays"), F.col("score"))), F.lit(0.0)).alias("score"),
+        F.collect_set(F.when(F.col("stays"), F.struct("label", F.col("low").alias("first_word"), F.col("length").alias("words"), "score"))).alias("spans"),
     ).drop("row")
 
 
