@@ -58,9 +58,18 @@ def scene_union(cards: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def context_text(lines: DataFrame, most: int = CONTEXT_CHARS) -> DataFrame:
-    """scene, text: a scene's lines in order, cut to a number of characters."""
+    """scene, text: a scene's lines in order, cut to a number of characters.
+
+    Lines that begin beyond the limit are dropped by their running length before any are
+    gathered, and no line is longer than the limit when it is sorted: a scene's list holds
+    little more than the text. Null lines have no place and no length.
+    """
+    order = Window.partitionBy("scene").orderBy("position", "line").rowsBetween(Window.unboundedPreceding, -1)
+    short = lines.select("scene", "position", F.left("line", F.lit(most)).alias("line"))
+    begins = F.coalesce(F.sum(F.coalesce(F.length("line") + 1, F.lit(0))).over(order), F.lit(0))
+    kept = short.withColumn("begins", begins).where(F.col("begins") <= most)  # the break before a line counts, too
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n")
-    return lines.groupBy("scene").agg(F.left(joined, F.lit(most)).alias("text"))
+    return kept.groupBy("scene").agg(F.left(joined, F.lit(most)).alias("text"))
 
 
 def record_status(size: Column, kind: Column, available: Column, most: int = 2 * 1024 * 1024) -> Column:

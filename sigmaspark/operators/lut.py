@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .summaries import few, written
+
 
 def _intervals(nodes: DataFrame, scene: str) -> DataFrame:
     """Cells between neighbouring nodes: start and end in both directions, and the values at the corners."""
@@ -22,7 +24,7 @@ def bilinear(pixels: DataFrame, nodes: DataFrame, scene: str = "scene", r: str =
     """
     edge = nodes.groupBy(scene).agg(F.min("line").alias("l_min"), F.max("line").alias("l_max"), F.min("pixel").alias("p_min"), F.max("pixel").alias("p_max"))
     inside = lambda x, lo, hi: F.least(F.greatest(F.col(x), F.col(lo)), F.col(hi))
-    at = pixels.join(F.broadcast(edge), scene).withColumn("y", inside(r, "l_min", "l_max")).withColumn("x", inside(c, "p_min", "p_max")).withColumn("bucket", F.floor(F.least(F.col("y"), F.col("l_max") - 1) / step)).withColumn("bucket_c", F.floor(F.least(F.col("x"), F.col("p_max") - 1) / step))
+    at = pixels.join(few(written(edge, "edge")), scene).withColumn("y", inside(r, "l_min", "l_max")).withColumn("x", inside(c, "p_min", "p_max")).withColumn("bucket", F.floor(F.least(F.col("y"), F.col("l_max") - 1) / step)).withColumn("bucket_c", F.floor(F.least(F.col("x"), F.col("p_max") - 1) / step))
     cells = _intervals(nodes, scene).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("line") / step), F.floor((F.col("line_end") - 1) / step))))
     cells = cells.withColumn("bucket_c", F.explode(F.sequence(F.floor(F.col("pixel") / step), F.floor((F.col("pixel_end") - 1) / step))))
     last_line, last_pixel = F.col("line_end") == F.col("l_max"), F.col("pixel_end") == F.col("p_max")
@@ -40,7 +42,7 @@ def block_factor(pixels: DataFrame, blocks: DataFrame, scene: str = "scene", r:
     """
     own = blocks.groupBy(scene).agg(F.array_sort(F.collect_list(F.struct("block", "first_sample", "last_sample", "factor"))).alias("blocks"))
     fits = F.filter("blocks", lambda b: F.col(c).between(b["first_sample"], b["last_sample"]))
-    return pixels.join(F.broadcast(own), scene, "left").select(scene, r, c, F.coalesce(F.try_element_at(fits, F.lit(-1))["factor"], F.lit(1.0)).alias("factor"))
+    return pixels.join(few(written(own, "own")), scene, "left").select(scene, r, c, F.coalesce(F.try_element_at(fits, F.lit(-1))["factor"], F.lit(1.0)).alias("factor"))
 
 
 def summary(nodes: DataFrame, scene: str = "scene") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scattering import MECHANISMS, mechanism, summarise_power
+from .summaries import few, written
 
 # Fixed values
 TARGET_METRES, TARGET_WIDTH, MIN_VALID = 60.0, 4096, 0.5
@@ -54,7 +55,7 @@ def neighbours(cells: DataFrame, scene: str = "scene", rows: str = "rows", cols:
     """Each cell with the labels of its 3 x 3 neighbourhood; beyond the edge the edge's cells are repeated."""
     size = cells.groupBy(scene).agg(F.max("cell_row").alias(rows), F.max("cell_col").alias(cols))
     steps = F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> struct(a as a, b as b))))"))
-    spread = cells.select(scene, "cell_row", "cell_col", "label", steps.alias("s")).join(F.broadcast(size), scene)
+    spread = cells.select(scene, "cell_row", "cell_col", "label", steps.alias("s")).join(few(written(size, "size")), scene)
     near = [F.least(F.greatest(F.col(x) + F.col(f"s.{s}"), F.lit(0)), F.col(n)).alias(f"near_{x}") for x, s, n in (("cell_row", "a", rows), ("cell_col", "b", cols))]
     other = cells.select(F.col(scene), F.col("cell_row").alias("near_cell_row"), F.col("cell_col").alias("near_cell_col"), F.col("label").alias("near_label"))
     return spread.select(scene, "cell_row", "cell_col", "label", *near).join(other, [scene, "near_cell_row", "near_cell_col"])
@@ -68,7 +69,7 @@ def majority_filter(cells: DataFrame, scene: str = "scene") -> DataFrame:
     """
     size = cells.groupBy(scene).agg(F.max("cell_row").alias("rows"), F.max("cell_col").alias("cols"))
     steps = F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> struct(a as a, b as b))))"))
-    sent = cells.join(F.broadcast(size), scene).select(scene, "cell_row", "cell_col", "label", "rows", "cols", steps.alias("s"))
+    sent = cells.join(few(written(size, "size")), scene).select(scene, "cell_row", "cell_col", "label", "rows", "cols", steps.alias("s"))
     own = (F.col("s.a") == 0) & (F.col("s.b") == 0)
     times = lambda x, step, last: F.lit(1) + F.when((F.col(step) == 0) & (F.col(x) == 0), 1).otherwise(0) + F.when((F.col(step) == 0) & (F.col(x) == F.col(last)), 1).otherwise(0)
     row, col = F.col("cell_row") + F.col("s.a"), F.col("cell_col") + F.col("s.b")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import radiometry as rad
-from ..operators import context, lut, mechmap, scattering, tiling
+from ..operators import context, lut, mechmap, rasters, scattering, tiling
 from . import fixtures as fx
 from .fixtures import KEYS, rounded
 from .registry import VIEWS, query
@@ -109,8 +111,27 @@ VIEWS["line_windows"] = """SELECT 'orders' AS scene, w, 10 * log10(greatest(vv,
     SELECT l_orderkey AS w, avg(pow(l_extendedprice::DOUBLE / 210000, 2)) AS vv, avg(pow(l_extendedprice::DOUBLE / 210000, 2) * (greatest(l_discount::DOUBLE, 0.001) * 5)) AS vh FROM lineitem GROUP BY l_orderkey)"""
 
 
-@query("a05_mechanism_block_orders", "SELECT w, round(vv_db, 6) AS vv_db, round(ratio_db, 6) AS ratio_db, round(rvi, 6) AS rvi FROM line_windows", "line_windows")
+def _of_lines(view: str) -> str:
+    """A view over windows, read from the windows of the orders instead."""
+    for name in ("windows", "ratio_otsu", "thresholds", "classified"):
+        view = re.sub(rf"(FROM|JOIN) {name}\b", rf"\1 line_{name}", view)
+    return view
+
+
+VIEWS["line_windows"] = VIEWS["line_windows"].replace("AS rvi FROM (", "AS rvi, 0.0::DOUBLE AS noise_limited_fraction FROM (")
+fx.otsu_view("line_ratio_otsu", "line_windows", "ratio_db")
+for _name in ("thresholds", "classified", "block"):
+    VIEWS[f"line_{_name}"] = _of_lines(VIEWS[_name])
+
+
+@query("a05_mechanism_block_orders", """SELECT scene, source, mechanism, windows_scored::BIGINT AS windows_scored, windows_discarded::BIGINT AS windows_discarded,
+    round(fraction, 6) AS fraction, round(vv, 6) AS median_vv_db, round(ratio, 6) AS median_ratio_db FROM line_block WHERE n > 0""", "line_block")
 def a05_orders(spark, d):
+    return rounded(scattering.mechanism_block(_line_windows(spark, d)))
+
+
+@query("a01_window_summary_orders", "SELECT w, round(vv_db, 6) AS vv_db, round(ratio_db, 6) AS ratio_db, round(rvi, 6) AS rvi FROM line_windows", "line_windows")
+def a01_orders(spark, d):
     return rounded(_line_windows(spark, d).select("w", "vv_db", "ratio_db", "rvi"))
 
 
@@ -146,6 +167,12 @@ def a07(spark, d):
     return mechmap.majority_filter(_label_cells(spark, d))
 
 
+@query("a07_majority_tiles", "SELECT scene, cell_row, cell_col, label::INT AS label FROM filtered", "filtered")
+def a07_tiles(spark, d):
+    tiles = rasters.stored(tiling.to_tiles(_label_cells(spark, d), 8, ["label"], r="cell_row", c="cell_col"))
+    return rasters.to_cells(rasters.majority_filter(tiles, 8), 8, ["label"], "cell_row", "cell_col")
+
+
 _SHARES = ", ".join(f"round(coalesce(avg((label = {k})::INT) FILTER (label IS NOT NULL), 0), 6) AS {m}" for k, m in enumerate(scattering.MECHANISMS))
 
 
@@ -244,6 +271,12 @@ def j08(spark, d):
     return rounded(lut.bilinear(fx.pixels(spark, d).select("scene", "r", "c"), _nodes(spark, d)))
 
 
+@query("j08_lut_tiles", "SELECT scene, r, c, round(value, 6) AS value FROM lut", "lut")
+def j08_tiles(spark, d):
+    tiles = rasters.stored(tiling.to_tiles(fx.pixels(spark, d).select("scene", "r", "c", "dn_vv"), 32, ["dn_vv"]))
+    return rounded(rasters.to_cells(rasters.bilinear(tiles, _nodes(spark, d), 32), 32, ["value"]))
+
+
 @query("j10_azimuth_block_join", """SELECT scene, r, c, round(coalesce(last(f ORDER BY b), 1.0), 6)::DOUBLE AS factor FROM (SELECT p.scene, p.r, p.c, b.b, b.f FROM pixels p LEFT JOIN (VALUES (0, 0, 49, 2.0::DOUBLE), (1, 40, 69, 1.5), (2, 80, 89, 0.5)) AS b(b, lo, hi, f) ON p.c BETWEEN lo AND hi) GROUP BY scene, r, c""", "pixels")
 def j10(spark, d):
     blocks = fx.pixels(spark, d).select("scene").distinct().select("scene", F.inline(F.expr("from_json('[{\"block\":0,\"first_sample\":0,\"last_sample\":49,\"factor\":2.0},{\"block\":1,\"first_sample\":40,\"last_sample\":69,\"factor\":1.5},{\"block\":2,\"first_sample\":80,\"last_sample\":89,\"factor\":0.5}]', 'array<struct<block:int,first_sample:int,last_sample:int,factor:double>>')")))
@@ -264,7 +297,10 @@ def f29(spark, d):
 
 # -- tiles --------------------------------------------------------------------------
 
-@query("x12_patch_plan", "SELECT scene, rs::INT AS row_start, cs::INT AS col_start FROM (SELECT scene, width, unnest(range(0, height - 223, 112)) AS rs FROM scenes_sized WHERE height >= 224 AND width >= 224), LATERAL (SELECT unnest(range(0, width - 223, 112)) AS cs)", "scenes_sized")
+VIEWS["plan"] = "SELECT scene, rs::INT AS row_start, cs::INT AS col_start FROM (SELECT scene, width, unnest(range(0, height - 223, 112)) AS rs FROM scenes_sized WHERE height >= 224 AND width >= 224), LATERAL (SELECT unnest(range(0, width - 223, 112)) AS cs)"
+
+
+@query("x12_patch_plan", "SELECT * FROM plan", "plan")
 def x12(spark, d):
     return tiling.patch_plan(fx.scenes_sized(spark, d)).select("scene", "row_start", "col_start")
 
@@ -282,7 +318,11 @@ def x13(spark, d):
     return tiling.grid_origins(fx.scenes_sized(spark, d), 20).select("scene", "row_off", "col_off")
 
 
-@query("x14_patch_identity")
+VIEWS["plan_digests"] = f"SELECT *, sha1(unhex('{tiling.URL_NAMESPACE}') || encode(scene || ':encoder:v1:' || row_start || ':' || col_start || ':224')) AS h FROM plan"
+
+
+@query("x14_patch_identity", """SELECT scene, row_start, col_start, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][instr('0123456789abcdef', h[17]) % 4 + CASE WHEN instr('0123456789abcdef', h[17]) % 4 = 0 THEN 4 ELSE 0 END] || h[18:20] || '-' || h[21:32] AS patch_id
+    FROM plan_digests""", "plan_digests")
 def x14(spark, d):
     plan = tiling.patch_plan(fx.scenes_sized(spark, d))
     return plan.select("scene", "row_start", "col_start", tiling.patch_uuid(F.col("scene"), "encoder", "v1", F.col("row_start"), F.col("col_start")).alias("patch_id"))

@@ -47,7 +47,7 @@ def x23(spark, d):
     return _questions(spark, d).select("conv_id", "turn", routing.normalize_query(F.col("q")).alias("n"))
 
 
-@query("x24_filter_fingerprint")
+@query("x24_filter_fingerprint", """SELECT c_custkey, sha256('{"nation":"' || c_nationkey || '"' || coalesce(',"sensor":"' || lower(c_mktsegment) || '"', '') || '}') AS fingerprint FROM customer""")
 def x24(spark, d):
     filters = F.create_map(F.lit("sensor"), F.col("c_mktsegment"), F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit("after"), F.lit(None).cast("string"))
     return fx.read(spark, d, "customer").select("c_custkey", routing.fingerprint(filters).alias("fingerprint"))
@@ -267,19 +267,25 @@ def n07(spark, d):
     return fx.read(spark, d, "customer").select("c_custkey", F.size(sections).alias("sections"), sections[0]["body"].alias("sensor"))
 
 
-@query("n06_scene_record")
+@query("n06_scene_record", """SELECT scene, '1.0' AS schema_version, label, round(w, 6) AS water_fraction, mechanisms, first_mechanism, round(f, 6) AS first_fraction FROM (
+    SELECT scene, CASE WHEN w >= 0.7 THEN 'likely_water_dominant' WHEN w <= 0.3 THEN 'likely_land_dominant' WHEN w IS NOT NULL THEN 'mixed_or_indeterminate' ELSE 'indeterminate' END AS label, w FROM mag_stats
+        LEFT JOIN (SELECT scene, avg((x <= otsu)::INT) AS w FROM mag_clipped JOIN mag_otsu USING (scene) GROUP BY ALL) USING (scene))
+    LEFT JOIN (SELECT scene, count(*)::INT AS mechanisms, min(mechanism) AS first_mechanism, arg_min(fraction, mechanism) AS f FROM block WHERE n > 0 GROUP BY scene) USING (scene)""", "mag_stats mag_clipped mag_otsu block")
 def n06(spark, d):
     from ..operators import context
 
     lw = context.land_water(fx.pixels(spark, d), ["dn_vv", "dn_vh"]).select("scene", F.struct("label", "water_fraction", "threshold_db").alias("land_water"))
     block = scattering.mechanism_block(_windows(spark, d)).groupBy("scene").agg(F.sort_array(F.collect_list(F.struct("mechanism", "fraction", "median_vv_db"))).alias("scattering"))
-    return lw.join(block, "scene", "left").select("scene", F.to_json(F.struct(F.lit("1.0").alias("schema_version"), "land_water", "scattering")).alias("record"))
+    record = lw.join(block, "scene", "left").select("scene", F.to_json(F.struct(F.lit("1.0").alias("schema_version"), "land_water", "scattering")).alias("record"))
+    r = F.from_json("record", "schema_version string, land_water struct<label string, water_fraction double>, scattering array<struct<mechanism string, fraction double>>").alias("r")
+    first = F.get("r.scattering", F.lit(0))
+    return record.select("scene", r).select("scene", "r.schema_version", "r.land_water.label", F.round("r.land_water.water_fraction", 6).alias("water_fraction"), F.when(F.col("r.scattering").isNotNull(), F.size("r.scattering")).alias("mechanisms"), first["mechanism"].alias("first_mechanism"), F.round(first["fraction"], 6).alias("first_fraction"))
 
 
-@query("s12_scene_record_sink")
+@query("s12_scene_record_sink", "SELECT scene, '1.0' AS schema_version, count(*) AS pixels FROM pixels GROUP BY scene", "pixels")
 def s12(spark, d):
-    from ..sources.manifests import write_records
+    from ..sources.manifests import read_records, write_records
 
     lw = fx.pixels(spark, d).groupBy("scene").agg(F.count("*").alias("pixels"))
     path = write_records(lw.select("scene", F.struct(F.lit("1.0").alias("schema_version"), "pixels").alias("record")))
-    return spark.read.text(path).select("scene", F.get_json_object("value", "$.pixels").cast("long").alias("pixels"))
+    return read_records(spark, path, "struct<schema_version string, pixels long>").select("scene", "record.schema_version", "record.pixels")

@@ -122,18 +122,26 @@ def s11(spark, d):
     return read_manifest(spark, path).select("point_id", F.size("vector").alias("n"))
 
 
-@query("m01_embed_patches", "SELECT point_id, 1.0::DOUBLE AS length FROM vecs", "vecs")
+VIEWS["means"] = "SELECT vec_id AS point_id, list_transform(range(0, 8), lambda k: list_avg(embedding[8 * k + 1 : 8 * k + 8]::DOUBLE[]) + 0.01) AS m FROM embeddings"
+
+
+@query("m01_embed_patches", "SELECT point_id, 1.0::DOUBLE AS length, round(m[1] / sqrt(list_dot_product(m, m)), 6) AS first, round(m[8] / sqrt(list_dot_product(m, m)), 6) AS last FROM means", "means")
 def m01(spark, d):
     from ..operators.inference import encode
 
     def means(images: np.ndarray) -> np.ndarray:  # stands for a network
-        return images.reshape(len(images), 8, -1).mean(axis=2) + 0.01
+        return images.reshape(len(images), 8, -1).astype(np.float64).mean(axis=2) + 0.01
 
     out = encode(_vectors(spark, d), lambda: means, "point_id", "vector", dimension=8)
-    return out.select("point_id", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 6).alias("length"))
+    e = F.col("embedding")
+    return out.select("point_id", F.round(vectors.dot(e, e), 6).alias("length"), F.round(e[0], 6).alias("first"), F.round(e[7], 6).alias("last"))
+
+
+VIEWS["asked"] = """SELECT conv_id, turn, length(n) + 1.0::DOUBLE AS a, length(n) - length(replace(n, ' ', '')) + 1.0::DOUBLE AS b FROM (
+    SELECT conv_id, turn, trim(regexp_replace(lower(text), '[\\s\\x0B]+', ' ', 'g')) AS n FROM conversations WHERE role = 'user' AND text IS NOT NULL)"""
 
 
-@query("m02_embed_queries", "SELECT conv_id, turn, 1.0::DOUBLE AS length FROM conversations WHERE role = 'user' AND text IS NOT NULL")
+@query("m02_embed_queries", "SELECT conv_id, turn, 1.0::DOUBLE AS length, round(a / sqrt(a * a + b * b), 6) AS first, round(b / sqrt(a * a + b * b), 6) AS last FROM asked", "asked")
 def m02(spark, d):
     from ..operators.inference import encode_texts
 
@@ -142,14 +150,15 @@ def m02(spark, d):
 
     asked = fx.read(spark, d, "conversations").where("role = 'user' and text is not null")
     out = encode_texts(asked, lambda: lengths, "text", dimension=2)
-    return out.select("conv_id", "turn", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 6).alias("length"))
+    e = F.col("embedding")
+    return out.select("conv_id", "turn", F.round(vectors.dot(e, e), 6).alias("length"), F.round(e[0], 6).alias("first"), F.round(e[1], 6).alias("last"))
 
 
-@query("m03_score_windows", "SELECT point_id, 4 AS classes FROM vecs", "vecs")
+@query("m03_score_windows", "SELECT vec_id AS point_id, 4 AS classes, round(1 / (1 + exp(-embedding[1]::DOUBLE)), 6) AS first, round(1 / (1 + exp(-embedding[4]::DOUBLE)), 6) AS last FROM embeddings")
 def m03(spark, d):
     from ..operators.inference import score_windows
 
     def logits(x: np.ndarray) -> np.ndarray:  # stands for a network
         return x[:, :4]
 
-    return score_windows(_vectors(spark, d), lambda: logits, "point_id", "vector").select("point_id", F.size("scores").alias("classes"))
+    return score_windows(_vectors(spark, d), lambda: logits, "point_id", "vector").select("point_id", F.size("scores").alias("classes"), F.round(F.col("scores")[0], 6).alias("first"), F.round(F.col("scores")[3], 6).alias("last"))
