@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # Fixed values
 PATCH, STRIDE, COVER = 224, 112, 120
+#: Patches that a task puts together at a time.
+PATCHES_AT_ONCE = 64
 SPLIT_EDGE = 8192
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 OVERVIEW_EDGE, PREVIEWS = 1792, 128
@@ -82,25 +84,39 @@ def extract_patches(tiles: DataFrame, plan: DataFrame, tile: int, patch: int, ba
     """Patches put together from the tiles they touch: scene, row_start, col_start, patch (band-major floats), nodata_fraction.
 
     Tiles, not pixels, are exchanged: each is sent once to every patch that it touches, and
-    a patch has a bounded number of tiles. Patches with too many zero samples are dropped.
+    a patch has a bounded number of tiles. Patches with too many zero samples are dropped. Values stay in
+    Arrow's buffers: no Python object is made for a pixel.
     """
     span = lambda s: F.sequence(F.floor(F.col(s) / tile).cast("int"), F.floor((F.col(s) + (patch - 1)) / tile).cast("int"))
     wanted = plan.select(scene, "row_start", "col_start").withColumn("tile_row", F.explode(span("row_start"))).withColumn("tile_col", F.explode(span("col_start")))
     pieces = wanted.join(tiles, [scene, "tile_row", "tile_col"]).groupBy(scene, "row_start", "col_start").agg(F.collect_list(F.struct("tile_row", "tile_col", "at", *bands)).alias("pieces"))
 
+    def views(lists: pa.ListArray) -> list[np.ndarray]:
+        flat = lists.flatten()
+        data = (flat.fill_null(np.nan) if flat.null_count else flat).to_numpy(zero_copy_only=False)
+        starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return [data[x:y] for x, y in zip(starts, starts[1:], strict=False)]
+
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, shares = [], []
-            for row_start, col_start, own in zip(*(batch.column(k).to_pylist() for k in ("row_start", "col_start", "pieces")), strict=True):
-                image = np.zeros((len(bands), patch, patch), np.float32)
-                for piece in own:
-                    at = np.array(piece["at"])
-                    r, c = at // tile + piece["tile_row"] * tile - row_start, at % tile + piece["tile_col"] * tile - col_start
-                    inside = (r >= 0) & (r < patch) & (c >= 0) & (c < patch)
-                    for k, b in enumerate(bands):
-                        image[k, r[inside], c[inside]] = np.array(piece[b], np.float32)[inside]
-                out.append(image.ravel())
-                shares.append(float((image == 0).mean()))
-            yield pa.RecordBatch.from_arrays([batch.column(scene), batch.column("row_start"), batch.column("col_start"), pa.array([x.tolist() for x in out], pa.list_(pa.float32())), pa.array(shares, pa.float64())], [scene, "row_start", "col_start", "patch", "nodata_fraction"])
+            held = batch.column("pieces")
+            parts = dict(zip((f.name for f in held.type.value_type), held.flatten().flatten(), strict=True))
+            rows, cols = (parts[p].to_numpy() * tile for p in ("tile_row", "tile_col"))
+            ats, values = views(parts["at"]), [views(parts[b]) for b in bands]
+            ends = held.offsets.to_numpy() - held.offsets[0].as_py()
+            starts = [batch.column(k).to_numpy() for k in ("row_start", "col_start")]
+            for first in range(0, batch.num_rows, PATCHES_AT_ONCE):
+                part = batch.slice(first, PATCHES_AT_ONCE)
+                images = np.zeros((part.num_rows, len(bands), patch, patch), np.float32)
+                for n in range(part.num_rows):
+                    row_start, col_start = (s[first + n] for s in starts)
+                    for p in range(ends[first + n], ends[first + n + 1]):
+                        r, c = ats[p] // tile + rows[p] - row_start, ats[p] % tile + cols[p] - col_start
+                        inside = (r >= 0) & (r < patch) & (c >= 0) & (c < patch)
+                        for k in range(len(bands)):
+                            images[n, k, r[inside], c[inside]] = values[k][p][inside]
+                size = len(bands) * patch * patch
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * size), pa.array(images.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(scene), part.column("row_start"), part.column("col_start"), flat, pa.array((images == 0).mean(axis=(1, 2, 3)))], [scene, "row_start", "col_start", "patch", "nodata_fraction"])
 
     return pieces.mapInArrow(assemble, f"{scene} string, row_start int, col_start int, patch array<float>, nodata_fraction double").where(F.col("nodata_fraction") <= max_nodata)
