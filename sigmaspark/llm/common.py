@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -24,11 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the one that the cluster shares (``spark.checkpoint.dir``).
 
-    A local folder stands in only where the setting is missing, as in tests. The
+    A local folder stands in only where the setting is missing and the master is local, as in tests. The
     folder is removed when the session's JVM ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="spark-shared-"))
         base = f"file://{_own_dir[0]}"
