@@ -4,7 +4,9 @@ A noisy channel: what an author meant passed through substitutions (leetspeak),
 separators and repeated letters. A suspicious token becomes a lattice of what its
 characters may stand for; Viterbi decodes the best path under a character trigram model
 counted over all documents. The restored text is scored by the words and word beginnings
-that mark toxic documents among labelled ones.
+that mark toxic documents among labelled ones. Look-alike letters are folded first. White
+space may part a word anywhere: neighbouring tokens that together may be a marked word form
+one lattice, in which each space is a separator or a real one.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .encoders import Remembered
 MAX_TRAINING_ROWS = 10_000
 #: A word or beginning marks toxicity if it has this log-odds and so many toxic documents, which are this share of its documents.
 MIN_LOG_ODDS, MIN_TOXIC_DOCS, MIN_PURITY = 2.0, 4, 0.8
+#: A part of a marked word is a word of its own if so many labelled documents that aren't toxic hold it.
+MIN_PART_DOCS = 2
 
 #: Tokens that a worker remembers.
 TOKENS = 200_000
@@ -41,6 +45,13 @@ LEET = {
 }
 SUBSTITUTED, REPEATED, KEPT_DOUBLE, DROPPED, PARTED = 1.0, 0.5, 1.0, 1.0, 2.0
 
+#: Letters of other scripts that look like Latin ones.
+LOOK_ALIKES = {
+    "а": "a", "в": "b", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t",
+    "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t",
+    "υ": "u", "χ": "x", "ı": "i", "ɡ": "g",
+}
+
 
 # -- character model ----------------------------------------------------------------
 
@@ -94,11 +105,38 @@ def log_model(counts: np.ndarray, k: float = 5.0) -> np.ndarray:
 
 # -- restoring ----------------------------------------------------------------------
 
+@lru_cache(maxsize=1)
+def _fold_table() -> np.ndarray:
+    """The letter a to z that a lower-case code point is a form of or looks like, else itself; 0 is left out."""
+    out = np.arange(0x20000, dtype=np.uint32)
+    for c in range(0x80, 0x20000):
+        ch = chr(c)
+        base = LOOK_ALIKES.get(ch) or unicodedata.normalize("NFKD", ch)[0].lower()
+        if ch.isalpha() and "a" <= base <= "z":
+            out[c] = ord(base)
+    out[0x300:0x370] = 0  # accents that stand alone
+    out[[0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]] = 0  # signs without a width
+    return out
+
+
+def fold(text: str) -> str:
+    """Lower case; accented, wide and look-alike letters as a to z; marks without a width are left out."""
+    text = text.lower()
+    if text.isascii():
+        return text
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    out = np.where(points < 0x20000, _fold_table()[np.minimum(points, 0x1FFFF)], points)
+    return out[out > 0].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LEET_INSIDE = re.compile("[" + re.escape("".join(LEET)) + "]")
 _REPEATED = re.compile(r"([^\W\d_])\1")
 #: What may end a token without being meant as a letter: all signs, those that seldom stand for one, those that never do.
 _ENDS = ["!|+()$.,;:?\"'", "!|+().,;:?\"'", ").,;:?\"'"]
+#: What a token may have before and behind the part of a word that it holds.
+_EDGES = "\"'.,;:?!-_*~·/|+()[]{}"
+_EDGE_SIGNS = re.compile(r"[!|+($]")
 _RUN = re.compile(r"(.)\1*", re.S)
 
 
@@ -113,6 +151,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         elif n == 1:
             out.append(meant)
         else:
+            if c == "v" and n == 2:
+                meant.append(("w", SUBSTITUTED - REPEATED * 2))  # drawn with two signs, not repeated
             out.append([(x, cost + REPEATED * 2 if n == 2 else cost + REPEATED) for x, cost in meant] + [(x + x, cost + (0.0 if n == 2 else KEPT_DOUBLE)) for x, cost in meant])
     return out
 
@@ -154,12 +194,24 @@ def suspicious(core: str) -> bool:
     return not core.isalpha() or bool(_REPEATED.search(core))
 
 
+def split(text: str | None) -> list[str]:
+    """White-space tokens of the folded text."""
+    return fold(text or "").split()
+
+
+def single_character(token: str) -> str:
+    """The one letter, digit or sign for a letter that a token holds between its edges; nothing if it holds more."""
+    inner = token.strip(_EDGES) or token
+    return inner if len(inner) == 1 and (inner.isalnum() or inner in LEET) else ""
+
+
 class Restorer:
     """Words of a text, with suspicious tokens decoded; decisions on tokens are remembered."""
 
     def __init__(self, log_chances: np.ndarray):
         self.model = log_chances.tolist()
         self.known = Remembered(self._readings)
+        self.single = Remembered(single_character)
 
     def _readings(self, token: str) -> tuple[tuple[str, ...], ...]:
         """The words of each reading, the likeliest first. Whole words between signs are read as they stand, too."""
@@ -172,36 +224,52 @@ class Restorer:
                 out[plain] = None
         return tuple(out) or ((),)
 
-    def tokens(self, text: str) -> list[str]:
-        """White-space tokens in lower case; three or more single characters in a row become one, with spaces."""
-        tokens = text.lower().split()
-        if list(map(len, tokens)).count(1) < 3:
-            return tokens
+    def tokens(self, raw: list[str]) -> list[str]:
+        """The tokens; three or more single characters in a row become one, with spaces. What stands at their edges is left out.
+
+        A stop behind one ends such a row, if the character before has none.
+        """
+        single = bytes([len(t) < 5 and bool(self.single[t]) for t in raw])
+        if b"\1\1\1" not in single:
+            return raw
         out: list[str] = []
         run: list[str] = []
-        for t in [*tokens, ""]:
-            if len(t) == 1 and (t.isalnum() or t in LEET):
+
+        def end() -> None:
+            own = [self.single[t] for t in run]
+            out.extend([" ".join(own)] if len(own) >= 3 and len(set(own)) > 1 else run)
+            run.clear()
+
+        for t, one in zip(raw, single, strict=True):
+            if one:
                 run.append(t)
-                continue
-            if len(run) >= 3 and len(set(run)) > 1:
-                out.append(" ".join(run))
+                if t[-1] in ".,;:?!" and len(run) > 1 and len(t) > 1 and (len(run[-2]) == 1 or run[-2][-1] not in ".,;:?!"):
+                    end()
             else:
-                out += run
-            run = []
-            if t:
+                end()
                 out.append(t)
+        end()
         return out
 
     def readings(self, token: str) -> tuple[tuple[str, ...], ...]:
         return (tuple(_LETTERS.findall(decode(token, self.model))),) if " " in token else self.known[token]
 
-    def words(self, text: str | None) -> list[str]:
-        """The likeliest reading of each token."""
-        return [w for t in self.tokens(text or "") for w in self.readings(t)[0]]
+    def words(self, text: str | None, joiner: Joiner | None = None) -> list[str]:
+        """The likeliest reading of each token, and of neighbouring tokens that ``joiner`` finds to be one marked word."""
+        raw = split(text)
+        if joiner:
+            joiner.look_at(list(set(raw)))
+        merged, at = [], 0
+        for first, last, joined in joiner.spans(raw) if joiner else []:
+            marked = [t for t in joined if any(w in joiner.lexicon for w in self.readings(t)[0])]
+            if marked and first >= at:
+                merged += [*raw[at:first], marked[0]]
+                at = last + 1
+        return [w for t in self.tokens(merged + raw[at:]) for w in self.readings(t)[0]]
 
     def read(self, text: str | None) -> set[str]:
         """Words of all readings."""
-        return {w for t in set(self.tokens(text or "")) for own in self.readings(t) for w in own}
+        return {w for t in set(self.tokens(split(text))) for own in self.readings(t) for w in own}
 
 
 # -- classifier ---------------------------------------------------------------------
@@ -214,7 +282,7 @@ def features(word: str) -> list[str]:
 @lru_cache(maxsize=1)
 def _skeleton_table() -> np.ndarray:
     """What becomes of each code point of the basic plane in a skeleton: 0 is left out."""
-    signs = {sign: letters[0] for sign, letters in LEET.items()} | {"l": "i", "£": "i", "ς": "σ"}
+    signs = {sign: letters[0] for sign, letters in LEET.items()} | {"l": "i", "£": "i", "ς": "σ", "w": "v"}
     out = np.zeros(0x10000, np.uint32)
     for c in range(0x10000):
         low = chr(c).lower()[0]
@@ -226,7 +294,7 @@ def _skeleton_table() -> np.ndarray:
 
 def skeletons(tokens: list[str]) -> str:
     """The skeletons of the tokens, each after a line end: one letter for all letters that a sign may stand for (i for l,
-    too), repeats as one letter, separators left out."""
+    v for w, too), repeats as one letter, separators left out."""
     points = np.frombuffer(("\n" + "\n".join(tokens)).encode("utf-32-le", "surrogatepass"), "<u4")
     out = _skeleton_table()[np.minimum(points, 0xFFFF)]
     beyond = np.flatnonzero(points > 0xFFFF)
@@ -236,6 +304,82 @@ def skeletons(tokens: list[str]) -> str:
     return out[line | np.concatenate([[True], out[1:] != out[:-1]])].tobytes().decode("utf-32-le")
 
 
+class Joiner:
+    """Neighbouring tokens that may be one marked word, parted by white space.
+
+    The skeletons of the tokens are put together as long as they begin a marked word's
+    skeleton; each such beginning is kept with its latest start, so the work is linear in
+    the tokens. Tokens that all are ordinary words or numbers stay apart, but for three or
+    more single characters.
+    """
+
+    def __init__(self, lexicon: dict[str, float], ordinary: set[str]):
+        self.lexicon, self.ordinary = lexicon, ordinary
+        words = [w for w in lexicon if not w.endswith("*")]
+        self.marks = {m for m in skeletons(words).split("\n") if len(m) > 1} if words else set()
+        self.beginnings = {m[:k] for m in self.marks for k in range(1, len(m) + 1)}
+        self.inner = {m[j:k] for m in self.marks for k in range(len(m) + 1) for j in range(k)} | {""}
+        self.forms: dict[str, tuple[str, ...]] = {}
+        self.begins: dict[str, bool] = {}
+
+    def look_at(self, tokens: list[str]) -> None:
+        """Remember the skeletons by which tokens may be parts of marked words: one, or several if signs stand at the edges."""
+        if len(self.begins) > TOKENS:
+            self.forms.clear()
+            self.begins.clear()
+        tokens = [t for t in tokens if t not in self.begins]
+        if not tokens or not self.marks:
+            return
+        for t, whole in zip(tokens, skeletons(tokens).split("\n")[1:], strict=True):
+            own = {whole: None}
+            if not t.isalnum() and _EDGE_SIGNS.search(t):
+                own |= dict.fromkeys(skeletons([c]).removeprefix("\n") for c in [*cores(t), t.strip(_EDGES)] if c)
+            own = tuple(x for x in own if x in self.inner)
+            if own:
+                self.forms[t] = own
+            self.begins[t] = not self.beginnings.isdisjoint(own)
+
+    def spans(self, raw: list[str]) -> list[tuple[int, int, list[str]]]:
+        """First and last token of each span of tokens that were looked at, and what it may be as one token.
+
+        Viterbi decides on each space between larger parts; single characters are put together.
+        """
+        if not self.marks:
+            return []
+        ends: dict[tuple[int, str], int] = {}
+        at = 0
+        for start in [k for k, t in enumerate(raw) if self.begins[t]]:
+            if start < at:
+                continue
+            states: dict[str, int] = {}
+            for at in range(start, len(raw)):
+                following: dict[str, int] = {}
+                own = self.forms.get(raw[at], ())
+                for x in own:
+                    for state, first in states.items():
+                        both = state + x[state[-1:] == x[:1] :] if x else state
+                        if both in self.beginnings and first > following.get(both, -1):
+                            following[both] = first
+                            if both in self.marks and x:
+                                ends[first, both] = at
+                for x in own:
+                    if x in self.beginnings:
+                        following[x] = at
+                states = following
+                if not states:
+                    break
+            at += 1
+        out = []
+        for first, last in sorted({(first, last) for (first, _), last in ends.items()}):
+            own = [t for t in raw[first : last + 1] if any(c.isalnum() or c in LEET for c in t)]
+            inner = [t.strip(_EDGES) or t for t in own]
+            if len(inner) > 2 and max(map(len, inner)) == 1:
+                out.append((first, last, ["".join(inner)]))
+            elif not all(x in self.ordinary or not any(map(str.isalpha, x)) for x in inner):
+                out.append((first, last, list(dict.fromkeys([" ".join(inner), " ".join([*own[:-1], cores(own[-1])[0]])]))))
+        return out
+
+
 class Scorer:
     """Scores of texts.
 
@@ -244,11 +388,12 @@ class Scorer:
     the score is the same.
     """
 
-    def __init__(self, log_chances: np.ndarray, lexicon: dict[str, float], weights: list[float]):
+    def __init__(self, log_chances: np.ndarray, lexicon: dict[str, float], weights: list[float], ordinary: set[str] = frozenset()):
         import ahocorasick
 
         self.restorer = Restorer(log_chances)
         self.lexicon, self.weights = lexicon, weights
+        self.joiner = Joiner(lexicon, ordinary)
         marks = skeletons([f.rstrip("*") for f in lexicon]).split("\n")[1:] if lexicon else []
         self.marks = ahocorasick.Automaton()
         for mark in filter(None, marks):
@@ -273,9 +418,11 @@ class Scorer:
         return [self.score(x) for x in self.summaries(texts)]
 
     def summaries(self, texts: list[str | None]) -> list[tuple[float, float, float]]:
-        own = [self.restorer.tokens(t or "") for t in texts]
-        different = [set(x) for x in own]
-        for known in (self.token_weight, self.weight, self.restorer.known):
+        raw = [split(t) for t in texts]
+        self.joiner.look_at(list(set().union(*raw)))
+        own = [self.restorer.tokens(x) for x in raw]
+        different = [set(x).union(*(joined for _, _, joined in self.joiner.spans(r))) for x, r in zip(own, raw, strict=True)]
+        for known in (self.token_weight, self.weight, self.restorer.known, self.restorer.single):
             if len(known) > TOKENS:
                 known.clear()
         self.skip_unmarked(list(set().union(*different).difference(self.token_weight)))
@@ -331,21 +478,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     (n, n_toxic), (m, m_toxic) = totals.get(False, (0, 0)), totals.get(True, (0, 0))
     if not 0 < n_toxic < n or not 0 < m_toxic < m:
         share = (n_toxic + m_toxic) / (n + m) if n + m else 0.0
-        return {"log_chances": log_chances, "lexicon": {}, "weights": [math.log((share + 1e-9) / (1 - share + 1e-9)), 0.0, 0.0, 0.0]}
+        return {"log_chances": log_chances, "lexicon": {}, "weights": [math.log((share + 1e-9) / (1 - share + 1e-9)), 0.0, 0.0, 0.0], "ordinary": set()}
     lexicon = {}
     for f, t, k in counts.where(F.col("toxic") >= MIN_TOXIC_DOCS).collect():  # at most the features of max_rows rows that recur in toxic ones
         odds = math.log((t + 0.5) / (n_toxic - t + 0.5)) - math.log((k - t + 0.5) / (n - n_toxic - k + t + 0.5))
         if odds >= MIN_LOG_ODDS and t >= MIN_PURITY * k:
             lexicon[f] = odds
 
+    parts = {w[j:k] for w in lexicon if not w.endswith("*") for k in range(len(w) + 1) for j in range(k)}
+
+    def parts_held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parts.intersection(x.strip(_EDGES) for x in set(split(t))) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"part": pa.array([x for own in found for x in own], pa.string())})
+
+    # no more rows than the marked words have parts
+    held = rows.where(~F.col("weighs") & (F.col("y") == 0)).select("text").mapInArrow(parts_held, "part string").groupBy("part").count()
+    ordinary = {r.part for r in held.where(F.col("count") >= MIN_PART_DOCS).collect()}
+
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(log_chances, lexicon, [0.0] * 4)
+        scorer = Scorer(log_chances, lexicon, [0.0] * 4, ordinary)
         for batch in batches:
             found = [x for part in portions(batch) for x in scorer.summaries(part.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("y"), *(pa.array([x[k] for x in found], pa.float64()) for k in range(3))], ["y", "a", "b", "c"])
 
     found = np.array(rows.where("weighs").select("y", "text").mapInArrow(summarise, "y int, a double, b double, c double").collect(), np.float64).reshape(-1, 4)
-    return {"log_chances": log_chances, "lexicon": lexicon, "weights": _fit_logistic(found[:, 1:], found[:, 0])}
+    return {"log_chances": log_chances, "lexicon": lexicon, "weights": _fit_logistic(found[:, 1:], found[:, 0]), "ordinary": ordinary}
 
 
 def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,17 +524,20 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
     return rows.mapInArrow(run, "doc_id bigint, text_key bigint, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def restore_texts(docs: DataFrame, log_chances: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def restore_texts(docs: DataFrame, log_chances: np.ndarray, id_col: str = "doc_id", text_col: str = "text", lexicon: dict[str, float] | None = None, ordinary: set[str] = frozenset()) -> DataFrame:
     """doc_id, restored: the words of each text after decoding, the likeliest reading of each token.
 
+    With a ``lexicon``, tokens that together are one of its words are joined, unless all are ``ordinary``.
     Null and empty texts give an empty string; null and repeated ids are carried along; an
     empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(log_chances)
+        restorer, joiner = Restorer(log_chances), Joiner(lexicon, ordinary) if lexicon else None
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([" ".join(restorer.words(t)) for t in batch.column("text").to_pylist()], pa.string())], ["doc_id", "restored"])
+            for part in portions(batch):
+                texts = [" ".join(restorer.words(t, joiner)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "restored"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, restored string")
 
