@@ -14,8 +14,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -212,6 +213,7 @@ class Restorer:
         self.model = log_chances.tolist()
         self.known = Remembered(self._readings)
         self.single = Remembered(single_character)
+        self.ones: set[str] = set()
 
     def _readings(self, token: str) -> tuple[tuple[str, ...], ...]:
         """The words of each reading, the likeliest first. Whole words between signs are read as they stand, too."""
@@ -224,12 +226,19 @@ class Restorer:
                 out[plain] = None
         return tuple(out) or ((),)
 
-    def tokens(self, raw: list[str]) -> list[str]:
+    def single_characters(self, tokens: Iterable[str]) -> set[str]:
+        return {t for t in tokens if len(t) < 5 and self.single[t]}
+
+    def tokens(self, raw: list[str], different: set[str] | None = None) -> list[str]:
         """The tokens; three or more single characters in a row become one, with spaces. What stands at their edges is left out.
 
-        A stop behind one ends such a row, if the character before has none.
+        A stop behind one ends such a row, if the character before has none. Where the set of tokens is given,
+        its single characters are in ``ones``.
         """
-        single = bytes([len(t) < 5 and bool(self.single[t]) for t in raw])
+        ones = self.single_characters(set(raw)) if different is None else self.ones & different
+        if len(ones) < 2:
+            return raw
+        single = bytes(map(ones.__contains__, raw))
         if b"\1\1\1" not in single:
             return raw
         out: list[str] = []
@@ -258,7 +267,9 @@ class Restorer:
         """The likeliest reading of each token, and of neighbouring tokens that ``joiner`` finds to be one marked word."""
         raw = split(text)
         if joiner:
-            joiner.look_at(list(set(raw)))
+            joiner.clear()
+            tokens = list(set(raw))
+            joiner.look_at(tokens, skeletons(tokens).split("\n")[1:])
         merged, at = [], 0
         for first, last, joined in joiner.spans(raw) if joiner else []:
             marked = [t for t in joined if any(w in joiner.lexicon for w in self.readings(t)[0])]
@@ -319,25 +330,26 @@ class Joiner:
         self.marks = {m for m in skeletons(words).split("\n") if len(m) > 1} if words else set()
         self.beginnings = {m[:k] for m in self.marks for k in range(1, len(m) + 1)}
         self.inner = {m[j:k] for m in self.marks for k in range(len(m) + 1) for j in range(k)} | {""}
+        self.seen: set[str] = set()
         self.forms: dict[str, tuple[str, ...]] = {}
-        self.begins: dict[str, bool] = {}
-
-    def look_at(self, tokens: list[str]) -> None:
-        """Remember the skeletons by which tokens may be parts of marked words: one, or several if signs stand at the edges."""
-        if len(self.begins) > TOKENS:
-            self.forms.clear()
-            self.begins.clear()
-        tokens = [t for t in tokens if t not in self.begins]
-        if not tokens or not self.marks:
-            return
-        for t, whole in zip(tokens, skeletons(tokens).split("\n")[1:], strict=True):
-            own = {whole: None}
-            if not t.isalnum() and _EDGE_SIGNS.search(t):
-                own |= dict.fromkeys(skeletons([c]).removeprefix("\n") for c in [*cores(t), t.strip(_EDGES)] if c)
-            own = tuple(x for x in own if x in self.inner)
-            if own:
-                self.forms[t] = own
-            self.begins[t] = not self.beginnings.isdisjoint(own)
+        self.begins: set[str] = set()
+
+    def clear(self) -> None:
+        for known in (self.seen, self.forms, self.begins):
+            known.clear()
+
+    def look_at(self, tokens: list[str], whole: list[str]) -> None:
+        """Remember the skeletons by which tokens may be parts of marked words: that of the ``whole``, or others if signs stand at the edges."""
+        self.seen.update(tokens)
+        forms = {t: {x: None} for t, x in zip(tokens, whole, strict=True) if x in self.inner}
+        cut_off = [(t, c) for t in filter(_EDGE_SIGNS.search, tokens) for c in {*cores(t), t.strip(_EDGES)} if c and c != t]
+        for (t, _), x in zip(cut_off, skeletons([c for _, c in cut_off]).split("\n")[1:] if cut_off else [], strict=True):
+            if x in self.inner:
+                forms.setdefault(t, {})[x] = None
+        for t, own in forms.items():
+            self.forms[t] = tuple(own)
+            if not self.beginnings.isdisjoint(own):
+                self.begins.add(t)
 
     def spans(self, raw: list[str]) -> list[tuple[int, int, list[str]]]:
         """First and last token of each span of tokens that were looked at, and what it may be as one token.
@@ -348,7 +360,7 @@ class Joiner:
             return []
         ends: dict[tuple[int, str], int] = {}
         at = 0
-        for start in [k for k, t in enumerate(raw) if self.begins[t]]:
+        for start in [k for k, (t, following) in enumerate(zip(raw, raw[1:])) if t in self.begins and following in self.forms]:
             if start < at:
                 continue
             states: dict[str, int] = {}
@@ -399,38 +411,49 @@ class Scorer:
         for mark in filter(None, marks):
             self.marks.add_word(mark, 1)
         self.marks.make_automaton()
+        self.unmarked: set[str] = set()
         self.all_hold = "" in marks  # a mark without a skeleton says nothing
         self.weight = Remembered(lambda w: max(self.lexicon.get(f, 0.0) for f in features(w)))
         self.token_weight = Remembered(lambda t: max((self.weight[w] for own in self.restorer.readings(t) for w in own), default=0.0))
 
-    def skip_unmarked(self, tokens: list[str]) -> None:
-        """Give weight 0 to those tokens whose skeletons hold no mark."""
+    def skip_unmarked(self, tokens: list[str], text: str) -> None:
+        """Give weight 0 to those tokens whose skeletons, in ``text``, hold no mark."""
         if self.all_hold or not tokens:
             return
-        text = skeletons(tokens)
         starts = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == ord("\n"))
         ends = [end for end, _ in self.marks.iter(text)] if len(self.marks) else []
         hit = np.zeros(len(tokens), bool)
         hit[np.searchsorted(starts, np.array(ends, np.int64)) - 1] = True
-        self.token_weight.update(dict.fromkeys((t for t, h in zip(tokens, hit.tolist(), strict=True) if not h), 0.0))
+        self.unmarked.update(compress(tokens, (~hit).tolist()))
 
     def scores(self, texts: list[str | None]) -> list[float]:
         return [self.score(x) for x in self.summaries(texts)]
 
     def summaries(self, texts: list[str | None]) -> list[tuple[float, float, float]]:
         raw = [split(t) for t in texts]
-        self.joiner.look_at(list(set().union(*raw)))
-        own = [self.restorer.tokens(x) for x in raw]
-        different = [set(x).union(*(joined for _, _, joined in self.joiner.spans(r))) for x, r in zip(own, raw, strict=True)]
-        for known in (self.token_weight, self.weight, self.restorer.known, self.restorer.single):
+        sets = [set(x) for x in raw]
+        if max(map(len, (self.joiner.seen, self.token_weight, self.unmarked))) > TOKENS:
+            self.joiner.clear()
+            for known in (self.token_weight, self.unmarked, self.restorer.ones):
+                known.clear()
+        for known in (self.weight, self.restorer.known, self.restorer.single):
             if len(known) > TOKENS:
                 known.clear()
-        self.skip_unmarked(list(set().union(*different).difference(self.token_weight)))
+        new = list(set().union(*sets).difference(self.joiner.seen))
+        if new:
+            text = skeletons(new)
+            self.joiner.look_at(new, text.split("\n")[1:])
+            self.skip_unmarked(new, text)
+            self.restorer.ones |= self.restorer.single_characters(new)
+        own = [self.restorer.tokens(x, d) for x, d in zip(raw, sets, strict=True)]
+        different = [(d if x is r else set(x)).union(*(joined for _, _, joined in self.joiner.spans(r))) for x, r, d in zip(own, raw, sets, strict=True)]
+        rest = list(set().union(*(d - self.unmarked for d in different)).difference(self.token_weight))
+        self.skip_unmarked(rest, skeletons(rest))
         return [self.summary(d, len(x)) for d, x in zip(different, own, strict=True)]
 
     def summary(self, tokens: set[str], n: int) -> tuple[float, float, float]:
         """Largest weight, log of the sum of weights over different tokens, share of marked tokens."""
-        marked = [w for w in map(self.token_weight.__getitem__, tokens) if w]
+        marked = [w for w in map(self.token_weight.__getitem__, sorted(tokens - self.unmarked)) if w]
         return (max(marked), math.log1p(sum(marked)), len(marked) / math.sqrt(n)) if marked else (0.0, 0.0, 0.0)
 
     def score(self, summary: tuple[float, float, float]) -> float:
