@@ -139,7 +139,7 @@ def suppress(boxes: DataFrame, threshold: float = IOU, scene: str = "scene", one
     kind = dict(pairs.dtypes)
     few = pairs.join(large, key, "left_anti").groupBy(*key).applyInPandas(_settle_group, f"`{scene}` {kind[scene]}, label string, id {kind['worse']}, winner {kind['better']}")
     lost = few if large.isEmpty() else few.unionByName(_settle_in_rounds(pairs.join(large, key, "left_semi"), scene))
-    return boxes.select(*key, "id").join(lost, [*key, "id"], "left")
+    return boxes.select(*key, "id").join(lost.hint("merge"), [*key, "id"], "left")
 
 
 def numbered(kept: DataFrame, scene: str = "scene") -> DataFrame:

@@ -72,7 +72,8 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_box: tu
     """Pairs of rows with equal keys whose boxes touch (x_min, y_min, x_max, y_max by name), each once; other columns have to differ in name."""
     split, rounds = crowded_cells([(left, left_box), (right, right_box)], keys, cell, crowd)
     a, b = in_cells(left, keys, left_box, split, rounds, cell), in_cells(right, keys, right_box, split, rounds, cell)
-    met = a.join(b, [*keys, *CELL])
+    # boxes in cells are many times the boxes that their size is estimated from: they are never broadcast
+    met = a.join(b.hint("merge"), [*keys, *CELL])
     corner = lambda p, q: cell_of(F.greatest(p, q), F.col("depth"), cell)
     mine = (F.col("gx") == corner(left_box[0], right_box[0])) & (F.col("gy") == corner(left_box[1], right_box[1]))
     touch = F.lit(True)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sigmaspark.operators import catalog, detections, spatial
+from sigmaspark.session import shared_path
 
 BOX = "scene string, label string, id long, confidence double, x_min double, y_min double, x_max double, y_max double"
 XY = ("x_min", "y_min", "x_max", "y_max")
@@ -83,3 +84,13 @@ def test_boxes_that_touch_edges(spark):
     for crowd in (2, 1000):
         assert sorted((r.l_box, r.r_box) for r in catalog.boxes_meet(df, df, crowd=crowd).collect()) == want
     assert catalog.boxes_meet(df.limit(0), df).count() == 0
+
+
+def test_cells_are_not_broadcast(spark):
+    """Few boxes in many cells each: the side that is sent to all would be many times its estimated size."""
+    path = shared_path(spark)
+    spark.createDataFrame(drawn(3, 30, 40, [500]), BOX).write.parquet(path)
+    df = spark.read.parquet(path)  # its size is known
+    plan = detections.iou_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    met = [line for line in plan.splitlines() if "Join" in line and "gx" in line]
+    assert met and all("SortMergeJoin" in line for line in met)
