@@ -80,9 +80,10 @@ def payload_reason() -> Column:
     return F.when(missing, "scope").when(F.col("vector").isNull() | (F.size("vector") == 0), "vector").when((F.col("row_start") < 0) | (F.col("row_end") <= F.col("row_start")), "bounds")
 
 
-def upsert(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
-    """All rows by key; a fresh row replaces the stored one. Fresh rows have a unique key."""
-    return stored.join(fresh.select(key), key, "left_anti").unionByName(fresh)
+def upsert(stored: DataFrame, fresh: DataFrame, key: str | list[str]) -> DataFrame:
+    """All rows by key (a column or several); a fresh row replaces the stored one. Fresh rows have a unique key."""
+    own = [key] if isinstance(key, str) else key
+    return stored.join(fresh.select(*own), own, "left_anti").unionByName(fresh)
 
 
 def delete_scoped(stored: DataFrame, requests: DataFrame) -> DataFrame:

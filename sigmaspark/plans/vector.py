@@ -67,12 +67,13 @@ def f08(spark, d):
 
 @query("s20_vector_scoped_write", "SELECT point_id, scene, CASE WHEN point_id % 3 = 0 THEN 'new' ELSE 'old' END AS written FROM vecs UNION ALL SELECT point_id + 1000000, scene, 'new' FROM vecs WHERE point_id % 3 = 0 AND point_id % 2 = 0", "vecs")
 def s20(spark, d):
-    v = _vectors(spark, d).select("*", F.lit("old").alias("written"), F.lit(0).alias("row_start"), F.lit(224).alias("row_end"))
+    # added points are others than the stored ones, also where a stored one has their number
+    v = _vectors(spark, d).select("*", F.lit(False).alias("added"), F.lit("old").alias("written"), F.lit(0).alias("row_start"), F.lit(224).alias("row_end"))
     fresh = v.where("point_id % 3 = 0").withColumn("written", F.lit("new"))
-    added = fresh.where("point_id % 2 = 0").withColumn("point_id", F.col("point_id") + 1000000)
+    added = fresh.where("point_id % 2 = 0").withColumn("point_id", F.col("point_id") + 1000000).withColumn("added", F.lit(True))
     broken = fresh.withColumn("point_id", F.col("point_id") + 2000000).withColumn("row_end", F.lit(0))
     valid = fresh.unionByName(added).unionByName(broken).where(vectors.payload_reason().isNull())
-    return vectors.upsert(v, valid, "point_id").select("point_id", "scene", "written")
+    return vectors.upsert(v, valid, ["point_id", "added"]).select("point_id", "scene", "written")
 
 
 @query("s21_vector_scoped_delete", "SELECT point_id FROM vecs WHERE scene NOT IN (1, 4)", "vecs")
