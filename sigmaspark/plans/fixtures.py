@@ -15,6 +15,11 @@ def read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(keys: DataFrame, a_core: int = 4) -> DataFrame:
+    """The rows over some tasks a core: files are made from each key, and a table of keys may be one row group."""
+    return keys.repartition(a_core * keys.sparkSession.sparkContext.defaultParallelism)
+
+
 def pixels(spark: SparkSession, d: str) -> DataFrame:
     """Three scenes of digital numbers on a grid of 100 columns, from the events' values."""
     scenes = F.explode(F.expr("array(struct('overlap' as scene, 1.0D as gain), struct('fitted' as scene, 0.5D as gain), struct('flat' as scene, 0.5D as gain))")).alias("s")

@@ -210,7 +210,7 @@ def _archives(spark, d) -> DataFrame:
                 out.append((f"a{k}", held.getvalue() if k % 7 else b"broken"))
             yield pd.DataFrame(out, columns=["path", "content"])
 
-    return fx.read(spark, d, "part").select("p_partkey").mapInPandas(make, "path string, content binary")
+    return fx.spread(fx.read(spark, d, "part").select("p_partkey")).mapInPandas(make, "path string, content binary")
 
 
 @query("s01_archive_members", "SELECT 'a' || k AS archive, (1 + k % 4 + (k % 5 = 0)::INT)::BIGINT AS members, k % 50 + 1 + 4 * (k % 4 + (k % 5 = 0)::INT) AS bytes FROM (SELECT p_partkey AS k FROM part) WHERE k % 7 <> 0")
@@ -279,7 +279,7 @@ def s04(spark, d):
 def s05(spark, d):
     k = F.col("c_custkey")
     xml = F.concat(F.lit("<n><adsHeader><polarisation>VH</polarisation></adsHeader><noiseRangeVectorList><noiseRangeVector><line>0</line><pixel>0 100</pixel><noiseRangeLut>0 200</noiseRangeLut></noiseRangeVector></noiseRangeVectorList><noiseAzimuthVectorList><noiseAzimuthVector><swath>IW1</swath><firstRangeSample>0</firstRangeSample><lastRangeSample>49</lastRangeSample><line>0 100</line><noiseAzimuthLut>"), F.when(k % 3 == 0, "2").otherwise("2 2"), F.lit("</noiseAzimuthLut></noiseAzimuthVector></noiseAzimuthVectorList></n>"))
-    nodes, blocks = products.noise_nodes(fx.read(spark, d, "customer").select(k.alias("scene"), xml.alias("value")))
+    nodes, blocks = products.noise_nodes(fx.spread(fx.read(spark, d, "customer").select(k)).select(k.alias("scene"), xml.alias("value")))
     n = nodes.groupBy("scene").agg(F.count("*").alias("nodes"))
     return n.join(blocks.groupBy("scene").agg(F.count("*").alias("b")), "scene", "left").select("scene", "nodes", F.coalesce("b", F.lit(0).cast("long")).alias("blocks"))
 

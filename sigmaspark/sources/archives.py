@@ -6,28 +6,43 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values
 MAX_ENTRIES, MAX_BYTES, MAX_RATIO = 20_000, 20_000_000_000, 100
+#: Members that leave a task at a time, but for those of one archive.
+AT_ONCE = 10_000
 MEMBERS = "archive string, name string, size bigint, compressed bigint, flags int, mode bigint"
 
 
-def archive_members(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """A row per member of each archive, from rows of the binaryFile source; unreadable archives have none."""
+def _made(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["archive", "name", "size", "compressed", "flags", "mode"])
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, data in zip(batch[path], batch[content], strict=True):
-                try:
-                    found = zipfile.ZipFile(io.BytesIO(data)).infolist()
-                except (zipfile.BadZipFile, TypeError):
-                    continue
-                yield pd.DataFrame([(name, m.filename, m.file_size, m.compress_size, m.flag_bits, m.external_attr >> 16) for m in found], columns=["archive", "name", "size", "compressed", "flags", "mode"])
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of many archives at a time: a batch for each archive would cost more than reading it."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for name, data in zip(batch.column(0), batch.column(1), strict=True):
+            try:
+                found = zipfile.ZipFile(io.BytesIO(data.as_py())).infolist()
+            except (zipfile.BadZipFile, TypeError):
+                continue
+            key = name.as_py()
+            rows += [(key, m.filename, m.file_size, m.compress_size, m.flag_bits, m.external_attr >> 16) for m in found]
+            if len(rows) >= AT_ONCE:
+                yield _made(rows)
+                rows = []
+    if rows:
+        yield _made(rows)
 
-    return files.select(path, content).mapInPandas(run, MEMBERS)
+
+def archive_members(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """A row per member of each archive, from rows of the binaryFile source; unreadable archives have none."""
+    return files.select(path, content).mapInArrow(_listed, MEMBERS)
 
 
 def measurements(members: DataFrame) -> DataFrame:
