@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_path
+
 MANIFEST = "name string, familyName string, number string, pass string, startTime string, footprint string, polarisation array<string>"
 CALIBRATION = "adsHeader struct<polarisation:string>, calibrationVectorList struct<calibrationVector:array<struct<line:bigint,pixel:string,sigmaNought:string>>>"
 NOISE = "adsHeader struct<polarisation:string>, noiseRangeVectorList struct<noiseRangeVector:array<struct<line:bigint,pixel:string,noiseRangeLut:string>>>, noiseAzimuthVectorList struct<noiseAzimuthVector:array<struct<swath:string,firstRangeSample:bigint,lastRangeSample:bigint,line:string,noiseAzimuthLut:string>>>"
 
 
+def _parsed(rows: DataFrame, key: str, xml: str, schema: str) -> DataFrame:
+    """key, x: every document parsed once and written; what is made of it reads that several times."""
+    x = rows.select(key, F.from_xml(xml, schema).alias("x"))
+    path = shared_path(rows.sparkSession)
+    x.write.parquet(path)
+    return rows.sparkSession.read.schema(x.schema).parquet(path)
+
+
 def is_grd(manifest: Column) -> Column:
     return F.contains(manifest, F.lit("productType>GRD"))
 
@@ -39,14 +49,14 @@ def _table(nodes: DataFrame, key: str, lowest: float, strict: bool) -> DataFrame
 
 def calibration_nodes(rows: DataFrame, key: str = "scene", xml: str = "value") -> DataFrame:
     """scene, pol, line, pixel, a: calibration nodes of whole tables; ragged, unequal or non-positive ones are refused."""
-    v = rows.select(key, F.from_xml(xml, CALIBRATION).alias("x")).select(key, F.col("x.adsHeader.polarisation").alias("pol"), F.explode("x.calibrationVectorList.calibrationVector").alias("v"))
+    v = _parsed(rows, key, xml, CALIBRATION).select(key, F.col("x.adsHeader.polarisation").alias("pol"), F.explode("x.calibrationVectorList.calibrationVector").alias("v"))
     good = _table(_nodes(v, key, "sigmaNought"), key, 0.0, True).where("reason is null")
     return good.select(key, "pol", "line", F.explode(F.arrays_zip("pixels", "numbers")).alias("n")).select(key, "pol", "line", F.col("n.pixels").cast("bigint").alias("pixel"), F.col("n.numbers").alias("a"))
 
 
 def noise_nodes(rows: DataFrame, key: str = "scene", xml: str = "value") -> tuple[DataFrame, DataFrame]:
     """Range nodes as for calibration (zero is allowed), and azimuth blocks; malformed blocks are skipped."""
-    x = rows.select(key, F.from_xml(xml, NOISE).alias("x")).select(key, F.col("x.adsHeader.polarisation").alias("pol"), "x")
+    x = _parsed(rows, key, xml, NOISE).select(key, F.col("x.adsHeader.polarisation").alias("pol"), "x")
     v = x.select(key, "pol", F.explode("x.noiseRangeVectorList.noiseRangeVector").alias("v"))
     good = _table(_nodes(v, key, "noiseRangeLut"), key, 0.0, False).where("reason is null")
     nodes = good.select(key, "pol", "line", F.explode(F.arrays_zip("pixels", "numbers")).alias("n")).select(key, "pol", "line", F.col("n.pixels").cast("bigint").alias("pixel"), F.col("n.numbers").alias("noise"))
