@@ -337,7 +337,7 @@ def x18(spark, d):
 
 @query("w13_preview_cap", "SELECT scene, rs::INT AS row_start, cs::INT AS col_start FROM (SELECT scene, rs, cs, row_number() OVER (PARTITION BY scene ORDER BY rs, cs) AS n FROM (SELECT scene, width, unnest(range(0, height - 223, 112)) AS rs FROM scenes_sized WHERE height >= 224 AND width >= 224), LATERAL (SELECT unnest(range(0, width - 223, 112)) AS cs)) WHERE n <= 6", "scenes_sized")
 def w13(spark, d):
-    return tiling.preview_cap(tiling.patch_plan(fx.scenes_sized(spark, d)), most=6).select("scene", "row_start", "col_start")
+    return tiling.preview_cap(tiling.patch_plan(fx.spread(fx.scenes_sized(spark, d))), most=6).select("scene", "row_start", "col_start")
 
 
 @query("a20_overview_downsample", "SELECT scene, r * h // n AS out_row, c * 32 // 100 AS out_col, round(avg(dn_vv), 6) AS mean FROM pixels, (SELECT n, greatest(1, round_even(n * 0.32, 0))::INT AS h FROM (SELECT max(r) + 1 AS n FROM pixels)) GROUP BY ALL", "pixels")
