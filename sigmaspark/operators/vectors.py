@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values
 SCORE_FLOOR, STEEP, WEAK = 0.20, 0.05, 0.16
 SCOPE = ["owner", "project", "scene"]
-#: Query vectors up to this many numbers in all are broadcast.
-BROADCAST_NUMBERS = 20_000_000
+#: Numbers of a block of vectors or queries, and of what a task holds beside them at a time.
+BLOCK_NUMBERS, AT_ONCE = 500_000, 4_000_000
+#: Rounded scores of rows so far below the k-th best can't reach it.
+MARGIN = 3e-6
 
 
 def scoped(vectors: DataFrame, owner: Column | None, project: Column | None, scene: Column | None = None, scenes: list | None = None) -> DataFrame:
@@ -26,7 +33,8 @@ def scoped(vectors: DataFrame, owner: Column | None, project: Column | None, sce
 
 def l2_normalize(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm, F.lit(1e-12)))
+    # inside the lambda of the elements the norm would be summed for each of them
+    return F.flatten(F.transform(F.array(F.greatest(norm, F.lit(1e-12))), lambda n: F.transform(v, lambda x: x.cast("double") / n)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,18 +48,104 @@ def top_k(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "point_id")))
 
 
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """``x`` times 10^6, half up as Spark rounds: what lies next to a half is decided by its decimal digits. NaN is the largest."""
+    scaled = np.abs(x) * 1e6
+    out = np.floor(scaled + 0.5)
+    for n in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-6):
+        out[n] = float(Decimal(repr(abs(float(x[n])))).scaleb(6).quantize(Decimal(1), ROUND_HALF_UP))
+    return np.where(np.isnan(x), np.inf, np.sign(x) * out)
+
+
+def _matrices(rows: pa.Table, column: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places of the rows of each width and their unit vectors as a matrix (summed in order, as ``l2_normalize`` does); without those of width -1, which have no score."""
+    widths = rows.column("width").to_numpy()
+    held = rows.column(column).combine_chunks()
+    at = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths) if w >= 0}
+    out = {}
+    for w, n in at.items():
+        x = held.take(pa.array(n)).flatten().to_numpy(zero_copy_only=False).reshape(len(n), w)
+        norm = np.sqrt(np.cumsum(x * x, axis=1)[:, [-1]]) if w else np.ones((len(n), 1))
+        out[w] = n, x / np.maximum(norm, 1e-12)
+    return out
+
+
+def _block_hits(v: pa.Table, q: pa.Table, k: int) -> pa.Table:
+    """query, point_id, scene, score of the k best rows of the block for each query.
+
+    A matrix product finds what can be among them; their scores are then summed as Spark's
+    expression sums them, and the rounded score and the id decide.
+    """
+    rank = pc.rank(v.column("point_id").combine_chunks(), sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy().astype(np.int64)
+    stored = _matrices(v, "v")
+    asked, found, scores = [], [], []
+    scored = np.zeros(q.num_rows, np.int64)
+    for width, (q_at, qs) in _matrices(q, "q").items():
+        if width not in stored:
+            continue
+        v_at, vs = stored[width]
+        scored[q_at] = len(v_at)
+        step = max(1, AT_ONCE // len(v_at))
+        for first in range(0, len(q_at), step):
+            some = qs[first : first + step]
+            near = some @ vs.T
+            near[np.isnan(near)] = np.inf
+            if len(v_at) > k:
+                near = near >= np.partition(near, len(v_at) - k, axis=1)[:, [len(v_at) - k]] - MARGIN
+            else:
+                near = np.ones(near.shape, bool)
+            a, b = np.nonzero(near)
+            exact = np.zeros(len(a))
+            part = max(1, AT_ONCE // max(1, width))
+            for x in range(0, len(a) if width else 0, part):
+                exact[x : x + part] = np.cumsum(some[a[x : x + part]] * vs[b[x : x + part]], axis=1)[:, -1]
+            order = np.lexsort((rank[v_at[b]], -_rounded(exact), a))
+            a, b, exact = a[order], b[order], exact[order]
+            top = np.arange(len(a)) - np.searchsorted(a, a) < k
+            asked.append(q_at[first + a[top]])
+            found.append(v_at[b[top]])
+            scores.append(exact[top])
+    short = np.flatnonzero(scored < k)
+    for n in short:  # rows without a score come last
+        width = q.column("width")[int(n)].as_py()
+        rest = np.setdiff1d(np.arange(v.num_rows), stored[width][0] if width in stored else [])
+        rest = rest[np.argsort(rank[rest])][:k]
+        asked.append(np.full(len(rest), n))
+        found.append(rest)
+        scores.append(np.full(len(rest), np.inf))
+    asked, found, scores = (np.concatenate([np.zeros(0, t), *x]) for x, t in ((asked, np.int64), (found, np.int64), (scores, np.float64)))
+    hits = v.select(["point_id", "scene"]).take(pa.array(found))
+    return pa.table({"query": q.column("query").take(pa.array(asked)), "point_id": hits.column("point_id"), "scene": hits.column("scene"), "score": pa.array(scores, mask=np.isposinf(scores))})
+
+
 def top_k_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest rows of every query inside its scope (owner, project).
 
-    Queries and vectors meet by scope, not all with all. A rank is filtered below the
-    window, so each task keeps k rows a query before the exchange.
+    Both are dealt into blocks of a bounded size inside their scope, and a block of queries
+    meets a block of vectors in one task, as matrices; it leaves k rows a query.
     """
-    v = vectors.select("owner", "project", "point_id", "scene", l2_normalize(F.col("vector")).alias("v"))
-    q = queries.select("query", "owner", "project", l2_normalize(F.col("vector")).alias("q"))
-    sized = q.agg(F.coalesce(F.sum(F.size("q")), F.lit(0))).first()[0]
-    met = v.join(F.broadcast(q) if sized <= BROADCAST_NUMBERS else q, ["owner", "project"])
+    scope = ["owner", "project"]
+    # a row with a null number has no score
+    width = lambda c: F.when(F.forall(c, lambda x: x.isNotNull()), F.size(c)).otherwise(-1).alias("width")
+    numbers = F.sum(F.greatest(F.coalesce(F.size("vector"), F.lit(0)), F.lit(k)))
+    blocks = lambda df, name: df.groupBy(*scope).agg(F.ceil(numbers / BLOCK_NUMBERS).cast("int").alias(name))
+    dealt = blocks(vectors, "v_blocks").join(blocks(queries, "q_blocks"), scope)
+    own = lambda n, *c: F.pmod(F.xxhash64(*c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    plain = F.col("vector").cast("array<double>")
+    v = vectors.select(*scope, "point_id", "scene", plain.alias("v")).join(dealt, scope)
+    v = v.select(*scope, own("v_blocks", "point_id", "v").alias("v_block"), every("q_blocks").alias("q_block"), "point_id", "scene", "v", width("v"))
+    q = queries.select(*scope, "query", plain.alias("q")).join(dealt, scope)
+    # queries may come from the same table: their keys get names of their own
+    q = q.select(*[F.col(c).alias(f"q_{c}") for c in scope], every("v_blocks").alias("v_block"), own("q_blocks", "query", "q").alias("q_block"), "query", "q", width("q"))
+    key, kind = [*scope, "v_block", "q_block"], dict(v.dtypes) | dict(q.dtypes)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _block_hits(left, right, k)
+
+    met = v.groupBy(*key).cogroup(q.groupBy(*[f"q_{c}" for c in scope], *key[2:])).applyInArrow(meet, f"query {kind['query']}, point_id {kind['point_id']}, scene {kind['scene']}, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "point_id")
-    scored = met.select("query", "point_id", "scene", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+    scored = met.withColumn("score", F.round("score", 6))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
