@@ -1,9 +1,9 @@
 """Events of a job in their order, though they arrive in any: transitions and leases with event-time timers.
 
-State of a job is what its settled events amount to and a buffer of those that are not yet
+State of a slot of jobs is what each job's settled events amount to and a buffer of those that are not yet
 settled. An event is settled once the watermark has passed its time, as none before it can
 still count then; a timer at the earliest buffered event sees to it. So the buffer holds
-no more than the delay's worth of a job's events, and a restart goes on from the state.
+no more than the delay's worth of the slot's events, and a restart goes on from the state.
 """
 
 from __future__ import annotations
@@ -23,36 +23,55 @@ from ..operators.lifecycle import NEXT
 Fold = Callable[[Any, list[tuple], int], tuple[Any, list[tuple], int | None]]
 
 
+#: Keys share the state of so many slots: a call for each key would cost far more than folding its rows. A checkpoint keeps to its number.
+SLOTS = 1024
+
+
 class _InOrder(StatefulProcessor):
-    """Rows of a key: ``micros`` (event time in microseconds), then the columns that the fold takes."""
+    """Rows of a slot: the key as text, ``micros`` (event time in microseconds), then the columns that the fold takes."""
 
     def __init__(self, columns: list[str], output: list[str], fold: Fold) -> None:
         self._columns, self._output, self._fold = columns, output, fold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._held = handle.getValueState("held", "state string, waiting string")
+        self._held = handle.getValueState("held", "state string, waiting string, timer bigint")
 
-    def _settle(self, key: tuple, fresh: list[tuple], timers: Any) -> Iterator[pd.DataFrame]:
-        state, waiting = (json.loads(x) for x in self._held.get()) if self._held.exists() else (None, [])
-        rows = [*map(tuple, waiting), *fresh]
+    def _settle(self, fresh: list[tuple], timers: Any, expired: bool) -> Iterator[pd.DataFrame]:
+        held = self._held.get()
+        # per key its state and the next time to look again
+        states = {k: (state, wake) for k, state, wake in json.loads(held[0])} if held else {}
+        waiting, timer = (json.loads(held[1]), None if expired else held[2]) if held else ([], None)
         # the watermark counts milliseconds
         now = timers.getCurrentWatermarkInMs() * 1000 + 999
-        ready = sorted(r for r in rows if r[0] <= now)
-        rest = [r for r in rows if r[0] > now]
-        state, out, wake = self._fold(state, ready, now)
-        self._held.update((json.dumps(state), json.dumps(rest)))
-        times = [r[0] for r in rest] + ([wake] if wake is not None else [])
-        if times:
-            self._handle.registerTimer(min(times) // 1000)
-        yield pd.DataFrame([(*key, *r) for r in out], columns=self._output)
+        ready: dict[Any, list[tuple]] = {k: [] for k, (_, wake) in states.items() if wake is not None and wake <= now}
+        rest = []
+        for r in (*map(tuple, waiting), *fresh):
+            if r[1] <= now:
+                ready.setdefault(r[0], []).append(r[1:])
+            else:
+                rest.append(r)
+        out: list[tuple] = []
+        for key, rows in ready.items():
+            state, found, wake = self._fold(states.get(key, (None, None))[0], sorted(rows), now)
+            states[key] = state, wake
+            out += [(key, *r) for r in found]
+        times = [r[1] for r in rest] + [wake for _, wake in states.values() if wake is not None]
+        due = min(times) // 1000 if times else None
+        if timer is not None and timer != due:
+            self._handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self._handle.registerTimer(due)
+        self._held.update((json.dumps([(k, *x) for k, x in states.items() if x != (None, None)]), json.dumps(rest), due))
+        if out:
+            yield pd.DataFrame(out, columns=self._output)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         fresh = [t for f in rows for t in zip(*(f[c].tolist() for c in self._columns), strict=True)]
-        yield from self._settle(key, fresh, timerValues)
+        yield from self._settle(fresh, timerValues, False)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        yield from self._settle(key, [], timerValues)
+        yield from self._settle([], timerValues, True)
 
     def close(self) -> None:
         pass
@@ -61,11 +80,15 @@ class _InOrder(StatefulProcessor):
 def in_order(events: DataFrame, key: str, columns: list[str], output: str, fold: Fold, delay: str, at: str = "ts") -> DataFrame:
     """Fold each key's events in order of time, then of ``columns``; later ones than the delay allows are dropped.
 
-    The stream needs the RocksDB state store (``streams.run_once`` sets it).
+    ``output`` begins with the key. The stream needs the RocksDB state store (``streams.run_once`` sets it).
     """
-    own = events.withWatermark(at, delay).select(key, at, F.unix_micros(at).alias("micros"), *columns)
-    names = [c.split()[0] for c in output.split(",")]
-    return own.groupBy(key).transformWithStateInPandas(_InOrder(["micros", *columns], names, fold), output, "append", "eventTime")
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS)).alias("key_slot")
+    own = events.withWatermark(at, delay).select(slot, F.col(key).cast("string").alias("key_text"), at, F.unix_micros(at).alias("micros"), *columns)
+    first, rest = output.split(",", 1)
+    name, kind = first.split()
+    names = ["key_text", *[c.split()[0] for c in rest.split(",")]]
+    folded = own.groupBy("key_slot").transformWithStateInPandas(_InOrder(["key_text", "micros", *columns], names, fold), f"key_text string,{rest}", "append", "eventTime")
+    return folded.select(F.col("key_text").cast(kind).alias(name), *names[1:])
 
 
 def _transitions(state: Any, rows: list[tuple], now: int) -> tuple[Any, list[tuple], int | None]:
