@@ -363,22 +363,43 @@ def _likely(n: Column, fp: Column, other_n: Column, other_fp: Column, similarity
     return sizes & ((F.least(n, other_n) < WIDE_FROM) | (apart <= most))
 
 
+def _within(nodes: DataFrame, tau: int = 2) -> DataFrame:
+    """a, b: pairs of nodes that the generalised pigeonhole links by their SimHash fingerprints (the first long of ``fp``), written.
+
+    Fingerprints within ``tau`` bits are linked as in ``near_duplicates``, by their least nodes; nodes of one fingerprint by its least.
+    """
+    held = cut(nodes.select("node", F.col("fp")[0].alias("fp")), "simhashes")
+    lows = cut(held.groupBy("fp").agg(F.min("node").alias("low")), "lows")
+    n, both = bit_statistics(lows)
+    links = _links(lows.select("fp"), allocate(n, _agreement(n, both), tau), tau)
+    ends = [lows.select(F.col("fp").alias(x), F.col("low").alias(f"{x}_low")) for x in "ab"]
+    apart = links.join(ends[0], "a").join(ends[1], "b").select(F.col("b_low").alias("a"), F.col("a_low").alias("b"))
+    same = held.join(lows, "fp").where("node != low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return cut(apart.unionAll(same), "within")
+
+
 def _only(rows: DataFrame, keys: DataFrame, key: str = "node") -> DataFrame:
     """The rows of those keys. Up to ``FEW`` keys are broadcast, so that other rows are not exchanged."""
     few = keys.limit(FEW + 1).count() <= FEW
     return rows.join(F.broadcast(keys) if few else keys, key, "left_semi")
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, x, y: the written pairs with the sets of both.
+
+    Up to ``FEW`` pairs are broadcast to the sets of their first texts, so that a set is exchanged once for each
+    pair that it begins, and once if it ends any: pairs should end in few different texts.
+    """
+    few = pairs.limit(FEW + 1).count() <= FEW
+    first = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")).join(F.broadcast(pairs) if few else pairs, "a")
+    ends = cut(pairs.select(F.col("b").alias("node")).distinct(), "ends")
+    return first.join(_only(sets, ends).select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs a, b whose similarity over all shingles is reached, written."""
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    own = cut(_only(sets, nodes), "own")
-    left = pairs.join(own.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    both = left.join(own.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    found = cut(both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b"), "linked")
-    drop_written(nodes, own)
-    return found
+    return cut(_with_sets(pairs, sets).where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b"), "linked")
 
 
 def _signature(shingles: str) -> Column:
@@ -396,11 +417,10 @@ def _against_middle(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """
     best = rows.groupBy("shingle").agg(F.max(F.struct("score", "node")).alias("best"))
     refs = cut(rows.join(best, "shingle").groupBy("node").agg(F.max("best").getField("node").alias("ref")), "refs")
-    own = cut(_only(sets, refs.select("node")), "own")
-    both = refs.join(own.withColumnRenamed("hashes", "x"), "node").join(own.select(F.col("node").alias("ref"), F.col("hashes").alias("y")), "ref")
-    parts = both.select("node", "ref", F.size("x").alias("n"), F.array_except("x", "y").alias("u"), F.array_except("y", "x").alias("v"))
+    both = _with_sets(refs.select(F.col("node").alias("a"), F.col("ref").alias("b")), sets)
+    parts = both.select(F.col("a").alias("node"), F.col("b").alias("ref"), F.size("x").alias("n"), F.array_except("x", "y").alias("u"), F.array_except("y", "x").alias("v"))
     found = cut(parts.select("node", "ref", (F.col("n") - F.size("u")).alias("common"), _signature("u").alias("more"), _signature("v").alias("less")), "against")
-    drop_written(refs, own)
+    drop_written(refs)
     return found
 
 
@@ -422,11 +442,12 @@ def _most_shared() -> Column:
 def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key, root for every row: root names the group of texts linked at the similarity (Jaccard, shingles).
 
-    All pairs that can reach the similarity share a shingle of their prefixes; those whose
-    wide fingerprints are near (a bound that one of 10^8 such pairs misses) are compared, and
-    all shingles of both decide. Each text is first compared with two leaders of each of
+    First, the texts that the generalised pigeonhole links by their SimHash fingerprints are compared. Texts at the
+    very similarity differ in more bits than it can probe for; these are found by prefixes: all pairs that can reach the
+    similarity share a shingle of their prefixes, and those whose wide fingerprints are near (a bound that one of 10^8 such
+    pairs misses) are compared. All shingles of both decide each time. Each text is compared with two leaders of each of
     its buckets, which joins large groups; then all pairs of a bucket that are not yet in one
-    group, and share enough for all we know (their sizes, fingerprints, own shingles, and
+    group, and share enough for all we know (their sizes, fingerprints, places of the shingle, and
     differences from a text in the middle of their family), are compared. Nulls, ties and empty tables as in ``near_duplicates``.
     """
 
@@ -445,7 +466,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     entries = cut(_prefixes(made, _rarity(made), similarity), "prefixes")
     shared = cut(entries.groupBy("shingle").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.max("short").alias("s")).where("u != v and s").select("shingle"), "shared")
     buckets = _only(entries, shared, "shingle").distinct()
-    fps = made.groupBy("node").agg(F.min("fp").alias("fp"))
+    fps = cut(made.groupBy("node").agg(F.min("fp").alias("fp")), "fps")
     held = cut(buckets.join(fps, "node"), "buckets")
     drop_written(entries)
     names = cut(made.select("doc_id", "text_key", "node", "row"), "names")
@@ -454,42 +475,54 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     sets = cut(_only(made.select("row", "node", "hashes"), cut(firsts.select("row"), "firsts"), "row").select("node", "hashes"), "sets")
     drop_written(made)
 
+    # first what the pigeonhole finds: the nearest texts
+    within = _within(fps)
+    links = _linked(within, sets, similarity)
+    roots = cut(_components(links), "roots")
+
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    likely = lambda x, y: _likely(F.col(f"{x}n"), F.col(f"{x}fp"), F.col(f"{y}n"), F.col(f"{y}fp"), similarity)
+
+    def least(x: str, y: str) -> Column:
+        return similarity / (1 + similarity) * (F.col(f"{x}n") + F.col(f"{y}n")) - 1e-6
+
+    def likely(x: str, y: str) -> Column:
+        col = lambda name: (F.col(f"{x}{name}"), F.col(f"{y}{name}"))
+        # what the two can have in common before, at and after this shingle
+        most = F.least(*col("pos")) + F.least(*[n - pos for n, pos in zip(col("n"), col("pos"), strict=True)])
+        return _likely(F.col(f"{x}n"), F.col(f"{x}fp"), F.col(f"{y}n"), F.col(f"{y}fp"), similarity) & (most >= least(x, y))
+
     # each bucket has two leaders for the texts of about one size: one from the middle of its family, which most of the
     # family is likely to be near, and one that is another than in the next bucket
     band = F.floor(F.log("n") / math.log(1 / similarity)) if similarity < 1 else F.col("n")
     banded = held.withColumn("band", band).withColumn("turn", F.xxhash64("shingle", "node"))
-    leaders = banded.groupBy("shingle", "band").agg(F.max(F.struct("score", "node", "n", "fp")).alias("p"), F.min(F.struct("turn", "node", "n", "fp")).alias("q"))
-    led = banded.join(leaders, ["shingle", "band"]).select("node", *[F.when(likely("", f"{x}."), F.col(f"{x}.node")).alias(x) for x in "pq"])
-    stars = cut(led.select(F.col("node").alias("a"), F.explode(F.array("p", "q")).alias("b")).where("a != b").select(*ordered).distinct(), "stars")
-    links = _linked(stars, sets, similarity)
+    leaders = banded.groupBy("shingle", "band").agg(F.max(F.struct("score", "node", "n", "pos", "fp")).alias("p"), F.min(F.struct("turn", "node", "n", "pos", "fp", "score")).alias("q"))
+    led = banded.join(leaders, ["shingle", "band"]).select(F.struct("score", "node").alias("x"), *[F.when(likely("", f"{x}."), F.struct(f"{x}.score", f"{x}.node")).alias(x) for x in "pq"])
+    # a pair ends in the text nearer to the middle, of which there are few
+    stars = led.select("x", F.explode(F.array("p", "q")).alias("y")).where("x.node != y.node").select(F.least("x", "y").getField("node").alias("a"), F.greatest("x", "y").getField("node").alias("b")).distinct()
+    for x in "ab":
+        stars = stars.join(roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root")), x, "left")
+    # those in one group need no other link
+    stars = cut(stars.where("coalesce(a_root, a) != coalesce(b_root, b)").select("a", "b"), "stars")
+    links = links.unionAll(_linked(stars, sets, similarity))
     roots = cut(_components(links), "roots")
 
     named = cut(held.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     shares = named.groupBy("shingle", "root").agg(F.count("*").alias("m"))
     mixed = shares.groupBy("shingle").agg(F.max(F.struct("m", "root")).getField("root").alias("most"), F.count("*").alias("groups")).where("groups > 1").select("shingle", "most")
     rest = cut(named.join(mixed, "shingle"), "mixed")
-    drop_written(held, stars, named)
+    drop_written(held, fps, within, stars, named)
     x_first = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
     near = F.when(x_first, F.col("x.short")).otherwise(F.col("y.short")) & likely("x.", "y.")
-    least = similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
-    # what the two can have in common before, at and after this shingle
-    near &= F.least("x.pos", "y.pos") + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= least
     near &= (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.root") != F.col("y.root"))
     # buckets in which a text has no such partner at all are left out, so that few sets are looked into
     met_at = cut(rest.where("root != most").alias("x").join(rest.alias("y"), near, "left_semi").select("shingle").distinct(), "met_at")
     few = cut(_only(rest, met_at, "shingle"), "few")
-    # shingles that no other of these texts has can't be shared
-    seen = _only(sets, cut(few.select("node").distinct(), "nodes")).select("node", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("last"))
-    own = seen.where("node = last").groupBy("node").agg(F.count("*").alias("own"))
-    opened = cut(few.join(own, "node", "left").withColumn("open", F.col("n") - F.coalesce("own", F.lit(0))), "rest")
-    # nor can more be shared than what two texts have in common with, and differ in from, the middle of their family
-    against = _against_middle(opened, sets)
-    opened = cut(opened.join(against, "node"), "against")
+    # no more can be shared than what two texts have in common with, and differ in from, the middle of their family
+    against = _against_middle(few, sets)
+    opened = cut(few.join(against, "node"), "against")
     drop_written(rest, few, against)
     x, y = opened.where("root != most").alias("x"), opened.alias("y")
-    met = x.join(y, near & (F.least("x.open", "y.open") >= least) & ((F.col("x.ref") != F.col("y.ref")) | (_most_shared() >= least)))
+    met = x.join(y, near & ((F.col("x.ref") != F.col("y.ref")) | (_most_shared() >= least("x.", "y."))))
     met = cut(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).select(*ordered).distinct(), "met")
     links = links.unionAll(_linked(met, sets, similarity))
     drop_written(opened, met, sets)
