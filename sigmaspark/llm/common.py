@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -17,6 +19,44 @@ ASCII_LOWER = ASCII_UPPER.lower()
 
 _own_dir: list[str] = []
 
+#: Bytes of a batch of rows for a Python worker, in jobs that this package runs itself.
+BATCH_BYTES = 4 << 20
+
+_remembering: list = []
+
+
+def remembered(maxsize: int) -> Callable:
+    """An ``lru_cache`` for what takes much memory, which ``forget`` empties."""
+
+    def wrap(f: Callable) -> Callable:
+        _remembering.append(lru_cache(maxsize)(f))
+        return _remembering[-1]
+
+    return wrap
+
+
+def forget() -> None:
+    """Called by tasks that use none of it: their worker may have run another operator before, and would keep its memory beside theirs."""
+    for f in _remembering:
+        f.cache_clear()
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run here pass rows to Python workers in batches of ``BATCH_BYTES``, or of fewer bytes where the session says so.
+
+    A batch stands in the memory of the executor and of the worker at once, and buffers that grow to it are kept for later ones.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    try:
+        if not 0 < own <= BATCH_BYTES:
+            spark.conf.set(name, f"{BATCH_BYTES}b")
+        yield
+    finally:
+        spark.conf.set(name, before)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -47,7 +87,8 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which ends its lineage."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

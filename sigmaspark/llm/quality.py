@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, cut, fresh, table
+from .common import ASCII_LOWER, ASCII_UPPER, cut, forget, fresh, table
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: A line is removed if more than MIN_DOCS different documents and more than HOST_SHARE of the host's rows have it.
@@ -89,6 +89,7 @@ _SCHEMA = "doc_id bigint, host string, text_key bigint, row bigint, " + ", ".joi
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for batch in batches:
         counts, lines = zip(*map(_measure, batch.column("text").to_pylist()), strict=True) if batch.num_rows else ((), ())
         flat = [x for own in lines for x in own]

@@ -19,17 +19,16 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import portions, table
+from .common import portions, remembered, table
 
 #: Units that a worker remembers, and places (a power of two) where it remembers pairs of pieces.
-UNITS, PAIRS = 400_000, 1 << 21
+UNITS, PAIRS = 200_000, 1 << 21
 
 SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -234,7 +233,7 @@ _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _UNIT_OF_LINE = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
-@lru_cache(maxsize=2)
+@remembered(2)
 def load_pieces(path: str) -> Pieces:
     return Pieces(path)
 
@@ -301,7 +300,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-@lru_cache(maxsize=2)
+@remembered(2)
 def _encoder(path: str) -> Encoder:
     return Encoder(path)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FEW, cut, drop_written, fresh, portions, table
+from .common import FEW, cut, drop_written, forget, fresh, portions, small_batches, table
 
 BITS = 64
 #: A bucket with more fingerprints is linked through one-bit variants instead of pairs (see ``_links``).
@@ -307,7 +307,9 @@ def _rarity(made: DataFrame) -> np.ndarray:
 
     out = np.zeros(COUNTERS, np.int64)
     schema = "slab int, counts binary"
-    for k, counts in made.select("hashes").mapInArrow(count, schema).groupBy("slab").applyInArrow(add, schema).collect():
+    with small_batches(made.sparkSession):
+        counted = made.select("hashes").mapInArrow(count, schema).groupBy("slab").applyInArrow(add, schema).collect()
+    for k, counts in counted:
         out[k * width : (k + 1) * width] = np.frombuffer(counts, np.int64)
     return np.minimum(out, (1 << 31) - 1).astype(np.int32)
 
@@ -454,6 +456,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        forget()
         for batch in (part for big in batches for part in portions(big)):
             sets = [_shingles(t, shingle) for t in batch.column("text").to_pylist()]
             nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in sets], np.uint64).view(np.int64)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_few, cut, fresh, portions, table
+from .common import broadcast_if_few, cut, forget, fresh, portions, small_batches, table
 from .encoders import Remembered
 
 #: At most so many labelled rows, the smallest by a hash of their id, fit the classifier.
@@ -89,7 +89,9 @@ def count_trigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"gram": np.flatnonzero(total), "n": total[total > 0]})
 
     out = np.zeros(SYMBOLS**3)
-    for gram, n in docs.select(text_col).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    with small_batches(docs.sparkSession):
+        counted = docs.select(text_col).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    for gram, n in counted:
         out[gram] = n
     return out.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
 
@@ -538,6 +540,7 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         scorer = Scorer(**model)
         for batch in batches:
             scores = [x for part in portions(batch) for x in scorer.scores(part.column("text").to_pylist())]
