@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -36,9 +37,13 @@ def remembered(maxsize: int) -> Callable:
 
 
 def forget() -> None:
-    """Called by tasks that use none of it: their worker may have run another operator before, and would keep its memory beside theirs."""
+    """Called by tasks that use none of it: their worker may have run another operator before, and would keep its memory beside theirs.
+
+    What tasks before left in cycles, as a scorer with all its tokens, goes too, which Python may put off for long.
+    """
     for f in _remembering:
         f.cache_clear()
+    gc.collect()
 
 
 @contextmanager

@@ -1,10 +1,13 @@
 """What a Python worker holds: batches are small in jobs that the package runs, and one operator's memory isn't kept beside another's."""
 
+import gc
+import weakref
+
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from sigmaspark.llm import common, quality, sentencepieces, simhash
+from sigmaspark.llm import common, quality, sentencepieces, simhash, toxicity
 
 NAME = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -45,3 +48,17 @@ def test_other_operators_forget_the_encoder():
     batch = pa.RecordBatch.from_pydict({"doc_id": [1], "host": ["h"], "text_key": [1], "row": [1], "text": ["a b"]})
     assert next(quality._measured(iter([batch]))).num_rows == 1
     assert not sentencepieces._encoder.cache_info().currsize and not sentencepieces.load_pieces.cache_info().currsize
+
+
+def test_scorers_of_earlier_tasks_are_freed():
+    gc.disable()
+    try:
+        scorer = toxicity.Scorer(toxicity.log_model(toxicity.np.zeros((toxicity.SYMBOLS,) * 3)), {"awful": 3.0}, [0.0] * 4)
+        scorer.scores(["an awful text"])
+        left = weakref.ref(scorer)
+        del scorer
+        assert left() is not None  # it is in a cycle
+        common.forget()
+        assert left() is None
+    finally:
+        gc.enable()
