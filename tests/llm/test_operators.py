@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sigmaspark.llm import decontamination, encoders, licenses, quality, sentencepieces, sharding, simhash, token_counts, token_files, toxicity, warc_zip
+from sigmaspark.llm import common, decontamination, encoders, licenses, quality, sentencepieces, sharding, simhash, token_counts, token_files, toxicity, warc_zip
 from sigmaspark.llm.common import shared_dir
 
 WORD_BPE, BYTE_BPE, PIECES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -193,6 +193,63 @@ def test_very_short_items_are_whole_documents(spark, limit, monkeypatch):
     assert sorted(r.doc_id for r in decontamination.find_leaks(d, bench).where("contaminated").collect()) == [1, 3]
 
 
+def test_copies_of_an_item_cost_no_more_than_one(spark, monkeypatch):
+    """One text under many ids is sought once: nothing else of the job grows with its copies, and no document's words are written or exchanged."""
+    written = []
+    monkeypatch.setattr(decontamination, "cut", lambda df, name="cut": written.append((name, df.count())) or common.cut(df, name))
+    item = words(40, 40)
+    bench = spark.range(4000).select(F.col("id").alias("item_id"), F.lit(item).alias("text"))
+    d = spark.createDataFrame([(1, f"x {item} y"), (2, words(41, 60))], "doc_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontamination.find_leaks(d, bench).collect()}
+    assert got == {1: list(range(4000)), 2: []} and written == [("items", 1)]
+
+
+def test_hits_leave_without_their_document(spark):
+    """A long document's words times its hits, held at once, would be some 5 GB here."""
+    r, some = random.Random(3), words(60, 90).split()
+    items = [" ".join(r.choices(some, k=12)) for _ in range(1500)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontamination.find_leaks(spark.createDataFrame([(1, " ".join(items))], "doc_id long, text string"), bench).collect()
+    assert [(x.doc_id, x.item_ids) for x in found] == [(1, list(range(1500)))]
+
+
+@pytest.mark.parametrize(("limit", "piece"), [(0, 512), (64_000_000, 512), (64_000_000, 1)])
+def test_leaks_equal_the_sql(spark, limit, piece, monkeypatch):
+    """Changed, shifted and cut passages, several texts of an id and several ids of a text, both ways, also over several pieces of a document."""
+    import duckdb
+
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(decontamination, "PIECE", piece)
+    r = random.Random(7)
+    some = [words(300 + k, n).split() for k, n in enumerate([1, 2, 3, 4, 5, 7, 8, 9, 11, 12, 13, 20, 40, 90])]
+    items = [(k % 11, " ".join(w)) for k, w in enumerate(some)] + [(k + 50, " ".join(w)) for k, w in enumerate(some[6:])]
+    texts = []
+    for k in range(400):
+        w = list(r.choice(some))
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = r.choice(["zzz", "alpha"])
+        gone = r.randrange(0, max(1, len(w) // 2))
+        w = w[gone:] if k % 3 == 0 else w[: len(w) - gone] if k % 3 == 1 else w
+        texts.append((k % 390, " ".join(words(900 + k, r.randrange(6) + 100 * (k % 5 == 0)).split() * (k % 2) + w + words(1400 + k, r.randrange(6)).split() * (k % 4 > 1))))
+    con = duckdb.connect()
+    for name, key, made in (("documents", "doc_id", texts), ("benchmark", "item_id", items)):
+        con.execute(f"CREATE TABLE {name} ({key} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", made)
+    found = decontamination.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = sorted((x.doc_id, x.contaminated, x.n_items, ",".join(map(str, x.item_ids))) for x in found.collect())
+    assert got == sorted(con.execute(decontamination.OP5_SQL).fetchall()) and 50 < sum(x[1] for x in got) < 390
+
+
+def test_filter_of_seeds_loses_none(spark, monkeypatch):
+    """Documents' positions that no seed equals hardly leave their tasks."""
+    seeds = spark.range(5000).select(F.xxhash64("id").alias("seed"))
+    probes = spark.range(100_000).select(F.col("id").alias("row"), F.lit(0).alias("i"), F.xxhash64("id").alias("seed"))
+    for slices in (2048, 1):
+        monkeypatch.setattr(decontamination, "SLICES", slices)
+        passed = {x.row for x in decontamination._passed(probes, seeds, 5000 * (20 if slices > 1 else 1)).collect()}
+        assert passed >= set(range(5000)) and len(passed) < 5000 + 0.03 * 95_000
+
+
 def test_sharding(spark, docs, none):
     many = spark.createDataFrame([(i, words(i % 700, 20 + i % 50) if i % 3 else "copy of one text") for i in range(3000)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
     got = sharding.shard_documents(many, 8).collect()
